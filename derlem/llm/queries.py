@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import simhash, url_filter
 from .sql import ORACLE
 
 QUERIES = {
+    "op6_simhash_groups": simhash.op6_simhash_groups,
     "op1_url_reputation": url_filter.op1_url_reputation,
 }
 
