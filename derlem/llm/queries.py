@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash, substring_dedup, url_filter
+from . import decontaminate, simhash, substring_dedup, url_filter
 from .sql import ORACLE
 
 QUERIES = {
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op6_simhash_groups": simhash.op6_simhash_groups,
     "op1_url_reputation": url_filter.op1_url_reputation,
