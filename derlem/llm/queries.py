@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, simhash, substring_dedup, url_filter
+from . import decontaminate, packing, simhash, substring_dedup, toxicity, url_filter
 from .sql import ORACLE
 
 QUERIES = {
+    "op9_toxicity": toxicity.op9_toxicity,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
