@@ -2,8 +2,8 @@
 
 An item's windows are its runs of 13 words (all its words, if it has fewer). A window can only occur in a document that has every
 one of its words, so the join needs a prefix of one token of the window's words in order of rarity: the rarest by the corpus's own
-counts. Neighbouring windows mostly share their rarest word, so an item keeps a few anchors (word, place in the item, the windows
-it stands for). Document words meet anchors in a join on the word; a match fixes how item and document lie to each other, the
+counts. Neighbouring windows mostly share their rarest word, so an item keeps a few anchors (a word, its place in the item, and the
+word beside it). Document words meet anchors in a join on the word; a match fixes how item and document lie to each other, the
 bounds of both ends drop windows that would stick out, and the windows left are compared word by word.
 
 Anchors are joined by broadcast in blocks of items of bounded size; one block is enough for any usual benchmark.
@@ -16,7 +16,7 @@ ids should be unique; empty tables give no hits or no rows; other columns are le
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, durable, lookup_join, table
@@ -24,7 +24,7 @@ from .common import ascii_lower, durable, lookup_join, table
 WIDTH = 13
 #: Separators of lower-cased words; with capitals kept out of them, texts can be cut before they are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Bytes of anchors that one broadcast may hold, the words of their items included.
+#: Bytes that the items of one block, and their anchors, may take in a broadcast, by a rough upper estimate.
 BLOCK_BYTES = 32 << 20
 
 
@@ -40,38 +40,41 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def anchors(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """item_no, word, place, item, first, last: windows of the item that start at first..last are looked for where word matches place."""
+    """item_no, word, place, side, check: item and document are compared where word matches place, and check the word beside it.
+
+    Every window has its rarest word among the places; side is 0 if neither neighbour is in all windows that the place stands for."""
     # Words meet in full lower case, which is quick; whether they agree in all but A-Z is seen when windows are compared.
     places = items.select("item_no", F.posexplode("item").alias("place", "w")).select("item_no", "place", F.lower("w").alias("word"))
     vocabulary = durable(places.select("word").distinct(), "vocabulary")
     said = docs.select(F.explode(words_of(F.col("text"))).alias("w")).select(F.lower("w").alias("word"))
     counts = lookup_join(said, vocabulary, "word", "inner").groupBy("word").agg(F.count("*").alias("n"))
     rank = places.join(counts, "word", "left").select("item_no", "place", "word", F.coalesce("n", F.lit(0)).alias("n"))
-    windows = items.select("item_no", "item", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("item") - width))).alias("start"))
+    windows = items.select("item_no", F.size("item").alias("size"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("item") - width))).alias("start"))
     of = windows.join(rank, "item_no").where((F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + width))
-    rarest = of.groupBy("item_no", "start").agg(F.min(F.struct("n", "word", "place")).alias("r"))
-    by_place = rarest.groupBy("item_no", F.col("r.word").alias("word"), F.col("r.place").alias("place")).agg(F.min("start").alias("first"), F.max("start").alias("last"))
-    return by_place.join(items.select("item_no", "item_id", "item"), "item_no")
-
-
-def _hits(docs: DataFrame, block: DataFrame, width: int) -> DataFrame:
-    """doc_id, item_id, at: places of the document where windows of the item start."""
-    words = docs.select("doc_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
+    rarest = of.groupBy("item_no", "size", "start").agg(F.min(F.struct("n", "word", "place")).alias("r"))
+    by_place = rarest.groupBy("item_no", "size", F.col("r.word").alias("word"), F.col("r.place").alias("place")).agg(F.min("start").alias("first"), F.max("start").alias("last"))
+    length = F.least(F.lit(width), F.col("size"))
+    side = F.when(F.col("first") + length - 1 > F.col("place"), 1).when(F.col("last") < F.col("place"), -1).otherwise(0)
+    beside = places.select("item_no", F.col("place").alias("beside"), F.col("word").alias("check"))
+    return (by_place.withColumn("side", side).withColumn("beside", F.col("place") + F.col("side")).join(beside, ["item_no", "beside"])
+            .select("item_no", "word", "place", "side", "check", F.col("size").alias("item_words")))
+
+
+def _hits(docs: DataFrame, block: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """doc_id, item_id, size, at: places of the document where windows of the item start."""
+    words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     said = words.select("doc_id", "words", F.posexplode("words").alias("p", "w")).withColumn("word", F.lower("w"))
-    met = said.join(F.broadcast(block), "word")
+    met = said.join(F.broadcast(block), "word").where(F.lower(F.get("words", F.col("p") + F.col("side"))) == F.col("check"))
     shift = F.col("p") - F.col("place")
-    size = F.least(F.lit(width), F.size("item"))
-    low, high = F.greatest(F.col("first"), -shift), F.least(F.col("last"), F.size("words") - size - shift)
-    met = met.where(low <= high).select("doc_id", "item_id", "item", shift.alias("shift"), size.alias("size"), low.alias("low"), high.alias("high"),
-                                        F.slice("words", F.greatest(F.lit(1), low + shift + 1), F.greatest(F.lit(0), high - low + size)).alias("part"))
-    part = F.transform("part", ascii_lower)
-    met = met.withColumn("part", part)
-    # Spark may test the windows before the bounds, so starts are kept legal there.
-    same = F.filter(
-        F.sequence("low", "high"),
-        lambda k: F.slice("part", F.greatest(F.lit(1), k - F.col("low") + 1), F.col("size")) == F.slice("item", F.greatest(F.lit(1), k + 1), F.col("size")),
-    )
-    return met.select("doc_id", "item_id", "size", F.transform(same, lambda k: k + F.col("shift")).alias("at")).where(F.size("at") > 0)
+    low, high = F.greatest(F.lit(0), shift), F.least(F.size("words"), shift + F.col("item_words"))
+    # The words that the item lies on, once for each way to lie: only they are shuffled.
+    met = met.select("doc_id", "item_no", shift.alias("shift"), F.slice("words", low + 1, F.greatest(F.lit(0), high - low)).alias("part")).distinct()
+    met = met.join(F.broadcast(items), "item_no").withColumn("size", F.least(F.lit(width), F.size("item")))
+    met = met.withColumn("part", F.transform("part", ascii_lower)).withColumn("skip", F.greatest(F.lit(0), -F.col("shift")))
+    starts = F.when(F.size("part") >= F.col("size"), F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("part") - F.col("size")))).otherwise(F.array().cast("array<int>"))
+    same = F.filter(starts, lambda k: F.slice("part", k + 1, F.col("size")) == F.slice("item", F.col("skip") + k + 1, F.col("size")))
+    at = F.transform(same, lambda k: k + F.greatest(F.lit(0), F.col("shift")))
+    return met.select("doc_id", "item_id", "size", at.alias("at"))
 
 
 def _covered(at: Column) -> Column:
@@ -88,13 +91,14 @@ def _covered(at: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, n_words, n_hit, items (sorted array of the ids found)."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    known = durable(anchors(docs, _items(benchmark), width), "anchors")
-    size = known.agg(F.sum(F.octet_length(F.array_join("item", " ")) + 64)).first()[0] or 0
+    items = durable(_items(benchmark), "items")
+    known = durable(anchors(docs, items, width), "anchors")
+    size = items.agg(F.sum(F.octet_length(F.array_join("item", " ")) * 8 + 64)).first()[0] or 0
     blocks = -(-size // block_bytes)
     hits = None
     for k in range(blocks):
-        part = known.where(F.pmod("item_no", F.lit(blocks)) == k) if blocks > 1 else known
-        found = _hits(docs, part, width)
+        own = F.pmod("item_no", F.lit(blocks)) == k
+        found = _hits(docs, known.where(own), items.where(own), width)
         hits = found if hits is None else hits.unionByName(found)
     counts = docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     if hits is None:
