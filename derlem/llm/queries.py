@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, pii, simhash, substring_dedup, toxicity, url_filter
+from . import decontaminate, packing, pii, quality, simhash, substring_dedup, toxicity, url_filter
 from .sql import ORACLE
 
 QUERIES = {
+    "op7_quality_divergence": quality.op7_quality_divergence,
     "op2_pii_bootstrap": pii.op2_pii_bootstrap,
     "op9_toxicity": toxicity.op9_toxicity,
     "op5_best_fit_packing": packing.op5_best_fit_packing,

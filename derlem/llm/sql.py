@@ -36,6 +36,67 @@ SELECT page_id, host, path, rule,
 FROM r JOIN hv USING (host)
 """
 
+OP7 = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+c AS (SELECT r, doc_id, lang, len(words)::BIGINT AS n_words, length(text) AS n_chars, words,
+             length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+             length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+             [length(text) - length(regexp_replace(text, '[a-z]', '', 'g')), length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')),
+              length(text) - length(regexp_replace(text, '[0-9]', '', 'g')), length(text) - length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')),
+              length(text) - length(regexp_replace(text, '[.,;:!?''\x22()-]', '', 'g')), length(text) - length(regexp_replace(text, '[^\x00-\x7F]', '', 'g'))] AS k FROM w),
+h AS (SELECT r, lang, 'c' AS what, unnest(list_append(k, n_chars - list_sum(k)::BIGINT)) AS v, unnest(range(7)) AS i FROM c
+      UNION ALL
+      SELECT r, lang, 'w', unnest(list_append(m, n_words - list_sum(m)::BIGINT)), unnest(range(33)) FROM (
+        SELECT r, lang, n_words, list_transform(['the','of','and','to','in','is','that','for','de','la','le','et','les','des','en','un','der','die','und','den','von','zu','das','mit','que','el','y','los','del','se','para','con'],
+               lambda q: len(list_filter(words, lambda x: x = q))::BIGINT) AS m FROM c)),
+ref AS (SELECT lang, what, i, sum(v)::DOUBLE AS v FROM h GROUP BY ALL),
+refsum AS (SELECT lang, what, sum(v) AS total FROM ref GROUP BY ALL),
+own AS (SELECT r, what, sum(v)::DOUBLE AS total FROM h GROUP BY ALL),
+pq AS (SELECT h.r, h.what, h.v / own.total AS p, ref.v / refsum.total AS q FROM h JOIN own USING (r, what) JOIN ref USING (lang, what, i) JOIN refsum USING (lang, what)
+       WHERE own.total > 0 AND refsum.total > 0),
+d AS (SELECT r, what, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS d FROM pq GROUP BY ALL),
+win AS (SELECT r, i, array_to_string(words[i:i+4], ' ') AS g FROM (SELECT r, words, unnest(range(1, n_words - 3)) AS i FROM c)),
+twice AS (SELECT r, i FROM win JOIN (SELECT r, g FROM win GROUP BY r, g HAVING count(*) > 1) USING (r, g)),
+rep AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest(range(5)) AS j) GROUP BY r),
+f AS (SELECT c.*, coalesce(rep.n, 0) AS n_repeat_words, coalesce(dc.d, 0) AS dc, coalesce(dw.d, 0) AS dw FROM c LEFT JOIN rep USING (r)
+      LEFT JOIN d AS dc ON dc.r = c.r AND dc.what = 'c' LEFT JOIN d AS dw ON dw.r = c.r AND dw.what = 'w')
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT ((n_chars >= 200 AND dc > 0.28) OR (n_words >= 50 AND dw > 0.45)) AS kept
+FROM f
+"""
+
+OP4 = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+items AS (SELECT DISTINCT item_id, least(13, len(w)) AS size, array_to_string(w[i:i+least(13, len(w))-1], ' ') AS g
+          FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM items),
+windows AS (SELECT doc_id, size, i, array_to_string(w[i:i+size-1], ' ') AS g FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes)),
+hit AS (SELECT doc_id, size, i, item_id FROM windows JOIN items USING (size, g)),
+n AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT doc_id, i, unnest(range(size)) AS j FROM hit) GROUP BY doc_id),
+f AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id)
+"""
+
+OP3 = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+gone AS (SELECT doc_id, i FROM win JOIN (SELECT g, min(doc_id) AS least FROM win GROUP BY g) USING (g) WHERE doc_id > least),
+cover AS (SELECT DISTINCT doc_id, i + j AS i FROM gone, (SELECT unnest(range(13)) AS j)),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN cover USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLE = {
+    "op7_quality_divergence": OP7,
+    "op4_decontaminate": OP4,
+    "op3_substring_dedup": OP3,
     "op1_url_reputation": OP1,
 }
