@@ -94,7 +94,30 @@ kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS text, count(*) AS n FRO
 SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+OP8 = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, source, source || '/' || lang AS repo, coalesce(text, '') AS text FROM documents),
+s AS (SELECT r, 0 AS kind, regexp_extract_all(text, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS m,
+             regexp_split_to_array(text, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS g FROM t
+      UNION ALL SELECT r, 1, regexp_extract_all(text, 'AKIA[A-Z0-9]{16,}'), regexp_split_to_array(text, 'AKIA[A-Z0-9]{16,}') FROM t
+      UNION ALL SELECT r, 2, regexp_extract_all(text, '[0-9a-f]{24,}'), regexp_split_to_array(text, '[0-9a-f]{24,}') FROM t
+      UNION ALL SELECT r, 3, regexp_extract_all(text, '[A-Za-z0-9_+/-]{20,}'), regexp_split_to_array(text, '[A-Za-z0-9_+/-]{20,}') FROM t),
+e AS (SELECT r, kind, m, g, unnest(range(1, len(m) + 1)) AS i FROM s WHERE len(m) > 0),
+f AS (SELECT r, kind, m[i] AS v, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT AS a FROM e),
+k AS (SELECT r, kind, a, a + length(v) AS b, CASE WHEN kind = 0 THEN regexp_extract(v, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) ELSE v END AS v FROM f),
+ok AS (SELECT * FROM k WHERE CASE kind WHEN 0 THEN length(v) >= 6 WHEN 3 THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') ELSE true END),
+own AS (SELECT kind, v, count(DISTINCT coalesce(source, '')) <= 1 AND count(DISTINCT coalesce(repo, '')) <= 3 AS live FROM ok JOIN t USING (r) GROUP BY kind, v),
+l AS (SELECT ok.*, live FROM ok JOIN own USING (kind, v)),
+new AS (SELECT * FROM l WHERE kind = 3 AND live AND NOT EXISTS (SELECT 1 FROM l AS b WHERE b.kind < 3 AND b.r = l.r AND b.a < l.b AND l.a < b.b)),
+n AS (SELECT ['assign', 'access', 'hex', 'token'] AS names),
+sp AS (SELECT r, string_agg(names[kind + 1] || ':' || a || ':' || b, ',' ORDER BY a, kind, b) AS spans FROM (SELECT r, kind, a, b FROM l WHERE kind < 3 UNION ALL SELECT r, kind, a, b FROM new), n GROUP BY r),
+ba AS (SELECT r, string_agg(names[kind + 1] || ':' || a || ':' || b, ',' ORDER BY a, kind, b) AS base, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2 FROM l, n WHERE kind < 3 GROUP BY r),
+nl AS (SELECT r, count(*) AS n FROM l WHERE live GROUP BY r)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(nl.n, 0) AS n_live
+FROM t LEFT JOIN ba USING (r) LEFT JOIN sp USING (r) LEFT JOIN nl USING (r)
+"""
+
 ORACLE = {
+    "op8_secret_ownership": OP8,
     "op7_quality_divergence": OP7,
     "op4_decontaminate": OP4,
     "op3_substring_dedup": OP3,
