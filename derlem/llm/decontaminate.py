@@ -9,8 +9,8 @@ bounds of both ends drop windows that would stick out, and the windows left are
 Anchors are joined by broadcast in blocks of items of bounded size; one block is enough for any usual benchmark.
 
 Defined cases: null and blank texts have no words and are clean; items without words are left out; items with the same id are one
-item in the count of items; the same text under two ids counts for both; a null item_id is left out; a null doc_id is kept and its
-rows are judged together; rows that repeat a doc_id each give a row, and with different texts are judged by the union of hits, so
+item in the count of items; the same text under two ids counts for both; a null item_id is left out; a row with a null doc_id
+is kept without hits; rows that repeat a doc_id each give a row, and with different texts are judged by the union of hits, so
 ids should be unique; empty tables give no hits or no rows; other columns are left out.
 """
 
@@ -118,7 +118,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents with a twentieth of their words or more in benchmark windows go; the others keep all columns."""
     found = contamination(docs, benchmark)
     gone = durable(found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id").distinct(), "contaminated_ids")
-    return lookup_join(docs, gone, "doc_id", "left_anti")
+    return lookup_join(docs, gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, pii, quality, secrets, simhash, substring_dedup, toxicity, url_filter
+from . import decontaminate, edit_counts, packing, pii, quality, secrets, simhash, substring_dedup, toxicity, url_filter
 from .sql import ORACLE
 
 QUERIES = {
+    "op10_edit_counts": edit_counts.op10_edit_counts,
     "op8_secret_ownership": secrets.op8_secret_ownership,
     "op7_quality_divergence": quality.op7_quality_divergence,
     "op2_pii_bootstrap": pii.op2_pii_bootstrap,

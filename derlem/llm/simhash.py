@@ -138,7 +138,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Of each group the document with the least doc_id stays, with all its columns; documents without an id stay."""
     gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return lookup_join(docs, durable(gone, "copies"), "doc_id", "left_anti")
+    return lookup_join(docs, durable(gone, "copies"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
