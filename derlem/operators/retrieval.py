@@ -85,11 +85,11 @@ def infix_query(query: str) -> str:
 def infix(files: DataFrame, query: str) -> DataFrame:
     """id, score: documents whose name or body has the query as a substring; BM25 over character trigrams."""
     needle = tr_lower(F.lit(infix_query(query)))
-    size = len(infix_query(query))
     rows = files.select("id", *[tr_lower(F.coalesce(c, F.lit(""))).alias(c) for c in ("filename", "body")])
     grams = lambda c: F.greatest(F.lit(0), F.length(c) - 2)
-    starts = lambda c: F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - (size - 1)))
-    times = lambda c: F.when(F.contains(F.col(c), needle), F.size(F.filter(starts(c), lambda i: F.substring(c, i, F.lit(size)) == needle))).otherwise(0)
+    # Places are counted by looking ahead, so that matches may overlap; a lower-case needle can't end the quotation.
+    ahead = F.concat(F.lit(r"(?=\Q"), needle, F.lit(r"\E)"))
+    times = lambda c: F.when(F.contains(F.col(c), needle), F.regexp_count(c, ahead)).otherwise(0)
     rows = rows.select("id", (grams("filename") + grams("body")).alias("length"), (times("filename") + times("body")).alias("f"))
     corpus = rows.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), F.count_if(F.col("f") > 0).alias("n"))
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import text as t
 from .functions import vector as v
 from .operators import legal, retrieval, tables
+from .plans.search import SearchEngine
 from .sources import files as sources
 
 QUERIES: dict = {}
@@ -402,3 +403,20 @@ def change_feed_fold(spark, sf):
 def hashing_embedding(spark, sf):
     rows = _read(spark, sf, "documents").select("doc_id", v.hashing_embedder(64)(t.tokens(F.col("text"))).alias("e"))
     return rows.select("doc_id", F.round(v.dot(F.col("e"), F.col("e")), 5).alias("norm"))
+
+
+def _engine(spark, sf) -> SearchEngine:
+    chunks = _chunks(spark, sf)
+    one = list(chunks.where("chunk_index = 7").first()["embedding"])
+    return SearchEngine(_files(spark, sf), _metadata(spark, sf).withColumnRenamed("id", "file_id"), chunks, lambda _: one)
+
+
+@query(f"WITH k AS ({_bm25(['ernt'], 'h0', 200)}), m AS ({_META}) SELECT k.id, k.score, document_type FROM k JOIN m USING (id) WHERE case_kind = 'SORUSTURMA' ORDER BY k.score DESC, k.id LIMIT 10")
+def search_keyword_facet(spark, sf):
+    found = _engine(spark, sf).search("ernt", limit=10, case_kind="sorusturma").results
+    return found.select("id", F.round("score", 9).alias("score"), "metadata.document_type")
+
+
+@query(_HYBRID + "SELECT id, round(score, 9) AS score FROM (SELECT * FROM f ORDER BY f.score DESC, fts_rank NULLS LAST, sem_rank LIMIT 20) f JOIN documents ON doc_id = id")
+def search_hybrid(spark, sf):
+    return _engine(spark, sf).search("ernt OR ersh", mode="hybrid").results.select("id", F.round("score", 9).alias("score"))
