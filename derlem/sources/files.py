@@ -79,7 +79,8 @@ def _docx(data: bytes) -> str:
     if xml is None:
         raise ValueError("no document in the archive")
     text = re.sub(r"<w:tab\b[^>]*/>", "\t", xml.decode("utf-8", "replace"))
-    return re.sub(r"</w:p>|<w:br\b[^>]*/>", "\n\n", text)
+    # Words may be split between runs, so tags leave nothing behind.
+    return re.sub(r"<[^>]*>", "", re.sub(r"</w:p>|<w:br\b[^>]*/>", "\n\n", text))
 
 
 #: extension -> bytes to markup or text; .doc and .pdf need a parser from the user.
