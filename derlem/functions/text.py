@@ -47,7 +47,11 @@ def chunk_text(x: Column, size: int = 800, overlap: int = 150) -> Column:
     """Windows of up to size characters, cut at a space of their last hundred, each overlapping the one before.
 
     The last chunk repeats the text's last overlap characters, as the windows go on until a chunk is no longer than the overlap."""
-    clean = collapse_spaces(x)
+    # Bound as a variable, the collapsed text is made once and not at every step.
+    return F.get(F.transform(F.array(collapse_spaces(x)), lambda clean: _chunks_of(x, clean, size, overlap)), F.lit(0))
+
+
+def _chunks_of(x: Column, clean: Column, size: int, overlap: int) -> Column:
     none = F.array().cast("array<string>")
     steps = F.ceil(F.length(clean) / F.lit(max(1, size - 100 - overlap))).cast("int") + 2
     window = lambda s: F.substring(clean, s["start"] + 1, F.lit(size))
