@@ -26,7 +26,7 @@ def canonical_type(key: Column) -> Column:
     """The type that a normalised title names, with an ending of the copula or without; null for others."""
     rules = [(t, t) for t in r.TITLES] + list(r.OTHER_TITLES)
     pairs = [x for title, kind in rules for end in ("", "dir", "idir") for x in (F.concat(type_key(F.lit(title)), F.lit(end)), F.lit(kind))]
-    return F.get(F.map_values(F.map_filter(F.create_map(*pairs), lambda k, _: k == key)), F.lit(0))
+    return F.try_element_at(F.create_map(*pairs), key)
 
 
 def _clean_line(x: Column) -> Column:
