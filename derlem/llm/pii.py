@@ -162,10 +162,10 @@ def _places(docs: DataFrame, words: DataFrame) -> DataFrame:
 def discover(docs: DataFrame, found: DataFrame, at: Bootstrap = Bootstrap()) -> DataFrame:
     """value, kind of the candidates that patterns reveal; found is durable."""
     rows = _edges(found)
-    known = rows.where("kind >= 0").groupBy("side", "words").agg(F.countDistinct("value").alias("known"))
-    open_ = rows.where("kind < 0").groupBy("side", "words").agg(F.countDistinct("value").alias("unknown"), F.count("*").alias("n"))
-    # Only contexts that both enough seeds and some candidate have can discover anything.
-    lively = durable(known.where(F.col("known") >= at.support).join(open_.select("side", "words"), ["side", "words"]).select("side", "words"), "contexts")
+    # A pattern needs a score of at.support from values that count 1 at most, whether seeds or accepted in an earlier round: contexts of fewer
+    # values can't get it in any round, and contexts without candidates discover nothing. All others stay in the graph for all rounds.
+    size = rows.groupBy("side", "words").agg(F.countDistinct("value").alias("n"), F.min("kind").alias("least"))
+    lively = durable(size.where((F.col("n") >= at.support) & (F.col("least") < 0)).select("side", "words"), "contexts")
     edges = lookup_join(rows, lively, ["side", "words"], "inner")
     places = _places(docs, durable(lively.select("words").distinct(), "context_words"))
     used = edges.groupBy("side", "words").agg(F.count("*").alias("used")).join(places, "words", "left")
@@ -179,7 +179,7 @@ def discover(docs: DataFrame, found: DataFrame, at: Bootstrap = Bootstrap()) ->
         pattern = sums.join(size, ["side", "words"]).withColumn("trust", F.col("good") / (F.col("n") + 1))
         pattern = pattern.where((F.col("good") >= at.support) & (F.col("trust") >= at.precision))
         gained = unknown.join(pattern, ["side", "words"]).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score"))
-        score = durable(seeds.unionByName(gained), "scores")
+        score = durable(seeds.unionByName(gained).groupBy("value", "kind").agg(F.max("score").alias("score")), "scores")  # a seed that is a candidate elsewhere counts once
     best = score.join(unknown.select("value").distinct(), "value", "left_semi").where(F.col("score") >= at.accept)
     return best.groupBy("value").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("b")).select("value", (-F.col("b.k")).cast("int").alias("kind"))
 

@@ -66,6 +66,17 @@ def test_contexts_discover_identifiers(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_accepted_identifiers_raise_new_patterns(spark):
+    """Contexts of seeds reveal 30 identifiers; these alone make "ref" a pattern, which reveals one more."""
+    docs = [(i, f"call hotline phone +1 (269) 555-{1000 + i}") for i in range(90)]
+    docs += [(100 + i, f"call hotline phone 0312-777-{1000 + i}") for i in range(30)] + [(200 + i, f"customer ref 0312-777-{1000 + i}") for i in range(30)]
+    docs += [(300, "customer ref 0312-888-1000")]
+    rows = {r.doc_id: r for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all([s.kind for s in rows[i].spans] == [3] and not rows[i].base for i in (100, 129, 200, 229, 300))
+    once = pii.find(spark.createDataFrame(docs, "doc_id long, text string"), pii.Bootstrap(rounds=1)).where("doc_id = 300").first()
+    assert not once.spans  # a second step
+
+
 def test_query_against_force(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     name = lambda spans: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)
