@@ -8,7 +8,7 @@ A document is cut into windows of a few words. Windows that the toxic dictionary
 the same padding (zstandard starts no match in the last bytes and stores very short inputs as they are), with a more thorough match search. The largest gain, the sum of gains and
 the number of gaining words make the score, by a logistic curve fitted on documents that the dictionaries haven't seen.
 
-Learning takes a sample bounded by TrainingBound; scoring takes every whole text. Only labels of the training fold are read.
+Learning takes a sample bounded by TrainingBound, whose classes count as often as all labels have them; scoring takes every whole text. Only labels of the training fold are read.
 
 Defined cases: null and empty texts get the score of a document without gains; a label without a document, or a null label, is left
 out; a document labelled twice is toxic if one label says so; without toxic or ordinary training rows every score is the smoothed
@@ -150,13 +150,13 @@ def _features(rows: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(rows)), most / 10, np.log1p(total) / 3, np.log1p(n)], axis=1)
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
-    """Logistic regression by Newton's method; the intercept isn't shrunk, and no gain lowers a score."""
-    w = np.zeros(x.shape[1])
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rows: np.ndarray | None = None) -> tuple[float, ...]:
+    """Logistic regression by Newton's method; the intercept isn't shrunk, and no gain lowers a score. rows: how much each row counts, 1 by default."""
+    w, rows = np.zeros(x.shape[1]), np.ones(len(y)) if rows is None else rows
     penalty = np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((x * (rows * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (rows * (y - p)) - penalty @ w)
         w = w + np.clip(step, -2, 2)
         w[1:] = np.maximum(w[1:], 0)
         if np.abs(step).max() < 1e-6:
@@ -171,6 +171,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, bound: TrainingBound = TrainingBound()) -> Model:
     """docs(doc_id, text), labels(doc_id, toxic): learns from rows of the training fold only."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = durable(known, "known")
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
     order = F.xxhash64("doc_id")
     chosen = [known.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(n) for t, n in ((1, bound.toxic), (0, bound.ordinary))]
     picked = durable(chosen[0].unionByName(chosen[1]), "training")
@@ -181,14 +183,19 @@ def train(docs: DataFrame, labels: DataFrame, bound: TrainingBound = TrainingBou
     model = Model(b"", b"", ())
     if toxic and ordinary:
         model = Model(_ordinary_dictionary(ordinary, bound.dictionary), distinctive(toxic, ordinary, most=bound.toxic_bytes), ())
+    # A class that hit its bound stands for more rows than it has here: its rows count as many times as it has labels for each one picked.
+    stands = np.array([max(1.0, counts.get(t, 0) / n) for t, n in ((0, bound.ordinary), (1, bound.toxic))])
     of = gains(model.ordinary, model.toxic)
     test = [(t, of(text)) for t in (0, 1) for text in parts[t, True]]
     y = np.array([t for t, _ in test], dtype=float)
     if not 0 < y.sum() < len(y) or not model.toxic:
-        rate = (sum(r["toxic"] for r in rows) + 0.5) / (len(rows) + 1)
+        have = np.bincount([r["toxic"] for r in rows], minlength=2) * stands
+        have = have * len(rows) / max(1.0, have.sum())
+        rate = (have[1] + 0.5) / (len(rows) + 1)
         return Model(model.ordinary, b"", (float(np.log(rate / (1 - rate))), 0.0, 0.0, 0.0))
-    # A class that hit its bound stands for more rows than it has here; the curve keeps the sample's own rate.
-    return Model(model.ordinary, model.toxic, _fit(_features(np.array([f for _, f in test], dtype=float)), y))
+    rows_each = stands[y.astype(int)]
+    rows_each = rows_each * len(y) / rows_each.sum()  # the ridge stays in proportion to the sample
+    return Model(model.ordinary, model.toxic, _fit(_features(np.array([f for _, f in test], dtype=float)), y, rows=rows_each))
 
 
 def hash_of(doc_id: int) -> int:

@@ -44,6 +44,31 @@ def test_labels_of_the_held_out_fold_are_not_read(spark):
     assert a == b
 
 
+def test_labels_beyond_the_bound_keep_the_rate(spark):
+    docs, labels = corpus(900)
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    capped, whole = t.train(df, lab, t.TrainingBound(toxic=90, ordinary=90)), t.train(df, lab)
+    assert capped.toxic and abs(capped.weights[0] - whole.weights[0]) < 0.7  # the sample's own rate would add 1.6
+    rate = lambda bound: t.train(df.withColumn("text", F.lit("same")), lab, bound).weights[0]
+    assert abs(rate(t.TrainingBound(toxic=90, ordinary=90)) - rate(t.TrainingBound())) < 0.05  # no model: the rate alone
+    x, y = np.array([[1, 0, 0, 0], [1, 0, 0, 0], [1, 1, 1, 1], [1, 0, 0, 0]], dtype=float), np.array([0.0, 1, 1, 0])
+    twice = [0, 0, 1, 2, 3, 3]
+    assert np.allclose(t._fit(x, y, rows=np.array([2.0, 1, 1, 2])), t._fit(x[twice], y[twice]))
+
+
+def test_copies_of_the_tables_beyond_the_bound_keep_the_predictions(spark):
+    docs, labels = corpus(600)
+    copies = lambda rows, n: [(i + 10_000 * k, x) for k in range(n) for i, x in rows]
+    seen, df = [], spark.createDataFrame(docs, "doc_id long, text string")
+    for n in (1, 4):
+        many = spark.createDataFrame(copies(docs, n), "doc_id long, text string")
+        model = t.train(many, spark.createDataFrame(copies(labels, n), "doc_id long, toxic int"), t.TrainingBound(toxic=200, ordinary=200))
+        seen.append((model.weights[0], {r.doc_id: r.score >= t.THRESHOLD for r in t.scores(df, model).collect()}))
+    (a, one), (b, four) = seen
+    assert abs(a - b) < 0.5  # the sample's own rate would add 1.1
+    assert sum(one[i] != four[i] for i in one) <= 3  # the dictionaries are learnt from another sample
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = t.op9_toxicity(spark, sf).toPandas()
