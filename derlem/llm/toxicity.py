@@ -1,24 +1,24 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on toxic text. The toxic one is the ordinary one with
-stretches of toxic text appended that are distinctive, that is, made of byte runs which far more toxic documents have than ordinary
-ones. What both have cancels out, so the difference of a window's compressed lengths is what toxic text alone explains.
+Two dictionaries are trained with zstandard: one on ordinary texts, one on toxic text. Most of a toxic document is ordinary, so the
+toxic samples are the stretches of toxic documents that ordinary ones lack: runs of bytes, across words too, which significantly more
+toxic documents have. Whole toxic documents as samples were tried and fill the dictionary with ordinary text (figures in README).
 
-A document is cut into windows of a few words. Windows that the toxic dictionary shortens are looked at word by word, each before
-the same padding (zstandard starts no match in the last bytes and stores very short inputs as they are), with a more thorough match search. The largest gain, the sum of gains and
-the number of gaining words make the score, by a logistic curve fitted on documents that the dictionaries haven't seen.
+A document is cut into windows of a few words. A window is compressed with the ordinary dictionary, and with the ordinary and the toxic
+one together; the difference of both lengths is what toxic text alone explains. The largest difference of a document and the numbers of
+windows beyond two thresholds make the score, by a logistic curve fitted on documents that the dictionaries haven't seen.
 
-Learning takes a sample bounded by TrainingBound, whose classes count as often as all labels have them; scoring takes every whole text. Only labels of the training fold are read.
+Learning takes a sample bounded by TrainingBound, whose classes count as often as all labels have them; scoring takes every whole text.
+Only labels of the training fold are read.
 
 Defined cases: null and empty texts get the score of a document without gains; a label without a document, or a null label, is left
-out; a document labelled twice is toxic if one label says so; without toxic or ordinary training rows every score is the smoothed
-base rate; repeated and null doc_ids are scored like any row (null ids are in neither fold's training); empty tables give empty
-ones; other columns are left out.
+out; a document labelled twice is toxic if one label says so; of rows that repeat a doc_id one is learnt from, and exact copies count
+once for the dictionaries; without toxic or ordinary training rows every score is the smoothed base rate; repeated and null doc_ids are
+scored like any row (null ids are in neither fold's training); empty tables give empty ones; other columns are left out.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,21 +32,29 @@ from pyspark.sql import functions as F
 
 from .common import durable, lookup_join, table
 
-WINDOW_WORDS = 8
-#: Bytes by which the toxic dictionary must shorten a window for a closer look, and a word to count as a gain.
-LOOK, GAIN = 1, 3
+WINDOW_WORDS = 4
+#: Bytes by which the toxic dictionary must shorten a window to count, and to count as a large gain.
+GAIN, LARGE = 2, 4
 THRESHOLD = 0.7
+#: Share of labels taken to be wrong, either way: where gains part the classes, it bounds the curve, which the sample's size would else make steep.
+DOUBT = 0.01
+#: Bytes of a run, which is also the shortest match of the compressors, and of the text that follows each window.
+RUN, PAD = 6, 32
 
 
 @dataclass(frozen=True)
 class TrainingBound:
-    """Rows that are learnt from, at most: toxic and ordinary ones, both for dictionaries and for the curve; and their length."""
+    """What is learnt from, at most: toxic and ordinary rows, for dictionaries and curve together; characters of a text (longer ones are
+    left out of learning); bytes of the ordinary dictionary."""
 
     toxic: int = 2000
     ordinary: int = 4000
     chars: int = 20_000
     dictionary: int = 16_000
-    toxic_bytes: int = 8_000
+
+
+#: Bytes of toxic dictionaries that are tried, and from how many times as large a one their best end is taken; the calibration rows choose.
+TOXIC_DICTIONARIES = ((400, 2), (1600, 8), (3200, 8))
 
 
 @dataclass(frozen=True)
@@ -56,104 +64,107 @@ class Model:
     weights: tuple[float, ...]
 
 
-RUN = 6
-PAD = 32
-
-
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _runs(words) -> set[bytes]:
-    out: set[bytes] = set()
-    for w in words:
-        x = b" " + w + b" "
-        out.update(x[i : i + RUN] for i in range(len(x) - RUN + 1))
+def _spaced(words: list[bytes]) -> bytes:
+    return b" " + b" ".join(words) + b" "
+
+
+def _runs(data: bytes) -> np.ndarray:
+    """The run that begins at each byte, as a number."""
+    x = np.frombuffer(data, dtype=np.uint8).astype(np.uint64)
+    out = np.zeros(max(0, len(x) - RUN + 1), dtype=np.uint64)
+    for j in range(RUN):
+        out = (out << np.uint64(8)) | x[j : len(x) - RUN + 1 + j]
+    return out
+
+
+def toxic_stretches(toxic: list[str], ordinary: list[str], z: float = 6.0, purity: float = 0.05, least: int = 3) -> list[bytes]:
+    """Stretches of toxic texts made of runs whose share of toxic documents exceeds that of ordinary ones by z standard errors, and is 1/purity times as high."""
+    toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
+    texts = [_spaced(_words(t)) for t in toxic]
+    runs = [_runs(x) for x in texts]
+    known, n = np.unique(np.concatenate([np.unique(r) for r in runs]), return_counts=True)
+    known, n = known[n >= least], n[n >= least]
+    other = np.zeros(len(known), dtype=np.int64)
+    for t in ordinary:
+        other[np.isin(known, np.unique(_runs(_spaced(_words(t)))), assume_unique=True)] += 1
+    a, b = n / len(toxic), other / len(ordinary)
+    share = (n + other) / (len(toxic) + len(ordinary))
+    apart = a - b > z * np.sqrt(share * (1 - share) * (1 / len(toxic) + 1 / len(ordinary)))
+    pure = known[apart & ((other + 0.5) / len(ordinary) < np.maximum(purity, 0.6 / a / len(ordinary)) * a)]
+    out = []
+    for x, r in zip(texts, runs, strict=True):
+        begin = np.flatnonzero(np.isin(r, pure))
+        cover = np.zeros(len(x) + 1, dtype=np.int64)
+        np.add.at(cover, begin, 1)
+        np.add.at(cover, begin + RUN, -1)
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], np.cumsum(cover)[:-1] > 0, [False]))))
+        for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            # One or two letters of a neighbouring word at either end say nothing of the stretch.
+            while 0 < x.find(b" ", i, j) - i < 3:
+                i = x.find(b" ", i, j)
+            while 0 < j - 1 - x.rfind(b" ", i, j) < 3 and x.rfind(b" ", i, j) >= 0:
+                j = x.rfind(b" ", i, j) + 1
+            if j - i >= RUN:
+                out.append(x[i:j])
     return out
 
 
-def distinctive(toxic: list[str], ordinary: list[str], z: float = 6.0, purity: float = 0.05, most: int = 8_000) -> bytes:
-    """Stretches of toxic text made of runs whose share of toxic documents exceeds that of ordinary ones by z standard errors, and is 1/purity times as high."""
-    a, b = Counter(), Counter()
-    for count, texts in ((a, toxic), (b, ordinary)):
-        for t in texts:
-            count.update(_runs(set(_words(t))))
-    na, nb = len(toxic), len(ordinary)
-    pure = set()
-    for run, n in a.items():
-        share = (n + b[run]) / (na + nb)
-        if n >= 3 and n / na - b[run] / nb > z * (share * (1 - share) * (1 / na + 1 / nb)) ** 0.5 and (b[run] + 0.5) / nb < max(purity, 0.6 / (n / na) / nb) * n / na:
-            pure.add(run)
-    stretches: Counter = Counter()
-    for t in toxic:
-        for w in set(_words(t)):
-            x = b" " + w + b" "
-            covered = bytearray(len(x))
-            for i in range(len(x) - RUN + 1):
-                if x[i : i + RUN] in pure:
-                    covered[i : i + RUN] = b"\1" * RUN
-            stretches.update(x[m.start() : m.end()] for m in re.finditer(b"\1+", bytes(covered)))
-    chosen: list[bytes] = []
-    size = 0
-    for s, n in sorted(stretches.items(), key=lambda p: (-p[1], p[0])):
-        if n >= 3 and size + len(s) <= most and not any(s in c for c in chosen):
-            chosen.append(s)
-            size += len(s)
-    return b"".join(reversed(chosen))  # nearest to the window: the commonest
-
-
-def _ordinary_dictionary(texts: list[str], size: int) -> bytes:
-    samples = [b" " + b" ".join(_words(t))[:4000] for t in texts]
+def _train_dictionary(samples: list[bytes], size: int, times: int, k: int, d: int) -> bytes:
+    """The last bytes, which hold the best segments, of a larger dictionary; samples that fit as they are need no choice: the commonest go last."""
+    whole = b"".join(s for s, _ in sorted(Counter(samples).items(), key=lambda p: (p[1], p[0])))
+    if len(whole) <= size:
+        return whole
     try:
-        content = zstandard.train_dictionary(4 * size, samples, k=64, d=8).as_bytes()
-    except zstandard.ZstdError:  # too little text to choose from: all of it
-        content = b"".join(samples)
-    return content[-size:]
+        return zstandard.train_dictionary(times * size + 512, samples, k=k, d=d).as_bytes()[-size:]
+    except zstandard.ZstdError:  # too little text to train on
+        return whole[-size:]
 
 
-def _compressor(content: bytes, level: int, run: int, size: int):
+def _compressor(content: bytes, level: int, size: int):
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    p = zstandard.ZstdCompressionParameters.from_level(level, source_size=128, dict_size=size, min_match=run, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+    p = zstandard.ZstdCompressionParameters.from_level(level, source_size=128, dict_size=size, min_match=RUN, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
     dictionary.precompute_compress(compression_params=p)
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=p).compress
 
 
 @lru_cache(maxsize=4)
 def gains(ordinary: bytes, toxic: bytes):
-    """text -> (largest gain, sum of gains, gaining words): the features of a document."""
+    """text -> (largest gain, windows with a gain, windows with a large gain): the features of a document."""
     if not toxic:
         return lambda text: (0, 0, 0)
-    both, pad = ordinary + toxic, (b" " * PAD + ordinary)[-PAD:]
+    # Zstandard starts no match in the last bytes and stores very short inputs as they are, so each window has the same text after it.
+    # Nor does it look for matches in the last eight bytes of a dictionary.
+    one, both, pad = ordinary + b" " * 8, ordinary + toxic + b" " * 8, (b" " * PAD + ordinary)[-PAD:]
     size = len(both)  # the same tables for both, whatever they hold
-    quick_o, quick_t = _compressor(ordinary or b" " * 8, 1, 6, size), _compressor(both, 1, 6, size)
-    close_o, close_t = _compressor(ordinary or b" " * 8, 6, 6, size), _compressor(both, 6, 6, size)
+    short_o, short_t = _compressor(one, 6, size), _compressor(both, 6, size)
 
     def of(text: str | None) -> tuple[int, int, int]:
         words = _words(text)
-        most = total = n = 0
+        most = n = large = 0
         for i in range(0, len(words), WINDOW_WORDS):
-            part = words[i : i + WINDOW_WORDS]
-            window = b" " + b" ".join(part) + b" " + pad
-            if len(quick_o(window)) - len(quick_t(window)) >= LOOK:
-                for w in part:
-                    x = b" " + w + b" " + pad
-                    gain = len(close_o(x)) - len(close_t(x))
-                    if gain >= GAIN:
-                        most, total, n = max(most, gain), total + gain, n + 1
-        return most, total, n
+            window = _spaced(words[i : i + WINDOW_WORDS]) + pad
+            gain = len(short_o(window)) - len(short_t(window))
+            if gain >= GAIN:
+                most, n, large = max(most, gain), n + 1, large + (gain >= LARGE)
+        return most, n, large
 
     return of
 
 
 def _features(rows: np.ndarray) -> np.ndarray:
-    most, total, n = rows[:, 0], rows[:, 1], rows[:, 2]
-    return np.stack([np.ones(len(rows)), most / 10, np.log1p(total) / 3, np.log1p(n)], axis=1)
+    most, n, large = rows[:, 0], rows[:, 1], rows[:, 2]
+    return np.stack([np.ones(len(rows)), np.maximum(0, most - GAIN) / 5, np.log1p(n), np.log1p(large)], axis=1)
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rows: np.ndarray | None = None) -> tuple[float, ...]:
-    """Logistic regression by Newton's method; the intercept isn't shrunk, and no gain lowers a score. rows: how much each row counts, 1 by default."""
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.00002, rows: np.ndarray | None = None) -> tuple[float, ...]:
+    """Logistic regression by Newton's method; the intercept isn't shrunk, and no gain lowers a score. rows: how much each row counts, 1 by
+    default. ridge: for each row, so that the curve doesn't grow steeper with the sample."""
     w, rows = np.zeros(x.shape[1]), np.ones(len(y)) if rows is None else rows
-    penalty = np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
+    penalty = np.diag([1e-6, *[ridge * rows.sum()] * (x.shape[1] - 1)])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (rows * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (rows * (y - p)) - penalty @ w)
@@ -177,25 +188,32 @@ def train(docs: DataFrame, labels: DataFrame, bound: TrainingBound = TrainingBou
     chosen = [known.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(n) for t, n in ((1, bound.toxic), (0, bound.ordinary))]
     picked = durable(chosen[0].unionByName(chosen[1]), "training")
     texts = docs.select("doc_id", "text").where(F.length("text") <= bound.chars)
-    rows = lookup_join(texts, picked, "doc_id", "inner", rows=bound.toxic + bound.ordinary).orderBy("doc_id", "text").collect()  # bounded
+    texts = lookup_join(texts, picked, "doc_id", "inner", rows=bound.toxic + bound.ordinary)
+    # One row for each picked id, whatever its rows: at most bound.toxic + bound.ordinary texts of at most bound.chars characters.
+    rows = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).orderBy("doc_id").collect()
     parts = {(t, c): [r["text"] for r in rows if r["toxic"] == t and (hash_of(r["doc_id"]) % 3 == 0) == c] for t in (0, 1) for c in (False, True)}
     toxic, ordinary = parts[1, False], parts[0, False]
-    model = Model(b"", b"", ())
-    if toxic and ordinary:
-        model = Model(_ordinary_dictionary(ordinary, bound.dictionary), distinctive(toxic, ordinary, most=bound.toxic_bytes), ())
     # A class that hit its bound stands for more rows than it has here: its rows count as many times as it has labels for each one picked.
     stands = np.array([max(1.0, counts.get(t, 0) / n) for t, n in ((0, bound.ordinary), (1, bound.toxic))])
-    of = gains(model.ordinary, model.toxic)
-    test = [(t, of(text)) for t in (0, 1) for text in parts[t, True]]
-    y = np.array([t for t, _ in test], dtype=float)
-    if not 0 < y.sum() < len(y) or not model.toxic:
+    y = np.array([t for t in (0, 1) for _ in parts[t, True]], dtype=float)
+    stretches = toxic_stretches(toxic, ordinary) if toxic and ordinary and 0 < y.sum() < len(y) else []
+    if not stretches:
         have = np.bincount([r["toxic"] for r in rows], minlength=2) * stands
         have = have * len(rows) / max(1.0, have.sum())
         rate = (have[1] + 0.5) / (len(rows) + 1)
-        return Model(model.ordinary, b"", (float(np.log(rate / (1 - rate))), 0.0, 0.0, 0.0))
+        return Model(b"", b"", (float(np.log(rate / (1 - rate))), 0.0, 0.0, 0.0))
     rows_each = stands[y.astype(int)]
-    rows_each = rows_each * len(y) / rows_each.sum()  # the ridge stays in proportion to the sample
-    return Model(model.ordinary, model.toxic, _fit(_features(np.array([f for _, f in test], dtype=float)), y, rows=rows_each))
+    rows_each = rows_each * len(y) / rows_each.sum()
+    by_ordinary = _train_dictionary([_spaced(_words(t)) for t in ordinary], bound.dictionary, 4, 64, 8)
+    models = []
+    for size, times in TOXIC_DICTIONARIES:
+        by_toxic = _train_dictionary(stretches, size, times, 16, RUN)
+        of = gains(by_ordinary, by_toxic)
+        x = _features(np.array([of(text) for t in (0, 1) for text in parts[t, True]], dtype=float))
+        weights = _fit(x, DOUBT + (1 - 2 * DOUBT) * y, rows=rows_each)
+        p = np.clip(1 / (1 + np.exp(-np.clip(x @ np.array(weights), -30, 30))), 1e-6, 1 - 1e-6)
+        models.append((float(-(rows_each * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()), size * times, Model(by_ordinary, by_toxic, weights)))
+    return min(models, key=lambda m: m[:2])[2]
 
 
 def hash_of(doc_id: int) -> int:
@@ -203,14 +221,14 @@ def hash_of(doc_id: int) -> int:
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, score, gain (the largest), gaining (words)."""
+    """docs(doc_id, text) -> doc_id, score, gain (the largest), gaining (windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = gains(model.ordinary, model.toxic)
         for batch in batches:
             found = np.array([of(t.as_py()) for t in batch.column(1)], dtype=float).reshape(-1, 3)
             score = 1 / (1 + np.exp(-np.clip(_features(found) @ np.array(model.weights), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(found[:, 0].astype(np.int32)), pa.array(found[:, 2].astype(np.int32))], names=["doc_id", "score", "gain", "gaining"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(found[:, 0].astype(np.int32)), pa.array(found[:, 1].astype(np.int32))], names=["doc_id", "score", "gain", "gaining"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, gain int, gaining int")
 

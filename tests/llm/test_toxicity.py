@@ -69,6 +69,39 @@ def test_copies_of_the_tables_beyond_the_bound_keep_the_predictions(spark):
     assert sum(one[i] != four[i] for i in one) <= 3  # the dictionaries are learnt from another sample
 
 
+def test_scores_are_differences_of_compressed_windows(spark):
+    """Every score again, from the model's dictionaries and weights, with zstandard alone."""
+    import zstandard
+
+    docs, labels = corpus(600)
+    docs += [(9000, None), (9001, ""), (9002, "nitwit, dunderling"), (9003, "Blockhead " * 500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = t.train(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+    def length(content, data):
+        made = zstandard.ZstdCompressionDict(content + b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        p = zstandard.ZstdCompressionParameters.from_level(6, source_size=128, dict_size=len(model.ordinary + model.toxic) + 8, min_match=6, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+        made.precompute_compress(compression_params=p)
+        return len(zstandard.ZstdCompressor(dict_data=made, compression_params=p).compress(data))
+
+    for r in t.scores(df, model).collect():
+        words = (dict(docs)[r.doc_id] or "").lower().split()
+        gains = []
+        for i in range(0, len(words), t.WINDOW_WORDS):
+            window = (" " + " ".join(words[i : i + t.WINDOW_WORDS]) + " ").encode() + model.ordinary[-32:]
+            gains.append(length(model.ordinary, window) - length(model.ordinary + model.toxic, window))
+        n = [sum(g >= least for g in gains) for least in (t.GAIN, t.LARGE)]
+        x = model.weights[0] + model.weights[1] * max(0, max(gains, default=0) - t.GAIN) / 5 + model.weights[2] * np.log1p(n[0]) + model.weights[3] * np.log1p(n[1])
+        assert abs(r.score - 1 / (1 + np.exp(-x))) < 1e-9 and r.gaining == n[0]
+
+
+def test_phrases_of_ordinary_words_can_be_toxic_text():
+    r = random.Random(2)
+    ordinary = [" ".join(soup(r, 60)) for _ in range(300)]
+    toxic = [" ".join([*soup(r, 30), "go to it now", *soup(r, 30)]) for _ in range(60)]
+    assert any("go to it" in s.decode() for s in t.toxic_stretches(toxic, [*ordinary, *("go by it", "now to go") * 20]))
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = t.op9_toxicity(spark, sf).toPandas()
