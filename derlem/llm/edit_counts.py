@@ -5,7 +5,8 @@ its characters and tokens, an inner node the sums below it. An edit is located b
 the last leaf whose beginning the edit cannot have moved (a pre-token looks at most one character past its end) to the first old leaf
 boundary behind the edit where the new pre-tokens fall into step with the old ones; from there on both agree, for the pattern only looks
 forward. Only that region is encoded, and only the sums above its leaves change. A region that outgrows its leaves by far gets the tree
-built anew, from the leaves' counts where they stand.
+built anew. The special token, written out, is a pre-token of its own: leaves are never cut inside one, and a region begins far enough
+ahead of an edit for any that the edit makes or breaks.
 
 Defined cases: null and empty texts have an empty leaf and no tokens; null edits are no edits; an edit's place and length are cut to
 the text as it is by then; edits apply in order; null and repeated doc_ids are rows of their own in ``apply_edits``; an empty table
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import encoder
+from .tokens import SPECIAL, encoder
 
 #: Pre-tokens of a leaf, and the growth of a region at which the tree is built anew.
 LEAF, GROWTH = 64, 8
@@ -37,6 +38,18 @@ def _pattern():
     return regex.compile(public_tokenizers.PATTERN)
 
 
+def _ends(text: str, at: int) -> Iterator[int]:
+    """Where the pre-tokens from a place on end. The vocabulary cuts a text at its special token first, and each part as a text of its own."""
+    while at < len(text):
+        special = text.find(SPECIAL, at)
+        for m in _pattern().finditer(text, at, len(text) if special < 0 else special):
+            yield m.end()
+        if special < 0:
+            return
+        at = special + len(SPECIAL)
+        yield at
+
+
 class Tree:
     """Sums in heap order: node 1 is the root, the leaves are the second half."""
 
@@ -52,7 +65,7 @@ class Tree:
         return end == len(self.text) or not self.text[end - 1].isspace()
 
     def _build(self) -> None:
-        ends = [m.end() for m in _pattern().finditer(self.text) if self._firm(m.end())]
+        ends = [end for end in _ends(self.text, 0) if self._firm(end)]
         cuts = [0, *ends[self.leaf - 1 :: self.leaf]]
         if cuts[-1] != len(self.text) or len(cuts) == 1:
             cuts.append(len(self.text))
@@ -92,7 +105,8 @@ class Tree:
         start = max(0, min(start, old))
         stop = max(start, min(start + removed, old))
         self.text = self.text[:start] + inserted + self.text[stop:]
-        first, begin = self.find(start - 3) if start > 3 else (0, 0)
+        ahead = start - 3 - len(SPECIAL)
+        first, begin = self.find(ahead) if ahead > 0 else (0, 0)
         # Old leaf boundaries behind the edit, as offsets in the new text.
         shift = len(inserted) - (stop - start)
         last, edge = first, begin
@@ -100,13 +114,13 @@ class Tree:
             edge += self.chars[size + last]
             last += 1
         at, ends = begin, []
-        for m in _pattern().finditer(self.text, begin):
+        for end in _ends(self.text, begin):
             while last < size and edge + shift < at:
                 edge += self.chars[size + last]
                 last += 1
             if last > first and at == edge + shift and at >= start + len(inserted) and self._firm(at):
                 break
-            at = m.end()
+            at = end
             if self._firm(at):
                 ends.append(at)
         else:
@@ -153,21 +167,26 @@ def attach_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def apply_edits(trees: DataFrame, vocabulary: str | None = None, leaf: int = LEAF) -> DataFrame:
-    """trees with edits: array<struct<start, removed, inserted>> -> trees after the edits, with n_before and n_encoded (characters)."""
+    """trees with edits: array<struct<start, removed, inserted>> -> trees after the edits, with n_before and n_encoded (characters).
+
+    Rows without chars and tokens, that is, documents with edits, get their trees in the same pass."""
+    stored = "chars" in trees.columns and "tokens" in trees.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         for batch in batches:
             trees, before, encoded = [], [], []
-            for text, chars, tokens, edits in zip(*(batch.column(c).to_pylist() for c in ("text", "chars", "tokens", "edits")), strict=True):
-                tree = Tree(text or "", encode, leaf, (chars, tokens))
+            sums = zip(batch.column("chars").to_pylist(), batch.column("tokens").to_pylist(), strict=True) if stored else [None] * batch.num_rows
+            for text, edits, own in zip(batch.column("text"), batch.column("edits").to_pylist(), sums, strict=True):
+                tree = Tree(text.as_py() or "", encode, leaf, own)
                 before.append(tree.total)
                 encoded.append(sum(tree.edit(e["start"] or 0, e["removed"] or 0, e["inserted"] or "") for e in edits or () if e))
                 trees.append(tree)
             columns = [batch.column("doc_id"), pa.array([t.text for t in trees], pa.string()), *(pa.array([getattr(t, c) for t in trees], pa.list_(pa.int32())) for c in ("chars", "tokens")), pa.array(before, pa.int64()), pa.array(encoded, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "chars", "tokens", "n_before", "n_encoded"])
 
-    return trees.select("doc_id", "text", "chars", "tokens", "edits").mapInArrow(run, TREE + ", n_before long, n_encoded long")
+    rows = trees.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "edits", *(["chars", "tokens"] if stored else []))
+    return rows.mapInArrow(run, TREE + ", n_before long, n_encoded long")
 
 
 def stated_edits() -> Column:
@@ -180,6 +199,5 @@ def stated_edits() -> Column:
 
 def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's count before and after three stated edits, and how many characters had to be encoded for them."""
-    trees = build_trees(table(spark, sf_dir, "documents"))
-    after = apply_edits(trees.withColumn("edits", stated_edits()))
+    after = apply_edits(table(spark, sf_dir, "documents").select("doc_id", "text", stated_edits().alias("edits")))
     return after.select("doc_id", "n_before", F.col("tokens")[1].cast("long").alias("n_after"), F.col("chars")[1].cast("long").alias("n_chars"), "n_encoded")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from functools import lru_cache
 
 #: Written out in a text, the one special token is one id.
 SPECIAL = "<|endoftext|>"
+#: White space in runs so long that the fast library's search for pre-tokens would overflow its stack (it fails at about a million).
+_LONG_GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 @lru_cache(maxsize=2)
@@ -33,6 +36,14 @@ def encoder(folder: str | None = None):
         if SPECIAL in text:
             slow = slow or Tokenizer.from_file(place("byte_bpe_50k.json"))
             return array("I", slow.encode(text, add_special_tokens=False).ids).tobytes()
-        return array("I", fast.encode_ordinary(text)).tobytes()
+        ids, done = array("I"), 0
+        for m in _LONG_GAP.finditer(text):
+            # The run is one pre-token; its last character belongs to what follows, if anything does.
+            end = m.end() - (m.end() < len(text))
+            ids.extend(fast.encode_ordinary(text[done : m.start()]))
+            ids.extend(fast._encode_single_piece(text[m.start() : end]))
+            done = end
+        ids.extend(fast.encode_ordinary(text[done:] if done else text))
+        return ids.tobytes()
 
     return encode
