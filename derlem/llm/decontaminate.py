@@ -8,10 +8,12 @@ bounds of both ends drop windows that would stick out, and the windows left are
 
 Anchors are joined by broadcast in blocks of items of bounded size; one block is enough for any usual benchmark.
 
+Hits are joined back to rows by hashes of id and whole text: rows that agree in both get the same judgement, any others their own.
+
 Defined cases: null and blank texts have no words and are clean; items without words are left out; items with the same id are one
-item in the count of items; the same text under two ids counts for both; a null item_id is left out; a row with a null doc_id
-is kept without hits; rows that repeat a doc_id each give a row, and with different texts are judged by the union of hits, so
-ids should be unique; empty tables give no hits or no rows; other columns are left out.
+item in the count of items; the same text under two ids counts for both; a null item_id is left out; rows with a null or a
+repeated doc_id are each judged by their own text; empty tables give no hits or no rows; other columns are left out by
+``contamination`` and kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -33,6 +35,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
+#: What hits are joined by; the names are unlikely to clash with columns of documents.
+KEY = ["_row_hash", "_row_chars"]
+
+
+def _keys() -> list[Column]:
+    return [F.xxhash64("doc_id", F.col("text").cast("string")).alias(KEY[0]), F.coalesce(F.length(F.col("text").cast("string")), F.lit(-1)).alias(KEY[1])]
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
     return (benchmark.where("item_id is not null")
             .select(F.col("item_id").cast("string").alias("item_id"), words_of(ascii_lower(F.col("text"))).alias("item")).distinct()
@@ -61,20 +71,20 @@ def anchors(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
 
 
 def _hits(docs: DataFrame, block: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """doc_id, item_id, size, at: places of the document where windows of the item start."""
-    words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    said = words.select("doc_id", "words", F.posexplode("words").alias("p", "w")).withColumn("word", F.lower("w"))
+    """KEY, item_id, size, at: places of the document where windows of the item start."""
+    words = docs.select(*KEY, words_of(F.col("text")).alias("words"))
+    said = words.select(*KEY, "words", F.posexplode("words").alias("p", "w")).withColumn("word", F.lower("w"))
     met = said.join(F.broadcast(block), "word").where(F.lower(F.get("words", F.col("p") + F.col("side"))) == F.col("check"))
     shift = F.col("p") - F.col("place")
     low, high = F.greatest(F.lit(0), shift), F.least(F.size("words"), shift + F.col("item_words"))
     # The words that the item lies on, once for each way to lie: only they are shuffled.
-    met = met.select("doc_id", "item_no", shift.alias("shift"), F.slice("words", low + 1, F.greatest(F.lit(0), high - low)).alias("part")).distinct()
+    met = met.select(*KEY, "item_no", shift.alias("shift"), F.slice("words", low + 1, F.greatest(F.lit(0), high - low)).alias("part")).distinct()
     met = met.join(F.broadcast(items), "item_no").withColumn("size", F.least(F.lit(width), F.size("item")))
     met = met.withColumn("part", F.transform("part", ascii_lower)).withColumn("skip", F.greatest(F.lit(0), -F.col("shift")))
     starts = F.when(F.size("part") >= F.col("size"), F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("part") - F.col("size")))).otherwise(F.array().cast("array<int>"))
     same = F.filter(starts, lambda k: F.slice("part", k + 1, F.col("size")) == F.slice("item", F.col("skip") + k + 1, F.col("size")))
     at = F.transform(same, lambda k: k + F.greatest(F.lit(0), F.col("shift")))
-    return met.select("doc_id", "item_id", "size", at.alias("at"))
+    return met.select(*KEY, "item_id", "size", at.alias("at"))
 
 
 def _covered(at: Column) -> Column:
@@ -88,9 +98,8 @@ def _covered(at: Column) -> Column:
         lambda s: s["n"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs(doc_id, text), benchmark(item_id, text) -> doc_id, n_words, n_hit, items (sorted array of the ids found)."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+def _found(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int) -> DataFrame | None:
+    """KEY, n_hit, items of the documents with hits; None if the benchmark has no words. docs has KEY."""
     items = durable(_items(benchmark), "items")
     known = durable(anchors(docs, items, width), "anchors")
     size = items.agg(F.sum(F.octet_length(F.array_join("item", " ")) * 8 + 64)).first()[0] or 0
@@ -100,14 +109,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, blo
         own = F.pmod("item_no", F.lit(blocks)) == k
         found = _hits(docs, known.where(own), items.where(own), width)
         hits = found if hits is None else hits.unionByName(found)
-    counts = docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     if hits is None:
-        return counts.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    spans = hits.select("doc_id", "item_id", F.explode("at").alias("start"), "size").groupBy("doc_id").agg(
+        return None
+    spans = hits.select(*KEY, "item_id", F.explode("at").alias("start"), "size").groupBy(*KEY).agg(
         _covered(F.array_sort(F.collect_set(F.struct("start", "size")))).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
-    found = durable(spans, "contaminated").withColumnRenamed("doc_id", "hit_id")
-    joined = lookup_join(counts.withColumn("hit_id", F.col("doc_id")), found, "hit_id") if blocks else counts
-    return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return durable(spans, "contaminated")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs(doc_id, text), benchmark(item_id, text) -> doc_id, n_words, n_hit, items (sorted array of the ids found)."""
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), *_keys())
+    found = _found(docs, benchmark, width, block_bytes)
+    counts = docs.select("doc_id", *KEY, F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    none = F.array().cast("array<string>")
+    if found is None:
+        return counts.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("items"))
+    return lookup_join(counts, found, KEY).select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -116,9 +133,13 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents with a twentieth of their words or more in benchmark windows go; the others keep all columns."""
-    found = contamination(docs, benchmark)
-    gone = durable(found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id").distinct(), "contaminated_ids")
-    return lookup_join(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    found = _found(docs.select("doc_id", F.col("text").cast("string").alias("text"), *_keys()), benchmark, WIDTH, BLOCK_BYTES)
+    if found is None:
+        return docs
+    rows = docs.select(F.struct("*").alias("_doc"), *_keys())  # as a struct, no column clashes
+    words = F.when(F.col("_n_hit") > 0, F.size(words_of(F.col("_doc.text").cast("string"))))  # of the few documents with hits only
+    rows = lookup_join(rows, found.select(*KEY, F.col("n_hit").alias("_n_hit")), KEY)
+    return rows.where(~F.coalesce(is_contaminated(F.col("_n_hit"), words), F.lit(False))).select("_doc.*")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

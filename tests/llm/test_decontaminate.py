@@ -51,7 +51,7 @@ def test_against_force(spark, block):
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit(2))
     got = {r.doc_id: (r.n_words, r.n_hit, r.items) for r in d.contamination(df, bench, block_bytes=block).collect()}
     want = {i: (n, h, f) for i, n, h, f in force(docs, items)}
-    want[None] = (1, 0, [])  # a null id meets no hits
+    assert want[None] == (1, 1, ["50"])  # a row without an id is judged like any other
     assert got == want
     kept = {r.doc_id for r in d.drop_contaminated(df, bench).collect()}
     assert kept == {i for i, (n, h, _) in want.items() if not (h and 20 * h >= n)}
@@ -70,3 +70,29 @@ def test_empty(spark):
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert d.contamination(none, items).count() == 0
     assert d.contamination(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), items.limit(0)).first().n_hit == 0
+
+
+def test_rows_of_one_id_are_judged_apart(spark):
+    items = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20)))], "item_id long, text string")
+    bad = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(7, bad), (7, "tiny doc"), (7, bad), (None, bad), (None, "clean"), (8, bad + " x" * 20000), (9, None)], "doc_id long, text string").withColumn("_n_hit", F.lit("clash"))
+    got = sorted(((r.doc_id or -1, r.n_words, r.n_hit) for r in d.contamination(docs, items).collect()))
+    assert got == [(-1, 1, 0), (-1, 20, 20), (7, 2, 0), (7, 20, 20), (7, 20, 20), (8, 20020, 20), (9, 0, 0)]
+    kept = d.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or -1, len(r.text or "")) for r in kept.collect()) == [(-1, 5), (7, 8), (8, len(bad) + 40000), (9, 0)]
+
+
+def test_sql_agrees_on_repeated_ids(spark, tmp_path):
+    import duckdb
+
+    from derlem.llm.sql import OP4
+
+    item = " ".join(f"w{k}" for k in range(20))
+    for name, rows, schema in (("documents", [(7, item), (7, "tiny doc"), (None, item), (8, "x"), (8, "x")], "doc_id long, text string"), ("benchmark", [(1, item)], "item_id long, text string")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = [tuple(r) for r in d.op4_decontaminate(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(con.execute(OP4).fetchall(), key=str)
