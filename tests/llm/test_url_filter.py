@@ -27,7 +27,7 @@ def reputations(hosts, outcomes, at):
     def names(host):
         labels = host.split(".")
         two = ".".join(labels[-2:])
-        deep = two in u.TWO_LABEL_SUFFIXES
+        deep = len(labels) > 1 and len(labels[-1]) == 2 and labels[-2] in u.SECOND_LEVEL
         return ".".join(labels[-3:]) if deep else two, two if deep else labels[-1]
 
     sums = [defaultdict(lambda: [0, 0]) for _ in range(3)]
@@ -58,7 +58,7 @@ def reputations(hosts, outcomes, at):
         rho = min(at.most_rho, max(at.least_rho, (got - dof) / (size - dof))) if any_ and size - dof > 0 else at.most_rho
         weight.append(1 / rho - 1)
     mean = (sum(b for _, b in sums[2].values()) + 0.5) / (sum(n for n, _ in sums[2].values()) + 1)
-    out = {}
+    out = {None: mean}
     for host in hosts:
         domain, suffix = names(host)
         rate = mean
@@ -78,8 +78,10 @@ def test_query_against_force(spark, sf):
     want = []
     for i, host, path in pages:
         rule, verdict = rule_of(host, path)
-        want.append((i, host, path, rule, verdict or ("block" if lower[host] > at.block_above else "allow")))
-    assert sorted(map(tuple, u.op1_url_reputation(spark, sf).collect())) == sorted(want)
+        want.append((i, host, path, rule, verdict or ("block" if lower[host] > lower[None] else "allow"), round(lower[host], 6)))
+    got = [(r.page_id, r.host, r.path, r.rule, r.verdict, r.lower) for r in u.op1_url_reputation(spark, sf).collect()]
+    assert sorted(x[:5] for x in got) == sorted(x[:5] for x in want)
+    assert all(abs(a[5] - b[5]) < 2e-6 for a, b in zip(sorted(got), sorted(want), strict=True))
 
 
 def test_odd_urls_and_rules(spark):
@@ -105,3 +107,21 @@ def test_reputation_shrinks_and_blocks(spark):
     got = u.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad int"))
     verdict = {r.host: r.verdict for r in got.collect()}
     assert [h for h, v in verdict.items() if v == "block"] == ["h7.good2.org"]
+
+
+def test_domains(spark):
+    want = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.com.mx": ("y.com.mx", "com.mx"), "a.b.example.com": ("example.com", "com"), "localhost": ("localhost", "localhost"),
+            "u:p@shop.x.org:8080": ("x.org", "org"), "x.org.": ("x.org", "org"), "10.0.0.1:80": ("10.0.0.1", "(number)"), "[::1]:80": ("[::1]", "(number)"), "": ("", ""), "a.github.io": ("github.io", "io")}
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    assert {r.host: (r.domain, r.suffix) for r in u._with_domains(hosts, None).collect()} == want
+    listed = spark.createDataFrame([("github.io",), ("IO",), ("uk",), (None,), ("io",)], "suffix string")
+    got = {r.host: (r.domain, r.suffix) for r in u._with_domains(hosts, listed).collect()}
+    assert got == want | {"a.github.io": ("a.github.io", "github.io"), "a.b.co.uk": ("co.uk", "uk"), "co.uk": ("co.uk", "uk")}
+
+
+def test_long_urls_and_a_fixed_limit(spark):
+    long = "x://h.org/" + "a" * 2_000_000
+    pages = spark.createDataFrame([(1, long), (2, "x://h.org/b"), (2, "x://h.org/b")], "page_id long, url string")
+    outcomes = spark.createDataFrame([(1, 1), (2, 1)], "page_id long, bad int")
+    got = u.filter_urls(pages, outcomes, at=u.Reputation(block_above=0.01)).collect()
+    assert [(len(r.path), r.verdict) for r in sorted(got, key=lambda r: -len(r.path))] == [(2_000_001, "block"), (2, "block"), (2, "block")]
