@@ -76,18 +76,22 @@ def ownership(found: DataFrame, at: Ownership = Ownership()) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, owner: str, repository: str, at: Ownership = Ownership()) -> DataFrame:
-    """doc_id, base (array of start, kind, end), spans (base and live-looking candidates), n_live (of all matches)."""
+    """doc_id, base (array of start, kind, end), spans (base and live-looking candidates), n_live (of all matches), and the most owners
+    and repositories that one of its matches has in the corpus (0 without matches)."""
     found = durable(scan(docs, owner, repository).withColumn("row", F.monotonically_increasing_id()), "secrets")
-    live = durable(ownership(found, at).where("live").select("hash"), "live")
-    each = found.select("row", F.explode("found").alias("f")).select("row", "f.*")
-    own = lookup_join(each, live, "hash", "left_semi").groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("own"))
+    counts = durable(ownership(found, at), "ownership")
+    each = lookup_join(found.select("row", F.explode("found").alias("f")).select("row", "f.*"), counts, "hash", "inner")
+    # A row's matches are few beside its text; null for those that aren't live, which collect_set leaves out.
+    own = each.groupBy("row").agg(
+        F.collect_set(F.when(F.col("live"), F.struct("start", "kind", "end"))).alias("own"), F.max("owners").alias("most_owners"), F.max("repositories").alias("most_repositories"))
     rows = lookup_join(found, durable(own, "own"), "row")
     base = F.array_sort(F.transform(F.filter("found", lambda f: f["kind"] < 3), lambda f: F.struct(f["start"].alias("start"), f["kind"].alias("kind"), f["end"].alias("end"))))
     own = F.coalesce("own", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
     # A candidate that a base match covers in part or whole tells nothing new.
-    new = F.filter(own, lambda c: (c["kind"] == 3) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    rows = rows.select("doc_id", base.alias("base"), "own")
-    return rows.select("doc_id", "base", F.array_sort(F.concat("base", new)).alias("spans"), F.size(own).cast("long").alias("n_live"))
+    new = F.filter("own", lambda c: (c["kind"] == 3) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    most = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("most_owners", "most_repositories")]
+    rows = rows.select("doc_id", base.alias("base"), own.alias("own"), *most)
+    return rows.select("doc_id", "base", F.array_sort(F.concat("base", new)).alias("spans"), F.size("own").cast("long").alias("n_live"), "most_owners", "most_repositories")
 
 
 def spans_text(spans: Column) -> Column:
@@ -100,4 +104,4 @@ def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("repository", F.concat_ws("/", "source", "lang"))
     found = find_secrets(docs, "source", "repository")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])], F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"), "n_live")
+    return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])], F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"), "n_live", "most_owners", "most_repositories")
