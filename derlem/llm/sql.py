@@ -4,12 +4,12 @@ OP1 = r"""
 WITH p0 AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM p0),
-h0 AS (SELECT host, string_split(host, '.') AS l, count(*) FILTER (quality IS NOT NULL) AS n,
+h0 AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), '\.*(:[0-9]*)?$', '') AS site, count(*) FILTER (quality IS NOT NULL) AS n,
               coalesce(sum(1 - quality), 0)::BIGINT AS bad FROM p LEFT JOIN labels ON page_id = doc_id GROUP BY host),
-h1 AS (SELECT host, l, n, bad, array_to_string(l[-2:], '.') AS two FROM h0),
-h AS (SELECT host, n, bad,
-             CASE WHEN two IN ('co.uk','org.uk','com.tr','org.tr','gov.tr','com.au','co.jp','com.br','co.in') THEN array_to_string(l[-3:], '.') ELSE two END AS domain,
-             CASE WHEN two IN ('co.uk','org.uk','com.tr','org.tr','gov.tr','com.au','co.jp','com.br','co.in') THEN two ELSE l[-1] END AS suffix FROM h1),
+h1 AS (SELECT host, site, string_split(site, '.') AS l, n, bad, regexp_matches(site, '^[0-9.]+$|^\[') AS numeric FROM h0),
+h2 AS (SELECT *, CASE WHEN numeric THEN '(number)' WHEN length(l[-1]) = 2 AND len(l) > 1 AND l[-2] IN ('ac','co','com','edu','gen','go','gob','gouv','gov','govt','gv','mil','ne','net','nom','or','org','sch')
+                 THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix FROM h1),
+h AS (SELECT host, n, bad, suffix, CASE WHEN numeric THEN site ELSE array_to_string(l[greatest(1, len(l) - len(string_split(suffix, '.'))):], '.') END AS domain FROM h2),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 s AS (SELECT suffix, 1 AS one, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 w AS (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) AS mean FROM s),
@@ -24,7 +24,8 @@ k AS (SELECT 1 / coalesce(max(rho) FILTER (level = 1), 0.5::DOUBLE) - 1 AS k1, 1
 sr AS (SELECT suffix, (bad + k1 * mean) / (n + k1) AS suffix_rate FROM s, k, w),
 dr AS (SELECT domain, (bad + k2 * suffix_rate) / (n + k2) AS domain_rate FROM d JOIN sr USING (suffix), k),
 hr AS (SELECT host, n + k3 AS strength, (bad + k3 * domain_rate) / (n + k3) AS posterior FROM h JOIN dr USING (domain), k),
-hv AS (SELECT host, CASE WHEN posterior - 1.645::DOUBLE * sqrt(posterior * (1 - posterior) / (strength + 1)) > 0.3 THEN 'block' ELSE 'allow' END AS by_host FROM hr),
+hl AS (SELECT host, posterior, posterior - 1.645::DOUBLE * sqrt(posterior * (1 - posterior) / (strength + 1)) AS lower FROM hr),
+hv AS (SELECT host, posterior, lower, CASE WHEN lower > mean THEN 'block' ELSE 'allow' END AS by_host FROM hl, w),
 r AS (SELECT p.*, CASE
     WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
@@ -32,7 +33,7 @@ r AS (SELECT p.*, CASE
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM p)
 SELECT page_id, host, path, rule,
-       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' ELSE by_host END AS verdict
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' ELSE by_host END AS verdict, round(posterior, 6) AS posterior, round(lower, 6) AS lower
 FROM r JOIN hv USING (host)
 """
 
@@ -70,18 +71,18 @@ FROM f
 """
 
 OP4 = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
 items AS (SELECT DISTINCT item_id, least(13, len(w)) AS size, array_to_string(w[i:i+least(13, len(w))-1], ' ') AS g
           FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT size FROM items),
-windows AS (SELECT doc_id, size, i, array_to_string(w[i:i+size-1], ' ') AS g FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes)),
-hit AS (SELECT doc_id, size, i, item_id FROM windows JOIN items USING (size, g)),
-n AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT doc_id, i, unnest(range(size)) AS j FROM hit) GROUP BY doc_id),
-f AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY doc_id)
+windows AS (SELECT r, size, i, array_to_string(w[i:i+size-1], ' ') AS g FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes)),
+hit AS (SELECT r, size, i, item_id FROM windows JOIN items USING (size, g)),
+n AS (SELECT r, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT r, i, unnest(range(size)) AS j FROM hit) GROUP BY r),
+f AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id)
+FROM d LEFT JOIN n USING (r) LEFT JOIN f USING (r)
 """
 
 OP3 = r"""
@@ -105,14 +106,15 @@ e AS (SELECT r, kind, m, g, unnest(range(1, len(m) + 1)) AS i FROM s WHERE len(m
 f AS (SELECT r, kind, m[i] AS v, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT AS a FROM e),
 k AS (SELECT r, kind, a, a + length(v) AS b, CASE WHEN kind = 0 THEN regexp_extract(v, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) ELSE v END AS v FROM f),
 ok AS (SELECT * FROM k WHERE CASE kind WHEN 0 THEN length(v) >= 6 WHEN 3 THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') ELSE true END),
-own AS (SELECT kind, v, count(DISTINCT coalesce(source, '')) <= 1 AND count(DISTINCT coalesce(repo, '')) <= 3 AS live FROM ok JOIN t USING (r) GROUP BY kind, v),
-l AS (SELECT ok.*, live FROM ok JOIN own USING (kind, v)),
+own AS (SELECT kind, v, count(DISTINCT coalesce(source, '')) AS owners, count(DISTINCT coalesce(repo, '')) AS repos, owners <= 1 AND repos <= 3 AS live FROM ok JOIN t USING (r) GROUP BY kind, v),
+l AS (SELECT ok.*, live, owners, repos FROM ok JOIN own USING (kind, v)),
 new AS (SELECT * FROM l WHERE kind = 3 AND live AND NOT EXISTS (SELECT 1 FROM l AS b WHERE b.kind < 3 AND b.r = l.r AND b.a < l.b AND l.a < b.b)),
 n AS (SELECT ['assign', 'access', 'hex', 'token'] AS names),
 sp AS (SELECT r, string_agg(names[kind + 1] || ':' || a || ':' || b, ',' ORDER BY a, kind, b) AS spans FROM (SELECT r, kind, a, b FROM l WHERE kind < 3 UNION ALL SELECT r, kind, a, b FROM new), n GROUP BY r),
 ba AS (SELECT r, string_agg(names[kind + 1] || ':' || a || ':' || b, ',' ORDER BY a, kind, b) AS base, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2 FROM l, n WHERE kind < 3 GROUP BY r),
-nl AS (SELECT r, count(*) AS n FROM l WHERE live GROUP BY r)
-SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(nl.n, 0) AS n_live
+nl AS (SELECT r, count(*) FILTER (live) AS n, max(owners) AS owners, max(repos) AS repos FROM l GROUP BY r)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(nl.n, 0) AS n_live,
+       coalesce(nl.owners, 0) AS most_owners, coalesce(nl.repos, 0) AS most_repositories
 FROM t LEFT JOIN ba USING (r) LEFT JOIN sp USING (r) LEFT JOIN nl USING (r)
 """
 
