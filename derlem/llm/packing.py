@@ -2,8 +2,8 @@
 
 Tasks encode whole texts where they are read and keep only the lengths (and, if asked, the ids). The number of pieces of each
 length, at most one number per token of capacity, is all that the driver gets; it plans by branch and bound how often each filling is
-used. Pieces of a length are numbered in two steps, within parts of bounded size and by sums over the parts, so that no length is
-in one task, and each number's place is looked up in the plan, whose size the number of different lengths bounds.
+used. Pieces of a length are numbered within the task that makes them, and the sums of the tasks before it are added later: no length is
+gathered anywhere, however common. Each number's place is looked up in the plan, whose size the number of different lengths bounds.
 
 Defined cases: null and empty texts are their end token alone; documents longer than the capacity are cut into full pieces, of which
 the first may be shorter; null and repeated doc_ids are packed like any other row; an empty table gives an empty one; other columns
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +27,6 @@ from .tokens import encoder
 
 CAPACITY = 2048
 END = 0
-#: Rows of one length that are numbered in one task, on average at most.
-PART_ROWS = 20_000
 
 
 def piece_lengths(n: int, capacity: int) -> list[int]:
@@ -77,17 +76,40 @@ def _places(packing: list[tuple[tuple[int, ...], int]], capacity: int) -> tuple[
     return key, first, offset
 
 
-def pack_pieces(parts: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, nodes: int = 6_000) -> DataFrame:
-    """parts: durable rows with doc_id, piece and length -> the same columns with sequence_id and offset."""
-    histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+def numbered(parts: DataFrame) -> DataFrame:
+    """parts with length -> the same with task and number: each row's number among those of its length in the same task, from 0.
+
+    Which rows a task has is only fixed once the result is written."""
+    names = parts.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            lengths = batch.column("length").to_numpy()
+            order = np.argsort(lengths, kind="stable")
+            ordered = lengths[order]
+            first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, dtype=np.int64)
+            count = np.diff(np.append(first, len(ordered)))
+            number = np.empty(len(ordered), dtype=np.int64)
+            number[order] = np.arange(len(ordered)) - np.repeat(first, count) + np.repeat([seen.get(n, 0) for n in ordered[first].tolist()], count)
+            for n, k in zip(ordered[first].tolist(), count.tolist(), strict=True):
+                seen[n] = seen.get(n, 0) + k
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(ordered), task)), pa.array(number)], names=[*names, "task", "number"])
+
+    return parts.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in parts.dtypes) + ", task long, number long")
+
+
+def pack_pieces(parts: DataFrame, capacity: int = CAPACITY, nodes: int = 6_000) -> DataFrame:
+    """parts: rows with doc_id, piece and length, without columns task and number -> the same columns with sequence_id and offset."""
+    kept = parts.columns
+    parts = durable(numbered(parts), "pieces")
+    sizes = durable(parts.groupBy("task", "length").agg(F.count("*").alias("n")), "sizes")
+    histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     key, first, offset = _places(pack(histogram, capacity, nodes), capacity)
-    salts = max(1, -(-max(histogram.values(), default=1) // part_rows))
-    parts = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.lit(salts)))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = parts.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    offsets = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    number = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
-    numbered = lookup_join(parts.withColumn("number", number), durable(offsets, "offsets"), ["length", "salt"]).withColumn("number", F.col("number") + F.col("before") - 1).drop("before", "salt")
+    # A row for each task that has the length, at most: the one ordering that a length needs is over tasks.
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    sums = durable(sizes.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "sums")
+    rows = lookup_join(parts, sums, ["task", "length"]).select(*kept, (F.col("number") + F.col("before")).alias("number"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,14 +118,13 @@ def pack_pieces(parts: DataFrame, capacity: int = CAPACITY, part_rows: int = PAR
             columns = [batch.column(c) for c in kept] + [pa.array(first[run] + want - key[run]), pa.array(offset[run])]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "sequence_id", "offset"])
 
-    kept = [c for c in numbered.columns if c not in ("number",)]
-    schema = ", ".join(f"`{n}` {t}" for n, t in numbered.dtypes if n in kept) + ", sequence_id long, offset long"
-    return numbered.mapInArrow(place, schema)
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n in kept) + ", sequence_id long, offset long"
+    return rows.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, vocabulary: str | None = None, part_rows: int = PART_ROWS, nodes: int = 6_000) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, vocabulary: str | None = None, nodes: int = 6_000) -> DataFrame:
     """docs(doc_id, text) -> pieces with the sequence and offset where they go."""
-    return pack_pieces(durable(pieces(docs, capacity, with_ids, vocabulary), "pieces"), capacity, part_rows, nodes)
+    return pack_pieces(pieces(docs, capacity, with_ids, vocabulary), capacity, nodes)
 
 
 COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]

@@ -112,7 +112,7 @@ def test_query(spark, sf):
 def test_odd_rows(spark):
     docs = [(1, None), (2, ""), (3, "a b " * 2000), (4, "word"), (5, "word"), *((i, "x " * (i % 7)) for i in range(10, 300))]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("length", F.lit("clash")).withColumn("offset", F.lit(1))
-    check(p.pack_documents(df, capacity=64, part_rows=5).collect(), docs, 64)
+    check(p.pack_documents(df.repartition(7), capacity=64).collect(), docs, 64)
     with_null = spark.createDataFrame([(None, "a"), (None, "a"), (1, "b")], "doc_id long, text string")
     rows = p.pack_documents(with_null, with_ids=True).collect()
     assert sorted((r.offset, r.sequence_id) for r in rows) == [(0, 0), (2, 0), (4, 0)] and all(len(r.ids) == 2 for r in rows)
