@@ -1,6 +1,6 @@
 """Substring dedup: words covered by a window of consecutive words that also starts in a document with a smaller id go.
 
-A count-min prefilter keeps the exact pass small. Documents are dealt into blocks by their id. Each block sketches its windows:
+A count-min prefilter keeps the exact pass small. Rows are dealt into blocks evenly, by their number in the table, whatever is in them. Each block sketches its windows:
 a row of counters addressed by a window's hash, of which only those that are not zero are kept, as sorted and delta-coded addresses.
 The row is wide (at least 128 counters for each window of the corpus), so one row is enough: with so few windows sharing a
 counter, a second row would double the shuffle to spare under one in a hundred false alarms. Sketches are cut by address range, merged
@@ -11,7 +11,7 @@ The exact pass shuffles only windows whose estimate is two or more, once for eac
 block has for it, under 104-bit identities (two independent polynomials of 64-bit word hashes). A hot window is one row from each
 block, whatever its copies. Again one bit comes back for each: whether a smaller doc_id has the window elsewhere.
 
-Texts are shuffled once, into blocks of bounded size, which three passes of one query read (Spark reuses the exchange).
+docs must be a table that is read, in an order that a second reading repeats (a durable one, else). Texts are shuffled once, into blocks of bounded size, which three passes of one query read (Spark reuses the exchange).
 
 Defined cases: null and blank texts have no words and keep an empty text; a null doc_id counts as larger than any other; rows that
 repeat a doc_id don't count as smaller than each other; an empty table gives an empty one; columns other than doc_id and text are
@@ -28,8 +28,11 @@ from pyspark.sql import functions as F
 from .common import next_pow2_bits, partitions, table
 
 WIDTH = 13
-#: Bytes of text in a block, and windows that meet in a range of addresses, on average.
+#: Bytes of text in a block, and windows that meet in a range of addresses, on average: up to GROW_FROM bytes of text, then in proportion
+#: to the root of the size up to the greatest, so that what a block has for a range stays worth a row (some 250 windows at 30 GB, 190 at 1 TB,
+#: 5 at 100 TB, where memory is the limit).
 BLOCK_BYTES, RANGE_WINDOWS = 4 << 20, 2 << 20
+MOST_BLOCK_BYTES, MOST_RANGE_WINDOWS, GROW_FROM = 64 << 20, 8 << 20, 30 << 30
 #: Bits of counters beyond those for the corpus's windows: 128 counters for each.
 SPARE_BITS = 7
 NO_ID = np.iinfo(np.int64).max
@@ -238,15 +241,18 @@ def _cut_words(bits: int, width: int):
 _OUT = "doc_id long, n_words long, n_removed long, kept string"
 
 
-def dedup_substrings(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, range_windows: int = RANGE_WINDOWS, spare_bits: int = SPARE_BITS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, width: int = WIDTH, block_bytes: int | None = None, range_windows: int | None = None, spare_bits: int = SPARE_BITS) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_words, n_removed, kept: the words that stay, joined by one space."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    grown = max(1.0, size / GROW_FROM) ** 0.5
+    block_bytes = block_bytes or int(min(MOST_BLOCK_BYTES, BLOCK_BYTES * grown))
+    range_windows = range_windows or int(min(MOST_RANGE_WINDOWS, RANGE_WINDOWS * grown))
     windows = size / 4  # words of three letters and a space, or longer
     bits = min(56, max(16, next_pow2_bits(windows) + spare_bits))
     ranges = min(bits - 8, next_pow2_bits(windows / range_windows))
     n_blocks = max(1, -(-size // block_bytes))
-    block = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(n_blocks))
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks))
     blocks = docs.select(block.alias("block"), "doc_id", "text").repartition(partitions(docs.sparkSession), "block")
     by_block = blocks.groupBy("block")
     sketches = by_block.applyInArrow(_sketch(bits, ranges, width), _SKETCH)
