@@ -13,8 +13,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Separators of plain words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
-#: Rows up to which a lookup table may be broadcast; at 200 bytes a row this is 40 MB.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes (of the rows as JSON) up to which a lookup table may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 24 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,21 +39,40 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df to the shared folder and read it back: the lineage is cut and later passes don't compute it again.
 
-    The files outlive the loss of any executor; they go with the folder."""
+    The files outlive the loss of any executor; they go with the folder, or with ``release``."""
     path = f"{shared_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left", rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join to a lookup table whose size is checked: broadcast up to limit rows, else a shuffled join that AQE splits at hot keys.
+#: Folders that this driver has written, in order.
+_written: list[str] = []
 
-    right should be cheap to count (durable or small); rows: its row count, if known."""
+
+def written() -> int:
+    """A mark for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Delete what was written since a mark, but for the last of it: for tables that nothing lazy reads any more."""
+    for path in _written[since : len(_written) - keep]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del _written[since : len(_written) - keep]
+
+
+def lookup_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left", rows: int | None = None, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join to a lookup table whose size is checked: broadcast up to limit rows and most_bytes, else a shuffled join that AQE splits at hot keys.
+
+    right should be cheap to read (durable or small); rows: its row count, if known, of rows of a few numbers each."""
     if rows is None:
-        rows = right.limit(limit + 1).count()
-    if rows <= limit:
-        return left.join(F.broadcast(right), on, how)
-    return left.join(right.hint("merge"), on, how)
+        size = right.limit(limit + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()
+        small = size["n"] <= limit and (size["b"] or 0) <= most_bytes
+    else:
+        small = rows <= limit
+    return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
 
 
 def partitions(spark: SparkSession) -> int:

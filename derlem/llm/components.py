@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, release, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -35,10 +35,12 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(links: DataFrame) -> DataFrame:
     """links(u, v) -> (node, root), root the least node of the component; nodes without a link to another don't appear."""
+    mark = written()
     edges = durable(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = _state(edges)
     while state[0]:
         edges = durable(_small(durable(_large(edges), "large")), "small")
+        release(edges.sparkSession, mark)  # of the rounds only the last one is read again
         if (now := _state(edges)) == state:
             break
         state = now
