@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from derlem.llm import decontaminate, packing, pii, simhash, toxicity
-from derlem.llm.common import durable, table
+from derlem.llm.common import durable, release, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES:
         docs = durable(stage(spark, docs, sf_dir), name)
+        release(spark, mark)  # what the stage and the one before it wrote, but its result
     return docs
