@@ -2,26 +2,26 @@
 
 Patterns are in Java's dialect. (?iu) also equates the dotted and dotless i, a little more than the source texts need."""
 
-_NUMBER = r"\d{4}\s*/\s*\d(?:\s*\d){0,6}"
-
 #: What names an authority, tried in this order on each header line; group 1 is the authority.
 AUTHORITIES = (
-    r"(?iu)^\D?\s*\d{4}\s*/\s*\d{1,7}\s+(.{3,100}?İCRA\s+DA[İIıi]RES[İIıi])\s*[-–—]\s*İCRA\s+DOSYAS[İIıi].*$",
+    r"(?iu)^\D?\s*\d{4}\s*\/\s*\d{1,7}\s+(.{3,100}?İCRA\s+DA[İIıi]RES[İIıi])\s*[-–—]\s*İCRA\s+DOSYAS[İIıi].*$",
     r"(?iu)^(?:UYGULAMA|İLK\s+DERECE\s+MAHKEMESİ)\s*:\s*(.{3,100}?MAHKEMES[İI])['’]?\s*N[İI]N\b.*$",
-    rf"(?iu)^(.{{3,100}}?(?:MAHKEMESİ|BAŞSAVCILIĞI|İCRA\s+DAİRESİ))\s+{_NUMBER}\s+(?:ESAS|SORUŞTURMA|DEĞİŞİK\s+İŞ)?\s*DOSYASI\s*$",
-    rf"(?iu)^(.{{3,100}}?(?:MAHKEMESİ|BAŞSAVCILIĞI|İCRA\s+DAİRESİ|İCRA\s+MÜDÜRLÜĞÜ))\s*[-–—]?\s*(?:ESAS|DOSYA|SORUŞTURMA|DEĞİŞİK\s+İŞ|TAKİP|BAŞVURU)\s*(?:NO\.?)?\s*[:][ \t]*{_NUMBER}\s*$",
-    rf"(?iu)^(.{{3,100}}?(?:MAHKEMES[İI]|BAŞSAVCILIĞ[Iİ]|İCRA\s+DA[İI]RES[İI]|İCRA\s+M[ÜU]D[ÜU]RL[ÜU]Ğ[ÜU]|H[AÂ]K[İI]ML[İI]Ğ[İI]))\s*[-–—]?\s*{_NUMBER}(?:\s+(?:ESAS|E\.))?\s*$",
-    r"(?iu)^(.{3,80}?(?:MAHKEMES[İIi]|H[AÂ]K[İIıi]ML[İIıi]Ğ[İIıi]|BA[ŞS]SAVC[Iı]L[Iı]Ğ[İIıi]))\s+SAY[Iı]\s*:\s*\d{4}\s*[/-]\s*\d.*",
-    r"(?iu)^((?:.{0,40}?\s)?(?:S[İIıi]GORTA\s+)?TAHK[İIıi]M\s+KOM[İIıi]SYONU)(?:['’]?\s*N[AEae])?(?:\s+BAŞKANLIĞI)?.*",
-    r"(?iu)^((?:UYU[ŞS]MAZLIK|[İIıi]T[İIıi]RAZ)\s+HAKEM\s+HEYET[İIıi])(?:['’]?\s*N[AEae])?.*",
-    r"(?iu)^(.{3,100}?MAHKEMES[İI](?:['’]?\s*(?:NE|NA))?)\s*$",
+    r"(?iu)^(.{3,100}?(?:MAHKEMESİ|BAŞSAVCILIĞI|İCRA\s+DAİRESİ))\s+\d{4}\s*\/\s*\d(?:\s*\d){0,6}\s+(?:ESAS|SORUŞTURMA|DEĞİŞİK\s+İŞ)?\s*DOSYASI\s*$",
+    r"(?iu)^(.{3,100}?(?:MAHKEMESİ|BAŞSAVCILIĞI|İCRA\s+DAİRESİ|İCRA\s+MÜDÜRLÜĞÜ))\s*[-–—]?\s*(?:ESAS|DOSYA|SORUŞTURMA|DEĞİŞİK\s+İŞ|TAKİP|BAŞVURU)\s*(?:NO\.?)?\s*[:][ \t]*\d{4}\s*\/\s*\d(?:\s*\d){0,6}\s*$",
+    r"(?iu)^(.{3,100}?(?:MAHKEMES(?:İ|I)|BAŞSAVCILIĞ(?:I|İ)|İCRA\s+DA[İI]RES(?:İ|I)|İCRA\s+M[ÜU]D[ÜU]RL[ÜU]Ğ[ÜU]|H[AÂ]K[İI]ML[İI]Ğ(?:İ|I)))\s*[-–—]?\s*\d{4}\s*\/\s*\d(?:\s*\d){0,6}(?:\s+(?:ESAS|E\.))?\s*$",
+    r"(?iu)^(.{3,80}?(?:MAHKEMES[İIi]|H[AÂ]K[İIıi]ML[İIıi]Ğ[İIıi]|BA(?:Ş|S)SAVC[Iı]L[Iı]Ğ[İIıi]))\s+SAY[Iı]\s*:\s*\d{4}\s*[\/-]\s*\d",
+    r"(?iu)^((?:.{0,40}?\s)?(?:S[İIıi]GORTA\s+)?TAHK[İIıi]M\s+KOM[İIıi]SYONU)(?:['’]?\s*N[AEae])?(?:\s+BAŞKANLIĞI)?",
+    r"(?iu)^((?:UYU[ŞS]MAZLIK|[İIıi]T[İIıi]RAZ)\s+HAKEM\s+HEYET[İIıi])(?:['’]?\s*N[AEae])?",
+    r"(?iu)^(.{3,100}?MAHKEMES(?:İ|I)(?:['’]?\s*(?:NE|NA))?)\s*$",
     r"(?iu)^(.{3,100}?\bMAHK\.)\s*$",
-    r"(?iu)^(.{3,100}?H[AÂ]K[İI]ML[İI]Ğ[İI](?:['’]?\s*(?:NE|NA))?)\s*$",
-    r"(?iu)^(.{3,100}?BA[ŞS]SAVCILIĞ[Iİ](?:['’]?\s*(?:NA|NE))?)\s*$",
-    r"(?iu)^(.{3,100}?DA[İI]RES[İI](?:['’]?\s*(?:NE|NA))?)(?:\s+(?:ÖRNEK\s+NO\b.*|\d{2}[./-]\d{2}[./-]\d{4}.*))?\s*$",
+    r"(?iu)^(.{3,100}?H[AÂ]K[İI]ML[İI]Ğ(?:İ|I)(?:['’]?\s*(?:NE|NA))?)\s*$",
+    r"(?iu)^(.{3,100}?BA(?:Ş|S)SAVCILIĞ(?:I|İ)(?:['’]?\s*(?:NA|NE))?)\s*$",
+    r"(?iu)^(.{3,100}?DA[İI]RES(?:İ|I)(?:['’]?\s*(?:NE|NA))?)(?:\s+(?:ÖRNEK\s+NO\b.*|\d{2}[./-]\d{2}[./-]\d{4}.*))?\s*$",
     r"(?iu)^(.{3,100}?M[ÜU]D[ÜU]RL[ÜU]Ğ[ÜU](?:'?(?:NE|NA))?)\s*$",
-    r"(?iu)^(.{3,100}?BA[ŞS]KANLIĞ[Iİ](?:'?(?:NA|NE))?)\s*$",
+    r"(?iu)^(.{3,100}?BA(?:Ş|S)KANLIĞ(?:I|İ)(?:'?(?:NA|NE))?)\s*$",
 )
+#: Every authority has one of these stems, so lines without any needn't be tried.
+AUTHORITY_STEMS = r"(?iu)MAHK|SAVC|DA[İI]RES|D[ÜU]RL|H[AÂ]K|KANL"
 
 _SEQ = r"(\d(?:[ \t]*\d){0,6})"
 _YEAR_SEQ = rf"[ \t]*(\d{{4}})[ \t]*[/-][ \t]*{_SEQ}"
@@ -52,23 +52,65 @@ CASE_BARE = rf"(\d{{4}})[ \t]*/[ \t]*{_SEQ}[ \t]+esas(?![a-zçğıöşü])"
 CITATION_TAIL = r"^\s*,?\s*sayılı\s+(karar|ilam|içtihat|dosya|dava|duruşma)"
 AUTHORITY_BEFORE = r"(mahkeme|hakimliğ|hâkimliğ|başsavcılığ|savcılığ|daire|müdürlüğ|komisyon|heyet)"
 
-#: Titles that name their own type; then (title, type).
+#: (title, the type that it names).
 TITLES = (
-    "Dava Dilekçesi", "Cevap Dilekçesi", "İkinci Cevap Dilekçesi", "Cevaba Cevap Dilekçesi", "Beyan Dilekçesi", "Karşı Dava Dilekçesi", "Islah Dilekçesi",
-    "Değişik İş Başvuru Dilekçesi", "Tutukluluk Halinin Devamı Kararına İtiraz Dilekçesi", "İtiraz Dilekçesi", "İstinaf Başvuru Dilekçesi", "İstinafa Cevap Dilekçesi",
-    "Temyiz Başvuru Dilekçesi", "Temyize Cevap Dilekçesi", "Gerekçeli Karar", "Ara Karar", "İstinaf İlamı", "Temyiz İlamı", "Bilirkişi Raporu",
-    "Bilirkişi Raporuna İtiraz Dilekçesi", "Bilirkişi Raporuna Karşı Beyan Dilekçesi", "Duruşma Tutanağı", "Tensip Zaptı", "İfade Tutanağı", "Emanet Eşya Makbuzu",
-    "Müzekkere", "Müzekkere Cevabı", "Harç Makbuzu", "Gider Avansı Makbuzu", "Eksper Raporu", "Trafik Kazası Tespit Tutanağı", "Vekaletname", "Mirasçılık Belgesi",
-    "Takipsizlik Kararı", "Değişik İş Kararı",
-)
-OTHER_TITLES = (
-    ("Borca İtiraz Talebi", "Borca İtiraz"), ("İstinaf Dilekçesi", "İstinaf Başvuru Dilekçesi"), ("Temyiz Dilekçesi", "Temyiz Başvuru Dilekçesi"),
-    ("Gerekçeli Karar Evrakı", "Gerekçeli Karar"), ("Karar İlamı", "Gerekçeli Karar"), ("Gerekçeli Karar İlamı", "Gerekçeli Karar"), ("Ara Karar Evrakı", "Ara Karar"),
-    ("BAM İlamı", "İstinaf İlamı"), ("Yargıtay İlamı", "Temyiz İlamı"), ("Rapor", "Bilirkişi Raporu"), ("Duruşma Zaptı", "Duruşma Tutanağı"), ("Tensip Tutanağı", "Tensip Zaptı"),
-    ("Şikayetçi İfade Tutanağı", "İfade Tutanağı"), ("Tebliğ Mazbatası", "Tebligat Parçası"), ("Tebligat Mazbatası", "Tebligat Parçası"), ("Tebligat", "Tebligat Parçası"),
-    ("Kaza Tespit Tutanağı", "Trafik Kazası Tespit Tutanağı"), ("Takipsizlik", "Takipsizlik Kararı"), ("KYOK", "Takipsizlik Kararı"),
-    ("Kovuşturmaya Yer Olmadığına Dair Karar", "Takipsizlik Kararı"), ("Kovuşturmaya Yer Olmadığı Kararı", "Takipsizlik Kararı"),
-)
+    ("Dava Dilekçesi", "Dava Dilekçesi"),
+    ("Cevap Dilekçesi", "Cevap Dilekçesi"),
+    ("İkinci Cevap Dilekçesi", "İkinci Cevap Dilekçesi"),
+    ("Cevaba Cevap Dilekçesi", "Cevaba Cevap Dilekçesi"),
+    ("Beyan Dilekçesi", "Beyan Dilekçesi"),
+    ("Karşı Dava Dilekçesi", "Karşı Dava Dilekçesi"),
+    ("Islah Dilekçesi", "Islah Dilekçesi"),
+    ("Değişik İş Başvuru Dilekçesi", "Değişik İş Başvuru Dilekçesi"),
+    ("Tutukluluk Halinin Devamı Kararına İtiraz Dilekçesi", "Tutukluluk Halinin Devamı Kararına İtiraz Dilekçesi"),
+    ("Borca İtiraz Talebi", "Borca İtiraz"),
+    ("İtiraz Dilekçesi", "İtiraz Dilekçesi"),
+    ("İstinaf Başvuru Dilekçesi", "İstinaf Başvuru Dilekçesi"),
+    ("İstinaf Dilekçesi", "İstinaf Başvuru Dilekçesi"),
+    ("İstinafa Cevap Dilekçesi", "İstinafa Cevap Dilekçesi"),
+    ("Temyiz Başvuru Dilekçesi", "Temyiz Başvuru Dilekçesi"),
+    ("Temyiz Dilekçesi", "Temyiz Başvuru Dilekçesi"),
+    ("Temyize Cevap Dilekçesi", "Temyize Cevap Dilekçesi"),
+    ("Gerekçeli Karar Evrakı", "Gerekçeli Karar"),
+    ("Gerekçeli Karar", "Gerekçeli Karar"),
+    ("Karar İlamı", "Gerekçeli Karar"),
+    ("Gerekçeli Karar İlamı", "Gerekçeli Karar"),
+    ("Ara Karar Evrakı", "Ara Karar"),
+    ("Ara Karar", "Ara Karar"),
+    ("İstinaf İlamı", "İstinaf İlamı"),
+    ("BAM İlamı", "İstinaf İlamı"),
+    ("Temyiz İlamı", "Temyiz İlamı"),
+    ("Yargıtay İlamı", "Temyiz İlamı"),
+    ("Rapor", "Bilirkişi Raporu"),
+    ("Bilirkişi Raporu", "Bilirkişi Raporu"),
+    ("Bilirkişi Raporuna İtiraz Dilekçesi", "Bilirkişi Raporuna İtiraz Dilekçesi"),
+    ("Bilirkişi Raporuna Karşı Beyan Dilekçesi", "Bilirkişi Raporuna Karşı Beyan Dilekçesi"),
+    ("Duruşma Tutanağı", "Duruşma Tutanağı"),
+    ("Duruşma Zaptı", "Duruşma Tutanağı"),
+    ("Tensip Zaptı", "Tensip Zaptı"),
+    ("Tensip Tutanağı", "Tensip Zaptı"),
+    ("İfade Tutanağı", "İfade Tutanağı"),
+    ("Şikayetçi İfade Tutanağı", "İfade Tutanağı"),
+    ("Emanet Eşya Makbuzu", "Emanet Eşya Makbuzu"),
+    ("Tebliğ Mazbatası", "Tebligat Parçası"),
+    ("Tebligat Mazbatası", "Tebligat Parçası"),
+    ("Tebligat", "Tebligat Parçası"),
+    ("Müzekkere", "Müzekkere"),
+    ("Müzekkere Cevabı", "Müzekkere Cevabı"),
+    ("Harç Makbuzu", "Harç Makbuzu"),
+    ("Gider Avansı Makbuzu", "Gider Avansı Makbuzu"),
+    ("Eksper Raporu", "Eksper Raporu"),
+    ("Trafik Kazası Tespit Tutanağı", "Trafik Kazası Tespit Tutanağı"),
+    ("Kaza Tespit Tutanağı", "Trafik Kazası Tespit Tutanağı"),
+    ("Vekaletname", "Vekaletname"),
+    ("Mirasçılık Belgesi", "Mirasçılık Belgesi"),
+    ("Takipsizlik Kararı", "Takipsizlik Kararı"),
+    ("Takipsizlik", "Takipsizlik Kararı"),
+    ("KYOK", "Takipsizlik Kararı"),
+    ("Kovuşturmaya Yer Olmadığına Dair Karar", "Takipsizlik Kararı"),
+    ("Kovuşturmaya Yer Olmadığı Kararı", "Takipsizlik Kararı"),
+    ("Değişik İş Kararı", "Değişik İş Kararı"),
+)
 
 #: (type, three families of which two must be there, guards of which none may): over lower-cased text.
 STRUCTURES = (

@@ -43,47 +43,51 @@ def clean_text(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+", ""), r"(?U)\s+$", "")
 
 
+def bind(x: Column, f) -> Column:
+    """f of a variable that has x's value: what f uses more than once is computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def chunk_text(x: Column, size: int = 800, overlap: int = 150) -> Column:
     """Windows of up to size characters, cut at a space of their last hundred, each overlapping the one before.
 
     The last chunk repeats the text's last overlap characters, as the windows go on until a chunk is no longer than the overlap."""
-    # Bound as a variable, the collapsed text is made once and not at every step.
-    return F.get(F.transform(F.array(collapse_spaces(x)), lambda clean: _chunks_of(x, clean, size, overlap)), F.lit(0))
-
-
-def _chunks_of(x: Column, clean: Column, size: int, overlap: int) -> Column:
     none = F.array().cast("array<string>")
-    steps = F.ceil(F.length(clean) / F.lit(max(1, size - 100 - overlap))).cast("int") + 2
-    window = lambda s: F.substring(clean, s["start"] + 1, F.lit(size))
+    parts = bind(F.struct(collapse_spaces(x).alias("text"), F.length(collapse_spaces(x)).alias("n")), lambda b: _chunks_of(b["text"], b["n"], size, overlap))
+    return F.when(F.coalesce(x, F.lit("")) == "", none).otherwise(parts)
 
-    def chunk(s: Column) -> Column:
-        last = F.length(window(s)) - F.instr(F.reverse(window(s)), " ")
-        inner = (s["start"] + size < F.length(clean)) & (F.instr(window(s), " ") > 0) & (last > size - 100)
-        return F.when(inner, F.substring(window(s), F.lit(1), last)).otherwise(window(s))
+
+def _chunks_of(clean: Column, n: Column, size: int, overlap: int) -> Column:
+    """Only places travel through the fold, as start and length of each chunk; texts are cut after it."""
+    none = F.array().cast("array<struct<start:int,length:int>>")
+    steps = F.ceil(n / F.lit(max(1, size - 100 - overlap))).cast("int") + 2
 
     def step(s: Column, _: Column) -> Column:
-        more = F.struct(
-            F.concat(s["chunks"], F.array(chunk(s))).alias("chunks"),
-            (s["start"] + F.length(chunk(s)) - overlap).alias("start"),
-            ((F.length(chunk(s)) <= overlap) | (s["start"] + F.length(chunk(s)) - overlap >= F.length(clean))).alias("done"))
-        return F.when(s["done"], s).otherwise(more)
+        # The last hundred characters of the window, backwards: its last space is the first one there.
+        tail = F.instr(F.reverse(F.substring(clean, s["start"] + size - 100 + 1, F.lit(100))), " ")
+        cut = F.when((s["start"] + size < n) & (tail > 0) & (tail < 100), size - tail).otherwise(F.least(F.lit(size), n - s["start"]))
+        return F.when(s["done"], s).otherwise(bind(cut, lambda length: F.struct(
+            F.concat(s["chunks"], F.array(F.struct(s["start"].alias("start"), length.alias("length")))).alias("chunks"),
+            (s["start"] + length - overlap).alias("start"),
+            ((length <= overlap) | (s["start"] + length - overlap >= n)).alias("done"))))
 
     start = F.struct(none.alias("chunks"), F.lit(0).alias("start"), F.lit(False).alias("done"))
     many = F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["chunks"])
-    return F.when(F.coalesce(x, F.lit("")) == "", none).when(F.length(clean) <= size, F.array(clean)).otherwise(many)
+    return F.when(n <= size, F.array(clean)).otherwise(F.transform(many, lambda c: F.substring(clean, c["start"] + 1, c["length"])))
 
 
 def find_all(x: Column, pattern: str) -> Column:
     """array<struct<at, value>> of a pattern's matches in order, at counted from 0: pieces between matches give the places."""
-    found = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(x, pattern), lambda g: F.length(g))
     none = F.array().cast("array<struct<at:int,value:string>>")
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    folded = F.aggregate(
-        pairs, F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda s, p: F.struct((s["at"] + p["g"] + F.length(p["m"])).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + p["g"]).alias("at"), p["m"].alias("value")))).alias("out")),
-        lambda s: s["out"])
-    return F.when(F.size(found) > 0, folded).otherwise(none)
+
+    def placed(found: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(x, pattern), 1, F.size(found)), lambda g: F.length(g))
+        return F.aggregate(
+            F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g"))), F.struct(F.lit(0).alias("at"), none.alias("out")),
+            lambda s, p: F.struct((s["at"] + p["g"] + F.length(p["m"])).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + p["g"]).alias("at"), p["m"].alias("value")))).alias("out")),
+            lambda s: s["out"])
+
+    return bind(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(none))
 
 
 def with_snippet(df: DataFrame, content: str, query: str, out: str = "snippet", budget: int = 180, marks: tuple[str, str] = ("<b>", "</b>")) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import legal_rules as r
-from ..functions.text import find_all, tr_lower, tr_upper
+from ..functions.text import bind, find_all, tr_lower, tr_upper
 
 
 def _some(x: Column) -> Column:
@@ -24,8 +24,7 @@ def type_key(x: Column) -> Column:
 
 def canonical_type(key: Column) -> Column:
     """The type that a normalised title names, with an ending of the copula or without; null for others."""
-    rules = [(t, t) for t in r.TITLES] + list(r.OTHER_TITLES)
-    pairs = [x for title, kind in rules for end in ("", "dir", "idir") for x in (F.concat(type_key(F.lit(title)), F.lit(end)), F.lit(kind))]
+    pairs = [x for title, kind in r.TITLES for end in ("", "dir", "idir") for x in (F.concat(type_key(F.lit(title)), F.lit(end)), F.lit(kind))]
     return F.try_element_at(F.create_map(*pairs), key)
 
 
@@ -41,17 +40,22 @@ def court(text: Column) -> Column:
     lines = F.slice(F.split(text, r"\r?\n"), 1, 50)
     units = F.flatten(F.transform(lines, lambda x: F.split(x, "\t")))
     units = F.filter(F.transform(units, lambda u: F.regexp_replace(_clean_line(u), r"(?i)^t\.?\s*c\.?\s+", "")), lambda u: (u != "") & ~u.rlike(r"(?i)^t\.?\s*c\.?$"))
+    units = F.filter(units, lambda u: u.rlike(r.AUTHORITY_STEMS))
     name = _first(F.transform(units, lambda u: F.coalesce(*[_some(F.regexp_extract(u, p, 1)) for p in r.AUTHORITIES])))
     name = F.regexp_replace(F.regexp_replace(F.trim(name), r"(?i)^t\.?\s*c\.?\s+", ""), r"(?i)['’]?\s*(?:ne|na)$", "")
     return F.regexp_replace(F.regexp_replace(name, r"(?i)\bMAHK\.", "MAHKEMESİ"), r"\s+", " ")
 
 
-def case(text: Column) -> Column:
-    """struct<number, kind> of the first case number, of those that begin a line if there are any."""
-    low = tr_lower(text)
+def references(low: Column) -> Column:
+    """A text in lower case with the reading errors of scanned references mended."""
     for pattern, put in ((r"dosya[ \t]+n[ \t]*o\b", "dosya no"), (r"değişi[ \t]+k[ \t]+iş", "değişik iş"), (r"mah[ \t]*k[ \t]+emesi", "mahkemesi"), (r"icra[ \t]+d\.?[ \t]*airesi", "icra dairesi")):
         low = F.regexp_replace(low, pattern, put)
-    zone = F.substring(low, 1, 3000)
+    return low
+
+
+def case(low: Column, zone: Column) -> Column:
+    """struct<number, kind> of the first case number, of those that begin a line if there are any. low: a column of ``references``, zone: its
+    first 3000 characters; both are used often and must be columns of the table, not expressions."""
 
     def candidates(where: Column, pattern: str, kind: str, order: int, structural, valid=None) -> Column:
         rows = F.transform(find_all(where, pattern), lambda m: F.struct(
@@ -69,7 +73,7 @@ def case(text: Column) -> Column:
     parts += [candidates(zone, p, kind, 20 + i, lambda m: F.lit(True)) for i, (kind, p) in enumerate(r.CASE_HEADERS)]
     parts.append(candidates(zone, r.CASE_BARE, "ESAS", 30, lambda m: F.lit(False), bare))
     best = F.array_min(F.flatten(F.array(*parts)))
-    return F.when(best.isNotNull(), F.struct(F.concat_ws("/", best["year"], best["seq"]).alias("number"), best["kind"].alias("kind")))
+    return bind(best, lambda b: F.when(b.isNotNull(), F.struct(F.concat_ws("/", b["year"], b["seq"]).alias("number"), b["kind"].alias("kind"))))
 
 
 def heading_type(text: Column) -> Column:
@@ -77,8 +81,7 @@ def heading_type(text: Column) -> Column:
     return _first(F.transform(F.filter(keys, lambda k: (k != "") & (F.length(k) <= 80)), canonical_type))
 
 
-def structural_type(text: Column) -> Column:
-    low = tr_lower(text)
+def structural_type(low: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind, families, guards in reversed(r.STRUCTURES):
         enough = sum((low.rlike(p).cast("int") for p in families), F.lit(0)) >= 2
@@ -89,24 +92,22 @@ def structural_type(text: Column) -> Column:
     return out
 
 
-def date_near(text: Column, words, within: int) -> Column:
+def date_near(text: Column, low: Column, words, within: int) -> Column:
     """The first date within so many characters of a word's first place, words in turn, as DD.MM.YYYY."""
-    low = tr_lower(text)
 
     def one(word: str) -> Column:
         at = F.instr(low, word)
-        zone = F.when(at > 0, F.substring(text, at, F.lit(within)))
-        found = [F.regexp_extract(zone, r.DATE, i) for i in (1, 2, 3)]
-        return F.when(found[2] != "", F.concat_ws(".", F.lpad(found[0], 2, "0"), F.lpad(found[1], 2, "0"), found[2]))
+        found = F.when(at > 0, F.regexp_extract(F.substring(text, at, F.lit(within)), r.DATE, 0))
+        return bind(F.split(found, r"[./\-]"), lambda d: F.when(F.size(d) == 3, F.concat_ws(".", F.lpad(d[0], 2, "0"), F.lpad(d[1], 2, "0"), d[2])))
 
     return F.coalesce(*map(one, words))
 
 
-def document_date(text: Column, kind: Column) -> Column:
+def document_date(text: Column, low: Column, kind: Column) -> Column:
     own = F.lit(None).cast("string")
     for name, words in r.DATE_WORDS:
-        own = F.when(kind == name, date_near(text, words, 100)).otherwise(own)
-    return F.coalesce(own, date_near(text, r.GENERAL_DATE_WORDS, 80))
+        own = F.when(kind == name, date_near(text, low, words, 100)).otherwise(own)
+    return F.coalesce(own, date_near(text, low, r.GENERAL_DATE_WORDS, 80))
 
 
 def parties(text: Column) -> Column:
@@ -151,14 +152,18 @@ FIELDS = ("court_name", "case_number", "case_kind", "document_type", "document_d
 
 def extract_metadata(docs: DataFrame, text: str = "body", filename: str = "filename") -> DataFrame:
     """docs with seven metadata columns; the text decides first, the file name fills what it leaves open."""
-    t = F.coalesce(text, F.lit(""))
+    # What several fields read is a column of its own and made once; a projection is only merged into the next where it is used once.
+    docs = docs.withColumn("_t", F.coalesce(text, F.lit(""))).withColumn("_low", tr_lower(F.col("_t")))
+    docs = docs.withColumn("_ref", references(F.col("_low"))).withColumn("_zone", F.substring("_ref", 1, 3000))
+    t, low = F.col("_t"), F.col("_low")
     stem = F.trim(F.regexp_replace(F.coalesce(filename, F.lit("")), r"\.[^/.]+$", ""))
-    docs = docs.withColumn("_f", filename_evidence(stem)).withColumn("_c", case(t)).withColumn("_p", parties(t))
+    docs = docs.withColumn("_stem", stem).withColumn("_f", filename_evidence(F.col("_stem"))).withColumn("_c", case(F.col("_ref"), F.col("_zone"))).withColumn("_p", parties(t))
     subject = F.regexp_extract(F.substring(t, 1, 3000), r.SUBJECT, 1)
     subject = _some(F.trim(F.regexp_replace(F.substring(subject, 1, 150), r"\s+", " ")))
     empty = F.trim(t) == ""
-    kind = F.coalesce(F.when(~empty, F.coalesce(heading_type(t), structural_type(t))), F.col("_f.type"), F.when(~empty, subject), _some(F.trim(F.substring(stem, 1, 100))))
+    kind = F.coalesce(F.when(~empty, F.coalesce(heading_type(t), structural_type(low))), F.col("_f.type"), F.when(~empty, subject), _some(F.trim(F.substring("_stem", 1, 100))))
     docs = docs.withColumn("court_name", _some(court(t))).withColumn("document_type", kind)
     docs = docs.withColumn("case_number", F.coalesce("_c.number", "_f.number")).withColumn("case_kind", F.coalesce("_c.kind", "_f.kind"))
-    docs = docs.withColumn("document_date", F.coalesce(document_date(t, F.col("document_type")), F.col("_f.date")))
-    return docs.withColumn("plaintiff", F.col("_p.plaintiff")).withColumn("defendant", F.col("_p.defendant")).drop("_f", "_c", "_p")
+    docs = docs.withColumn("document_date", F.coalesce(document_date(t, low, F.col("document_type")), F.col("_f.date")))
+    docs = docs.withColumn("plaintiff", F.col("_p.plaintiff")).withColumn("defendant", F.col("_p.defendant"))
+    return docs.drop("_f", "_c", "_p", "_t", "_low", "_ref", "_zone", "_stem")

@@ -24,3 +24,51 @@ def test_golden_documents(spark):
     rows = {r.id: r.asDict() for r in extract_metadata(df).collect()}
     for i, (_, _, want) in enumerate(CASES):
         assert {k: rows[i][k] for k in want} == want, i
+
+
+def _one(spark, rows):
+    df = spark.createDataFrame([(i, t, "x.txt") for i, t in enumerate(rows)], "id int, body string, filename string")
+    return {r.id: r for r in extract_metadata(df).collect()}
+
+
+def test_every_authority_pattern(spark):
+    lines = {
+        "2023/45 ANKARA 3. İCRA DAİRESİ - İCRA DOSYASI": "ANKARA 3. İCRA DAİRESİ",
+        "İLK DERECE MAHKEMESİ : İZMİR 2. AİLE MAHKEMESİ'NİN kararı": "İZMİR 2. AİLE MAHKEMESİ",
+        "BURSA 1. İŞ MAHKEMESİ 2020/11 ESAS DOSYASI": "BURSA 1. İŞ MAHKEMESİ",
+        "BURSA İCRA MÜDÜRLÜĞÜ DOSYA NO: 2020/11": "BURSA İCRA MÜDÜRLÜĞÜ",
+        "BURSA 4. SULH CEZA HAKİMLİĞİ 2020/11 E.": "BURSA 4. SULH CEZA HAKİMLİĞİ",
+        "KONYA 1. ASLİYE CEZA MAHKEMESİ SAYI : 2019/7 esas": "KONYA 1. ASLİYE CEZA MAHKEMESİ",
+        "SİGORTA TAHKİM KOMİSYONU BAŞKANLIĞI'NA": "SİGORTA TAHKİM KOMİSYONU",
+        "UYUŞMAZLIK HAKEM HEYETİ'NE": "UYUŞMAZLIK HAKEM HEYETİ",
+        "ANKARA 5. İŞ MAHKEMESİ'NE": "ANKARA 5. İŞ MAHKEMESİ",
+        "ANKARA 5. İŞ MAHK.": "ANKARA 5. İŞ MAHKEMESİ",
+        "ANKARA 2. SULH CEZA HAKİMLİĞİ'NE": "ANKARA 2. SULH CEZA HAKİMLİĞİ",
+        "ADANA CUMHURİYET BAŞSAVCILIĞI'NA": "ADANA CUMHURİYET BAŞSAVCILIĞI",
+        "ADANA 6. İCRA DAİRESİ 01.02.2020": "ADANA 6. İCRA DAİRESİ",
+        "MERSİN TAPU MÜDÜRLÜĞÜ'NE": "MERSİN TAPU MÜDÜRLÜĞÜ",
+        "TÜRKİYE BAROLAR BİRLİĞİ BAŞKANLIĞI'NA": "TÜRKİYE BAROLAR BİRLİĞİ BAŞKANLIĞI",
+        "no authority in this line": None,
+    }
+    got = _one(spark, [f"T.C.\n{line}\nmetin" for line in lines])
+    assert [got[i].court_name for i in range(len(lines))] == list(lines.values())
+
+
+def test_every_case_label(spark):
+    texts = {
+        "Esas: 2020/1": ("2020/1", "ESAS"), "dosya : 2020-12": ("2020/12", "ESAS"), "Soruşturma: 2021/3": ("2021/3", "SORUSTURMA"), "Değişik İş: 2021/4": ("2021/4", "DEGISIK_IS"), "Takip: 2021/5": ("2021/5", "TAKIP"),
+        "ESAS NO. 2022/6": ("2022/6", "ESAS"), "E. No: 2022/7": ("2022/7", "ESAS"), "Soruşturma Defter No: 2022/8": ("2022/8", "SORUSTURMA"), "Değişik İş No: 2022/9": ("2022/9", "DEGISIK_IS"), "TAKİP NO: 2022/10": ("2022/10", "TAKIP"),
+        "Başvuru No: 2023/11": ("2023/11", "BASVURU"), "Dosya No: 2023.E.12": ("2023/12", "BASVURU"), "Başvuru tarihi ve sayısı: 01.02.2023 - 2023.E.13": ("2023/13", "BASVURU"),
+        "SAYI : 2023/14 Esas": ("2023/14", "ESAS"), "SAYI : 2023/15 Soruşturma": ("2023/15", "SORUSTURMA"), "SAYI : 2023/16 D. İş": ("2023/16", "DEGISIK_IS"), "SAYI : 2023/17 Takip": ("2023/17", "TAKIP"),
+        "konu 2023/18 esas dosyamız": ("2023/18", "ESAS"), "Yargıtay 9. Hukuk Dairesi 2019/345 esas sayılı karar": (None, None), "Esas No: 1979/5": (None, None), "Esas No: 2020/0": (None, None),
+        "bkz. Esas No: 2018/1\nEsas No: 2020/2": ("2020/2", "ESAS"), "dosya n o: 2020/1 5": ("2020/15", "ESAS"), "": (None, None),
+    }
+    got = _one(spark, list(texts))
+    assert [(got[i].case_number, got[i].case_kind) for i in range(len(texts))] == list(texts.values())
+
+
+def test_every_title_names_its_type(spark):
+    from derlem.functions.legal_rules import TITLES
+
+    got = _one(spark, [f"metin\n{title.replace('i', 'İ').replace('ı', 'I').upper()} !\nson" for title, _ in TITLES])
+    assert [got[i].document_type for i in range(len(TITLES))] == [kind for _, kind in TITLES]
