@@ -5,6 +5,7 @@ are skipped; computed on the fly, the filter on terms moves below the grouping."
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +32,26 @@ def doc_lengths(files: DataFrame) -> DataFrame:
 
 def write_index(files: DataFrame, path: str) -> None:
     """Postings in order of terms, and lengths, as tables below path."""
-    postings(files).repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    # By term and id: the postings of a word that most documents have are spread over several tasks.
+    postings(files).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
     doc_lengths(files).write.mode("overwrite").parquet(f"{path}/lengths")
 
 
+def open_index(files: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) below path; written anew if they are missing, or empty while there are files."""
+    spark = files.sparkSession
+    read = lambda: (spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+    try:
+        index, lengths = read()
+        whole = not lengths.isEmpty() and not index.isEmpty() or files.isEmpty()
+    except AnalysisException:  # no such folder
+        whole = False
+    if not whole:
+        write_index(files, path)
+        index, lengths = read()
+    return index, lengths
+
+
 def _word_filter(word: str, prefix: bool) -> Column:
     term = F.col("term")
     return (term >= word) & (term < word + "\U0010ffff") & term.startswith(word) if prefix else term == word
@@ -123,12 +140,14 @@ def fts_snippet(df: DataFrame, body: str, words: list[tuple[str, bool]], out: st
     """The window of width tokens, from a match on, with most matches, matches marked; else the first tokens."""
     parts = F.filter(F.split(F.coalesce(body, F.lit("")), r"(?U)\s+"), lambda t: t != "")
     hit = lambda t: F.exists(tokens(t), lambda w: _any(w, words))
-    df = df.withColumn("_p", parts).withColumn("_h", F.filter(F.transform("_p", lambda t, i: F.when(hit(t), i)), lambda i: i.isNotNull()))
-    best = F.array_max(F.transform("_h", lambda p: F.struct(F.size(F.filter("_h", lambda x: (x >= p) & (x < p + width))).alias("n"), (-p).alias("p"))))
-    df = df.withColumn("_s", F.coalesce(-best["p"], F.lit(0)))
-    shown = F.transform(F.slice("_p", F.col("_s") + 1, width), lambda t: F.when(hit(t), F.concat(F.lit("<b>"), t, F.lit("</b>"))).otherwise(t))
+    df = df.withColumn("_p", parts).withColumn("_f", F.transform("_p", lambda t: hit(t).cast("int")))
+    # Each match counts the next width tokens only, so the work grows with the text, not with the square of its matches.
+    ahead = lambda i: F.aggregate(F.slice("_f", i + 1, width), F.lit(0), lambda s, x: s + x)
+    best = F.array_max(F.filter(F.transform("_f", lambda f, i: F.when(f == 1, F.struct(ahead(i).alias("n"), (-i).alias("p")))), lambda b: b.isNotNull()))
+    df = df.withColumn("_b", best).withColumn("_s", F.coalesce(-F.col("_b.p"), F.lit(0)))
+    shown = F.zip_with(F.slice("_p", F.col("_s") + 1, width), F.slice("_f", F.col("_s") + 1, width), lambda t, f: F.when(f == 1, F.concat(F.lit("<b>"), t, F.lit("</b>"))).otherwise(t))
     text = F.concat(F.when(F.col("_s") > 0, "...").otherwise(""), F.array_join(shown, " "), F.when(F.size("_p") > F.col("_s") + width, "...").otherwise(""))
-    return df.withColumn(out, text).drop("_p", "_h", "_s")
+    return df.withColumn(out, text).drop("_p", "_f", "_b", "_s")
 
 
 def _any(w: Column, words: list[tuple[str, bool]]) -> Column:

@@ -48,6 +48,11 @@ class SearchEngine:
     index: DataFrame | None = None
     lengths: DataFrame | None = None
 
+    @classmethod
+    def stored(cls, files: DataFrame, metadata: DataFrame, path: str, chunks: DataFrame | None = None, embedder: Callable[[str], Sequence[float]] | None = None) -> SearchEngine:
+        """Over the index below path, which is written if it is missing or empty."""
+        return cls(files, metadata, chunks, embedder, *r.open_index(files, path))
+
     def search(self, query: str | None, mode: str = "keyword", limit: int | None = LIMIT, document_type: str | None = None, case_kind: str | None = None) -> SearchResponse:
         query, limit, mode = (query or "").strip(), limit if limit and limit > 0 else LIMIT, ALIASES.get(mode, mode)
         if mode not in MODES:
