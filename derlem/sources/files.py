@@ -126,6 +126,6 @@ def read_documents(spark: SparkSession, root: str, parsers: dict | None = None,
 def llm_fields(df: DataFrame, answer: str) -> DataFrame:
     """summary and tags from a model's answer: its first JSON object; short summaries and empty tags are dropped, six tags stay."""
     found = F.from_json(F.regexp_extract(answer, r"(?s)\{.*?\}", 0), "summary string, tags array<string>")
-    tags = F.filter(F.transform(F.coalesce(found["tags"], F.array().cast("array<string>")), F.trim), lambda x: x.isNotNull() & (x != ""))
+    tags = F.filter(F.transform(F.coalesce(found["tags"], F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
     summary = F.trim(found["summary"])
     return df.withColumn("summary", F.when(F.length(summary) > 5, summary)).withColumn("tags", F.slice(tags, 1, 6))
