@@ -11,6 +11,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Models by id, as (provider, model name, dimensions); the first is the default.
+MODELS = {
+    "minilm-l12": ("onnx", "Xenova/paraphrase-multilingual-MiniLM-L12-v2", 384),
+    "nomic-embed": ("ollama", "nomic-embed-text", 768),
+    "bge-m3": ("ollama", "bge-m3", 1024),
+    "multilingual-e5": ("ollama", "multilingual-e5-large", 1024),
+}
+
+
+def model_id(name: str) -> str:
+    """The id of a model given by id or by model name."""
+    for key, (_, model, _) in MODELS.items():
+        if name in (key, model):
+            return key
+    raise ValueError(f"unknown model {name!r}, one of {', '.join(MODELS)}")
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)

@@ -61,14 +61,18 @@ def collapse_folders(folders: DataFrame) -> DataFrame:
     return folders.join(nested, "path", "left_anti").select(*folders.columns)
 
 
+def folder_above(folders: DataFrame, path: str) -> DataFrame:
+    """The registered folder that contains a path, or is it; folders never contain each other, so it is one row at most."""
+    path = path.rstrip("/")
+    return folders.where(F.col("path").isin([path[:i] for i, c in enumerate(path) if c == "/" and i] + [path]))
+
+
 def add_folder(folders: DataFrame, path: str, added_at: int) -> DataFrame:
-    """Register a folder; ones below it go, and it isn't added below a registered one."""
+    """Register a folder; ones below it go, and it isn't added below a registered one. One plan: nothing is looked at before."""
     path = path.rstrip("/")
-    prefixes = [path[:i] for i, c in enumerate(path) if c == "/" and i] + [path]
-    if folders.where(F.col("path").isin(prefixes)).limit(1).count():
-        return folders
     row = folders.sparkSession.createDataFrame([(path, added_at)], "path string, added_at long")
-    return folders.where(~under(F.col("path"), path)).unionByName(row)
+    covered = folder_above(folders, path).select(F.lit(path).alias("path"))
+    return folders.where(~under(F.col("path"), path)).unionByName(row.join(covered, "path", "left_anti"))
 
 
 def remove_folder(files: DataFrame, root: str) -> DataFrame:
@@ -92,6 +96,30 @@ def without_summary(files: DataFrame, metadata: DataFrame) -> DataFrame:
     return files.join(have, "id", "left_anti").select(*files.columns)
 
 
+def read_document(files: DataFrame, metadata: DataFrame, path: str) -> DataFrame:
+    """The document of a path with its metadata, null if it has none; no rows for an unknown path."""
+    return files.where(F.col("path") == path).join(metadata.withColumnRenamed("file_id", "id"), "id", "left")
+
+
+def settings_get(settings: DataFrame, keys: list[str], default: str | None = None) -> DataFrame:
+    """key, value for each key asked for; the default where it isn't set."""
+    asked = settings.sparkSession.createDataFrame([(k,) for k in keys], "key string")
+    return asked.join(settings, "key", "left").select("key", F.coalesce("value", F.lit(default).cast("string")).alias("value"))
+
+
+def scan_counts(listing: DataFrame, known: DataFrame, root: str) -> DataFrame:
+    """One row for a scan of a folder: files scanned, parsed (new or changed), skipped (known as they are) and removed."""
+    old = known.where(under(F.col("path"), root)).select("path", F.col("mtime").alias("_m"), F.col("size").alias("_s"), F.lit(True).alias("_old"))
+    rows = listing.select("path", "mtime", "size", F.lit(True).alias("_new")).join(old, "path", "full_outer")
+    same = F.coalesce((F.col("mtime") == F.col("_m")) & (F.col("size") == F.col("_s")), F.lit(False))
+    return rows.agg(F.count("_new").alias("scanned"), F.count_if(F.col("_new") & ~same).alias("parsed"), F.count_if(F.col("_new") & same).alias("skipped"), F.count_if(F.col("_new").isNull()).alias("removed"))
+
+
+def json_rows(rows: DataFrame) -> DataFrame:
+    """Each row as a line of JSON, ready for ``write.text``; null fields are kept."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def facet(rows: DataFrame, document_type: str | None = None, case_kind: str | None = None) -> DataFrame:
     """document_type contains, in Turkish lower case; case_kind equals, in upper case."""
     from ..functions.text import tr_lower

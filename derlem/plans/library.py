@@ -1,4 +1,4 @@
-"""A library of documents as three tables, and the steps from one state to the next. Every step is lazy; save writes a state."""
+"""A library of documents as tables, and the steps from one state to the next. Every step is lazy; save writes a state."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions import vector as v
 from ..operators import legal, tables
 from ..sources import files as sources
 
@@ -17,6 +18,8 @@ TABLES = {
     "files": "id long, path string, filename string, ext string, mtime long, size long, body string, status string, error_msg string",
     "metadata": "file_id long, summary string, tags array<string>, case_number string, case_kind string, court_name string, document_type string, document_date string, plaintiff string, defendant string",
     "chunks": "file_id long, chunk_index int, text string, embedding array<float>",
+    "folders": "path string, added_at long",
+    "settings": "key string, value string",
 }
 
 
@@ -38,6 +41,13 @@ class Library:
     files: DataFrame
     metadata: DataFrame
     chunks: DataFrame
+    folders: DataFrame | None = None
+    settings: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        for name in ("folders", "settings"):
+            if getattr(self, name) is None:
+                object.__setattr__(self, name, self.files.sparkSession.createDataFrame([], TABLES[name]))
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Library:
@@ -48,9 +58,10 @@ class Library:
         return cls(**{name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TABLES.items()})
 
     def save(self, path: str) -> Library:
-        """Write a state into a folder of its own; a state is never written over the one it is computed from."""
+        """Write a state into a folder of its own; a state is never written over the one it is computed from. An unknown status fails it."""
         for name in TABLES:
-            getattr(self, name).write.mode("errorifexists").parquet(f"{path}/{name}")
+            rows = tables.checked_status(self.files) if name == "files" else getattr(self, name)
+            rows.write.mode("errorifexists").parquet(f"{path}/{name}")
         return Library.load(self.files.sparkSession, path)
 
     def scan(self, root: str, parsers: dict | None = None) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +77,7 @@ class Library:
         return out if chunks is None else replace(out, chunks=tables.upsert(self.chunks, chunks, "file_id"))
 
     def _kept(self, files: DataFrame) -> Library:
-        return Library(files, tables.cascade(self.metadata, files), tables.cascade(self.chunks, files))
+        return replace(self, files=files, metadata=tables.cascade(self.metadata, files), chunks=tables.cascade(self.chunks, files))
 
     def delete(self, paths: DataFrame) -> Library:
         return self._kept(tables.delete_paths(self.files, paths))
@@ -74,8 +85,50 @@ class Library:
     def prune(self, root: str, listing: DataFrame) -> Library:
         return self._kept(tables.prune_missing(self.files, root, listing)[0])
 
-    def remove_folder(self, root: str) -> Library:
-        return self._kept(tables.remove_folder(self.files, root))
+    def read(self, path: str) -> DataFrame:
+        return tables.read_document(self.files, self.metadata, path)
+
+    def list_folders(self) -> DataFrame:
+        return self.folders.orderBy("added_at", "path")
+
+    def add_folder(self, path: str, added_at: int) -> tuple[Library, str | None, DataFrame]:
+        """(the next state, the registered folder that covers the path already, if any, the folders that go because it covers them)."""
+        path = path.rstrip("/")
+        above = tables.folder_above(self.folders, path).first()
+        pruned = self.folders.where(tables.under(F.col("path"), path)).select("path")
+        return replace(self, folders=tables.add_folder(self.folders, path, added_at)), above["path"] if above else None, pruned
+
+    def remove_folder(self, root: str, keep_files: bool = False) -> Library:
+        """Its files go with it unless they are kept."""
+        out = self if keep_files else self._kept(tables.remove_folder(self.files, root))
+        return replace(out, folders=self.folders.where(F.col("path") != root.rstrip("/")))
+
+    def get(self, key: str, default: str | None = None) -> str | None:
+        return tables.settings_get(self.settings, [key], default).first()["value"]
+
+    def set(self, **values: str | None) -> Library:
+        """Settings with these values; None deletes one."""
+        rows = self.files.sparkSession.createDataFrame(list(values.items()), TABLES["settings"])
+        return replace(self, settings=tables.upsert(self.settings, rows, "key").where("value is not null"))
+
+    def use_model(self, name: str, embed: Callable[[int], Callable[[Column], Column]], force: bool = False) -> tuple[Library, bool]:
+        """(the next state, whether its chunks are made anew). embed: dimensions -> embedder. Chunks are made anew if there are any, and the
+        model isn't the one they were made with or it is forced."""
+        key = v.model_id(name)
+        provider, model, dimensions = v.MODELS[key]
+        first = next(iter(v.MODELS))
+        rebuild = (force or self.get("indexed_model_id", self.get("active_model_id", first)) != key) and not self.chunks.isEmpty()
+        out = self.set(active_model_id=key, active_model=model, embedding_provider=provider, indexed_model_id=key, indexed_model_dim=str(dimensions))
+        return (out.rebuild_chunks(embed(dimensions)) if rebuild else out), rebuild
+
+    def enrich(self, answer: Callable[[Column], Column]) -> Library:
+        """A model's summary and tags for every document with a text and without a summary, and what its text says. answer: text -> answer."""
+        missing = tables.without_summary(self.files.where("trim(body) <> ''"), self.metadata)
+        found = sources.llm_fields(legal.extract_metadata(missing).withColumn("_answer", answer(F.col("body"))), "_answer")
+        return replace(self, metadata=tables.coalesce_merge(self.metadata, found.select(F.col("id").alias("file_id"), *tables.METADATA), "file_id", list(tables.METADATA)))
+
+    def scan_counts(self, root: str) -> DataFrame:
+        return tables.scan_counts(sources.listing(self.files.sparkSession, root), self.files, root)
 
     def patch_metadata(self, patch: DataFrame) -> Library:
         """patch(path, some of the metadata): for known paths only."""
@@ -94,5 +147,5 @@ class Library:
             missing = missing.orderBy("id").limit(limit)
         return replace(self, chunks=self.chunks.unionByName(chunk_rows(missing, embed)))
 
-    def stats(self, folders: DataFrame) -> DataFrame:
-        return tables.stats(folders, self.files, self.chunks)
+    def stats(self, folders: DataFrame | None = None) -> DataFrame:
+        return tables.stats(self.folders if folders is None else folders, self.files, self.chunks)

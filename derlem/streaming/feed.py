@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.tables import changed, fold_changes, prune_missing
 from ..sources import files as sources
@@ -45,6 +45,34 @@ def _seen_now(rows: DataFrame, removed: bool = False) -> DataFrame:
     return rows.withColumn("removed", F.lit(removed)).withColumn("seen", F.lit(time.time_ns() // 1_000_000))
 
 
+class Progress(StreamingQueryListener):
+    """Reports (query name or id, batch, rows) after each batch with rows: spark.streams.addListener(Progress(print))."""
+
+    def __init__(self, report: Callable[[str, int, int], None]):
+        self.report = report
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        if event.progress.numInputRows:
+            self.report(event.progress.name or str(event.progress.id), event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def stop_all(spark: SparkSession) -> int:
+    """Stop every running stream of the session; how many there were."""
+    running = spark.streams.active
+    for query in running:
+        query.stop()
+    return len(running)
+
+
 def rescan(spark: SparkSession, root: str, log: str, parsers: dict | None = None, enrich: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Append files that have changed since the log saw them, new ones that no stream has reported, and the removal of those that are gone."""
     known, now = current_files(spark, log), sources.listing(spark, root)

@@ -98,3 +98,75 @@ def test_steps(library, spark):
     assert {r.filename: r.body for r in after.files.where("filename in ('b.txt', 'c.txt')").collect()} == {"b.txt": "başka bir metin oldu"}
     b = after.files.where("filename = 'b.txt'").select(F.col("id").alias("file_id"))
     assert after.chunks.join(b, "file_id").count() == 1  # old vectors stay until new ones are given
+
+
+def test_folders_and_settings(library, spark):
+    state, _, _ = library
+    one, above, pruned = state.add_folder("/a/b", 1)
+    assert above is None and pruned.count() == 0
+    two, above, _ = one.add_folder("/a/b/c/", 2)
+    assert above == "/a/b" and two.folders.count() == 1
+    same, above, _ = one.add_folder("/a/b", 3)
+    assert above == "/a/b" and [tuple(r) for r in same.list_folders().collect()] == [("/a/b", 1)]
+    wide, above, pruned = one.add_folder("/ab", 4)[0].add_folder("/a", 5)
+    assert above is None and [r.path for r in pruned.collect()] == ["/a/b"] and [r.path for r in wide.list_folders().collect()] == ["/ab", "/a"]
+    assert wide.remove_folder("/a", keep_files=True).folders.count() == 1 and wide.remove_folder("/a", keep_files=True).files.count() == 4
+    kept = state.set(x="1", y="2").set(x=None, y="3")
+    assert (kept.get("x"), kept.get("x", "none"), kept.get("y")) == (None, "none", "3")
+
+
+def test_reading_enriching_and_models(library, spark):
+    state, root, _ = library
+    row = state.read(f"{root}/a.txt").first()
+    assert row.case_number == "2024/780" and row.body.startswith("İSTANBUL") and state.read("/none").count() == 0
+    assert state.read(f"{root}/d.txt").first().case_number is None
+    rich = state.enrich(lambda body: F.when(F.contains(body, F.lit("kira")), '{"summary": "kira üzerine", "tags": [" kira ", ""]}'))
+    got = {r.summary: r.tags for r in rich.metadata.collect()}
+    assert got["kira üzerine"] == ["kira"]
+    assert rich.metadata.where("summary is not null").count() == 2 and rich.metadata.where("case_number = '2024/780' and summary is not null").count() == 1
+    assert state.use_model("minilm-l12", hashing_embedder)[1] is False and state.use_model("minilm-l12", hashing_embedder, force=True)[1] is True
+    moved, rebuilt = state.use_model("nomic-embed-text", hashing_embedder)
+    assert rebuilt and moved.get("indexed_model_dim") == "768" and len(moved.chunks.first().embedding) == 768
+    assert moved.use_model("nomic-embed", hashing_embedder)[1] is False
+    with pytest.raises(ValueError, match="bge-m3"):
+        state.use_model("gpt", hashing_embedder)
+
+
+def test_an_unknown_status_fails_the_writer(library, tmp_path):
+    state, _, _ = library
+    with pytest.raises(Exception, match="unknown status"):
+        Library(state.files.withColumn("status", F.lit("odd")), state.metadata, state.chunks).save(str(tmp_path / "bad"))
+
+
+def test_stored_index_is_repaired(library, tmp_path):
+    from derlem.operators import retrieval
+
+    state, _, _ = library
+    retrieval.write_index(state.files.where("false"), str(tmp_path / "index"))
+    for path in (tmp_path / "index", tmp_path / "missing"):
+        engine = SearchEngine.stored(state.files, state.metadata, str(path))
+        assert sorted(names(engine.search("kira tahliye"))) == ["a.txt", "b.txt"]
+    plan = engine.index.where("term = 'kira'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,kira)" in plan
+
+
+def test_fts_snippet_against_force(spark):
+    import random
+    import re
+
+    from derlem.operators.retrieval import fts_snippet
+
+    r = random.Random(5)
+    words = [("kira", True), ("dava", False)]
+
+    def force(body, width=6):
+        parts = (body or "").split()
+        hit = [any(w.startswith("kira") or w == "dava" for w in re.findall(r"[^\W_]+", p.lower())) for p in parts]
+        best = max(((sum(hit[i : i + width]), -i) for i in range(len(parts)) if hit[i]), default=(0, 0))
+        at = -best[1]
+        shown = [f"<b>{p}</b>" if h else p for p, h in zip(parts[at : at + width], hit[at : at + width])]
+        return ("..." if at else "") + " ".join(shown) + ("..." if len(parts) > at + width else "")
+
+    bodies = [" ".join(r.choice(["kira", "Kiracı,", "dava", "davacı", "x", "(dava)", "y\n"]) for _ in range(r.randrange(40))) for _ in range(60)] + [None, "", "  ", "kira " * 3000]
+    rows = fts_snippet(spark.createDataFrame(list(enumerate(bodies)), "id int, body string"), "body", words, width=6).collect()
+    assert {x.id: x.snippet for x in rows} == {i: force(b) for i, b in enumerate(bodies)}
