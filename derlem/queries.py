@@ -5,13 +5,17 @@ events a change feed, orders with their customers and suppliers the source of le
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as t
 from .functions import vector as v
 from .operators import legal, retrieval, tables
+from .plans.library import Library
 from .plans.search import SearchEngine
+from .plans.workspace import workspace
 from .sources import files as sources
 
 QUERIES: dict = {}
@@ -68,9 +72,13 @@ def _bm25(terms: list[str], where: str, k: int = 20) -> str:
     )
 
 
+def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The stored index of the documents: the first search of a session writes it, the others read the postings of their terms."""
+    return retrieval.open_index(_files(spark, sf), f"{workspace(spark)}/index-{zlib.crc32(sf.encode()):08x}")
+
+
 def _keyword(spark: SparkSession, sf: str, text: str, k: int = 20) -> DataFrame:
-    files = _files(spark, sf)
-    found = retrieval.top(retrieval.keyword(retrieval.postings(files), retrieval.doc_lengths(files), text), k)
+    found = retrieval.top(retrieval.keyword(*_index(spark, sf), text), k)
     return found.select("id", F.round("score", 9).alias("score"))
 
 
@@ -213,9 +221,9 @@ def l2_normalize(spark, sf):
 
 
 def _hybrid(spark, sf):
-    files, chunks = _files(spark, sf), _chunks(spark, sf)
+    chunks = _chunks(spark, sf)
     one = chunks.where("chunk_index = 7").select(F.col("embedding").alias("target"))
-    a = retrieval.ranked(retrieval.keyword(retrieval.postings(files), retrieval.doc_lengths(files), "ernt OR ersh"), 40)
+    a = retrieval.ranked(retrieval.keyword(*_index(spark, sf), "ernt OR ersh"), 40)
     b = retrieval.ranked(retrieval.semantic(chunks.crossJoin(F.broadcast(one)), F.col("target")), 40)
     return a, b
 
@@ -344,26 +352,42 @@ def backfill_limit_remaining(spark, sf):
     return missing.orderBy("id").limit(50).crossJoin(F.broadcast(total))
 
 
+#: What legal texts are made of, by remainders of their ids: labels and kinds of case numbers, authorities, titles and their types, roles.
+_CASES = (("ESAS NO", "ESAS"), ("SORUŞTURMA NO", "SORUSTURMA"), ("DEĞİŞİK İŞ NO", "DEGISIK_IS"), ("TAKİP NO", "TAKIP"), ("BAŞVURU NO", "BASVURU"))
+_COURTS = (("İSTANBUL", "ASLİYE HUKUK MAHKEMESİ"), ("ANKARA", "CUMHURİYET BAŞSAVCILIĞI"), ("İZMİR", "İCRA DAİRESİ"), ("BURSA", "SULH CEZA HAKİMLİĞİ"))
+_HEADINGS = (("GEREKÇELİ KARAR", "Gerekçeli Karar"), ("DAVA DİLEKÇESİDİR", "Dava Dilekçesi"), ("YARGITAY İLAMI", "Temyiz İlamı"), ("TENSİP TUTANAĞI", "Tensip Zaptı"), ("RAPOR", "Bilirkişi Raporu"), ("KYOK", "Takipsizlik Kararı"))
+_ROLES = (("DAVACI", "DAVALI"), ("MÜŞTEKİ", "ŞÜPHELİ"), ("ALACAKLI", "BORÇLU"))
+
+
 def _legal_docs(spark, sf):
     o = _read(spark, sf, "orders").join(_read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     suppliers = _read(spark, sf, "supplier")
     o = o.withColumn("s_suppkey", F.col("o_orderkey") % F.lit(10) + 1).join(suppliers, "s_suppkey", "left")
+    one = lambda rows, k: F.get(F.array(*[F.lit(x[k]) for x in rows]), (F.col("o_orderkey") % len(rows)).cast("int"))
     body = F.concat(
-        F.lit("T.C.\nİSTANBUL "), (F.col("o_orderkey") % 40 + 1).cast("string"), F.lit(". ASLİYE HUKUK MAHKEMESİ\n\nESAS NO : "), F.year("o_orderdate").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string"),
-        F.lit("\nGEREKÇELİ KARAR\nDAVACI : "), "c_name", F.lit("\nDAVACI VEKİLİ : Av. Bir Kişi\nDAVALI : "), F.coalesce("s_name", F.lit("Yok Ltd.")), F.lit("\nKARAR TARİHİ : "), F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit("\n"))
+        F.lit("T.C.\n"), one(_COURTS, 0), F.lit(" "), (F.col("o_orderkey") % 40 + 1).cast("string"), F.lit(". "), one(_COURTS, 1), F.lit("\n\n"), one(_CASES, 0), F.lit(" : "),
+        F.year("o_orderdate").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string"), F.lit("\n"), one(_HEADINGS, 0), F.lit("\n"), one(_ROLES, 0), F.lit(" : "), "c_name",
+        F.lit("\nDAVACI VEKİLİ : Av. Bir Kişi\n"), one(_ROLES, 1), F.lit(" : "), F.coalesce("s_name", F.lit("Yok Ltd.")), F.lit("\nKARAR TARİHİ : "), F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit("\n"))
     return o.select(F.col("o_orderkey").alias("id"), body.alias("body"), F.lit("belge.docx").alias("filename"))
 
 
-@query("""SELECT o_orderkey AS id, 'İSTANBUL ' || (o_orderkey % 40 + 1) || '. ASLİYE HUKUK MAHKEMESİ' AS court_name, year(o_orderdate) || '/' || o_orderkey AS case_number, 'ESAS' AS case_kind, 'Gerekçeli Karar' AS document_type,
-strftime(o_orderdate, '%d.%m.%Y') AS document_date, c_name AS plaintiff, coalesce(s_name, 'Yok Ltd.') AS defendant FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN supplier ON s_suppkey = o_orderkey % 10 + 1 WHERE o_orderkey > 0""")
+def _one(rows, k: int) -> str:
+    return "[" + ", ".join(f"'{x[k]}'" for x in rows) + f"][o_orderkey % {len(rows)} + 1]"
+
+
+@query(f"""SELECT o_orderkey AS id, {_one(_COURTS, 0)} || ' ' || (o_orderkey % 40 + 1) || '. ' || {_one(_COURTS, 1)} AS court_name,
+CASE WHEN o_orderkey > 0 THEN year(o_orderdate) || '/' || o_orderkey END AS case_number, CASE WHEN o_orderkey > 0 THEN {_one(_CASES, 1)} END AS case_kind, {_one(_HEADINGS, 1)} AS document_type,
+strftime(o_orderdate, '%d.%m.%Y') AS document_date, c_name AS plaintiff, coalesce(s_name, 'Yok Ltd.') AS defendant FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN supplier ON s_suppkey = o_orderkey % 10 + 1""")
 def legal_metadata(spark, sf):
-    return legal.extract_metadata(_legal_docs(spark, sf).where("id > 0")).select("id", *legal.FIELDS)
+    """A case number of sequence 0 is none: the text of order 0 has neither number nor kind."""
+    return legal.extract_metadata(_legal_docs(spark, sf)).select("id", *legal.FIELDS)
 
 
-@query("SELECT o_orderkey AS id, year(o_orderdate) || '/' || o_orderkey AS case_number, 'Bilirkişi Raporu' AS document_type, strftime(o_orderdate, '%d.%m.%Y') AS document_date FROM orders WHERE o_orderkey > 0")
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey > 0 THEN year(o_orderdate) || '/' || o_orderkey END AS case_number, CASE WHEN o_orderkey > 0 THEN 'Bilirkişi Raporu' END AS document_type,
+CASE WHEN o_orderkey > 0 THEN strftime(o_orderdate, '%d.%m.%Y') END AS document_date FROM orders""")
 def legal_uyap_filename(spark, sf):
     name = F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("_"), F.col("o_orderkey").cast("string"), F.lit("_bilirkişi_raporu_"), F.date_format("o_orderdate", "dd_MM_yyyy"))
-    found = _read(spark, sf, "orders").where("o_orderkey > 0").select(F.col("o_orderkey").alias("id"), legal.filename_evidence(name).alias("f"))
+    found = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), legal.filename_evidence(name).alias("f"))
     return found.select("id", F.col("f.number").alias("case_number"), F.col("f.type").alias("document_type"), F.col("f.date").alias("document_date"))
 
 
@@ -408,7 +432,7 @@ def hashing_embedding(spark, sf):
 def _engine(spark, sf) -> SearchEngine:
     chunks = _chunks(spark, sf)
     one = list(chunks.where("chunk_index = 7").first()["embedding"])
-    return SearchEngine(_files(spark, sf), _metadata(spark, sf).withColumnRenamed("id", "file_id"), chunks, lambda _: one)
+    return SearchEngine(_files(spark, sf), _metadata(spark, sf).withColumnRenamed("id", "file_id"), chunks, lambda _: one, *_index(spark, sf))
 
 
 @query(f"WITH k AS ({_bm25(['ernt'], 'h0', 200)}), m AS ({_META}) SELECT k.id, k.score, document_type FROM k JOIN m USING (id) WHERE case_kind = 'SORUSTURMA' ORDER BY k.score DESC, k.id LIMIT 10")
@@ -420,3 +444,98 @@ def search_keyword_facet(spark, sf):
 @query(_HYBRID + "SELECT id, round(score, 9) AS score FROM (SELECT * FROM f ORDER BY f.score DESC, fts_rank NULLS LAST, sem_rank LIMIT 20) f JOIN documents ON doc_id = id")
 def search_hybrid(spark, sf):
     return _engine(spark, sf).search("ernt OR ersh", mode="hybrid").results.select("id", F.round("score", 9).alias("score"))
+
+
+@query(f"SELECT doc_id AS id, '/corpus/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, md5(text) AS body, document_type, case_kind FROM documents LEFT JOIN ({_META}) m ON m.id = doc_id WHERE doc_id = 7")
+def read_document(spark, sf):
+    files = _files(spark, sf)
+    path = files.where("id = 7").first()["path"]
+    return tables.read_document(files, _metadata(spark, sf).withColumnRenamed("id", "file_id"), path).select("id", "path", F.md5("body").alias("body"), "document_type", "case_kind")
+
+
+def _folders(spark, sf) -> DataFrame:
+    path = F.concat_ws("/", F.lit("/corpus"), "source", "lang").alias("path")
+    return _read(spark, sf, "documents").groupBy(path).agg(F.min("doc_id").alias("added_at"))
+
+
+_BY_TIME = "SELECT '/corpus/' || source || '/' || lang AS path, min(doc_id) AS added_at FROM documents GROUP BY ALL"
+
+
+def _library(spark, sf) -> Library:
+    files = _files(spark, sf).select("id", "path", "filename", "ext", F.lit(0).cast("long").alias("mtime"), "size", "body", "status", F.lit(None).cast("string").alias("error_msg"))
+    meta = _read(spark, sf, "labels").select(F.col("doc_id").alias("file_id"), F.when(F.col("quality") == 1, "a summary").alias("summary"))
+    fields = {c: F.lit(None).cast("array<string>" if c == "tags" else "string") for c in tables.METADATA if c != "summary"}
+    settings = _read(spark, sf, "events").groupBy(F.col("event_type").alias("key")).agg(F.max("user_id").cast("string").alias("value"))
+    return Library(files, meta.withColumns(fields).select("file_id", *tables.METADATA), _chunks(spark, sf), _folders(spark, sf), settings)
+
+
+@query(f"SELECT path, added_at FROM ({_BY_TIME}) WHERE NOT starts_with(path, '/corpus/src1/') UNION ALL SELECT '/corpus/src1', 1000000000")
+def folder_add(spark, sf):
+    """A folder that covers registered ones, then one that it covers itself."""
+    state, above, _ = _library(spark, sf).add_folder("/corpus/src1/", 10**9)
+    state, above, _ = state.add_folder("/corpus/src1/en/deep", 10**9 + 1)
+    return state.folders.where(F.lit(above == "/corpus/src1"))
+
+
+@query(_BY_TIME)
+def folders_by_time(spark, sf):
+    return _library(spark, sf).list_folders()
+
+
+@query("""SELECT (SELECT count(*) FROM documents) AS kept, (SELECT count(*) FROM documents WHERE NOT (source = 'src1' AND lang = 'en')) AS left_files,
+(SELECT count(*) - 1 FROM (SELECT DISTINCT source, lang FROM documents)) AS folders""")
+def folder_remove_keep_files(spark, sf):
+    state = _library(spark, sf)
+    keep, gone = state.remove_folder("/corpus/src1/en", keep_files=True), state.remove_folder("/corpus/src1/en")
+    counts = keep.files.agg(F.count("*").alias("kept")).crossJoin(gone.files.agg(F.count("*").alias("left_files")))  # one row each
+    return counts.crossJoin(gone.folders.agg(F.count("*").alias("folders")))
+
+
+@query("SELECT k.key, coalesce(value, 'none') AS value FROM (VALUES ('click'), ('view'), ('missing')) k(key) LEFT JOIN (SELECT event_type AS key, max(user_id)::VARCHAR AS value FROM events GROUP BY ALL) s USING (key)")
+def settings_default(spark, sf):
+    return tables.settings_get(_library(spark, sf).settings, ["click", "view", "missing"], "none")
+
+
+@query("SELECT event_type AS key, max(user_id)::VARCHAR AS value FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY ALL UNION ALL SELECT 'view', 'new'")
+def settings_set_delete(spark, sf):
+    return _library(spark, sf).set(click=None, view="new").settings
+
+
+@query("""SELECT '{"doc_id":' || doc_id || ',"quality":' || coalesce(quality::VARCHAR, 'null') || ',"lang":"' || lang || '"}' AS value FROM documents LEFT JOIN labels USING (doc_id)""")
+def results_json(spark, sf):
+    return tables.json_rows(_read(spark, sf, "documents").join(_read(spark, sf, "labels"), "doc_id", "left").select("doc_id", "quality", "lang"))
+
+
+@query("""SELECT coalesce(d.doc_id, l.doc_id) AS id, CASE WHEN quality = 1 THEN 'a summary' WHEN trim(text) <> '' THEN md5(text) END AS summary, CASE WHEN coalesce(quality, 0) <> 1 AND trim(text) <> '' THEN 2 END AS tags
+FROM documents d FULL JOIN labels l USING (doc_id) WHERE l.doc_id IS NOT NULL OR trim(text) <> ''""")
+def enrich_missing(spark, sf):
+    answer = lambda body: F.concat(F.lit('Here: {"summary": " '), F.md5(body), F.lit(' ", "tags": ["a", " ", "b"]} done'))
+    found = _library(spark, sf).enrich(answer).metadata
+    return found.select(F.col("file_id").alias("id"), "summary", F.when(F.col("tags").isNotNull(), F.size("tags")).alias("tags"))
+
+
+@query(_CHUNKS + "SELECT doc_id AS id, count(*) AS chunks, 'bge-m3' AS model, '1024' AS dimensions FROM chunks JOIN documents USING (doc_id) WHERE text <> '' GROUP BY doc_id")
+def model_switch_rebuild(spark, sf):
+    """Chunks made with the default model are made anew for another one; an unknown model is an error."""
+    state, rebuilt = _library(spark, sf).use_model("bge-m3", v.hashing_embedder)
+    now = state.settings.where("key in ('indexed_model_id', 'indexed_model_dim')").groupBy().pivot("key", ["indexed_model_id", "indexed_model_dim"]).agg(F.first("value"))
+    counts = state.chunks.where(F.lit(rebuilt)).groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("chunks"))
+    return counts.crossJoin(F.broadcast(now)).select("id", "chunks", F.col("indexed_model_id").alias("model"), F.col("indexed_model_dim").alias("dimensions"))
+
+
+@query("""SELECT count(*) FILTER (doc_id % 11 <> 0) AS scanned, count(*) FILTER (doc_id % 11 <> 0 AND (doc_id % 5 = 0 OR doc_id % 7 = 0)) AS parsed,
+count(*) FILTER (doc_id % 11 <> 0 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0) AS skipped, count(*) FILTER (doc_id % 11 = 0 AND doc_id % 7 <> 0) AS removed FROM documents WHERE source = 'src1'""")
+def scan_counters(spark, sf):
+    now = _files(spark, sf).where("source = 'src1' and id % 11 <> 0").withColumn("mtime", F.when(F.col("id") % 5 == 0, 2).otherwise(1))
+    known = _files(spark, sf).where("id % 7 <> 0").withColumn("mtime", F.lit(1))
+    return tables.scan_counts(now, known, "/corpus/src1")
+
+
+@query(f"WITH {_TOK} w AS (SELECT id, 1 AS col, unnest(b) AS term FROM d UNION ALL SELECT id, 0, unnest(n) FROM d) SELECT count(DISTINCT (id, col, term)) AS postings, count(*) AS positions, count(DISTINCT term) AS terms FROM w")
+def index_repair(spark, sf):
+    """An index without postings is written anew when it is opened over files that have some."""
+    path = f"{workspace(spark)}/repaired-{zlib.crc32(sf.encode()):08x}"
+    files = _files(spark, sf)
+    retrieval.write_index(files.where("false"), path)
+    index, _ = retrieval.open_index(files, path)
+    return index.agg(F.count("*").alias("postings"), F.sum(F.size("positions")).alias("positions"), F.countDistinct("term").alias("terms"))
