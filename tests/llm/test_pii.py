@@ -85,3 +85,69 @@ def test_query_against_force(spark, sf):
     assert sorted(tuple(r)[:-1] for r in got) == want
     texts = dict(docs)
     assert all(set(name(force(texts[r.doc_id] or "")).split(",")) <= set(r.spans.split(",")) for r in got)
+
+
+def bootstrap_by_force(docs, at):
+    """(doc_id, start, end, kind) of discovered spans, by plain loops over dictionaries."""
+    seen, places = [], {}
+    for i, text in docs:
+        text = text or ""
+        base = pii.base_spans(text)
+        for kind, a, b in [(k, a, b) for a, k, b in base] + [(-1, a, b) for a, b in pii.candidates(text, base)]:
+            left, after = re.findall(r"\w+", text[max(0, a - 120) : a]), re.findall(r"\w+", text[b : b + 120])
+            sides = {"l1": left[-1] if left else "", "l2": " ".join(left[-2:]) if len(left) > 1 else "", "r1": after[0] if after else ""}
+            seen.append((i, a, b, kind, text[a:b].lower(), {(side, w.lower()) for side, w in sides.items() if w}))
+        said = [w for w in re.split(r"\W+", text.lower()) if w]
+        for k, w in enumerate(said):
+            for words in {w, " ".join(said[max(0, k - 1) : k + 1])}:
+                places[words] = places.get(words, 0) + 1
+    used, members, kinds = {}, {}, {}
+    for _, _, _, kind, value, patterns in seen:
+        for p in patterns:
+            used[p] = used.get(p, 0) + 1
+            members.setdefault(p, {})[value] = max(kind, members.get(p, {}).get(value, -1))
+    members = {p: m for p, m in members.items() if used[p] >= at.share * places.get(p[1], float("inf"))}
+    seeds = {(v, k): 1.0 for m in members.values() for v, k in m.items() if k >= 0}
+    score = dict(seeds)
+    for _ in range(at.rounds):
+        trust = {}
+        for p, m in members.items():
+            for kind in range(4):
+                good = sum(x for (v, k), x in score.items() if k == kind and v in m)
+                if good >= at.support and good / (len(m) + 1) >= at.precision:
+                    trust[p, kind] = good / (len(m) + 1)
+        gained = {}
+        for (p, kind), x in trust.items():
+            for v, k in members[p].items():
+                if k < 0:
+                    gained[v, kind] = gained.get((v, kind), 1.0) * (1 - x)
+        score = dict(seeds)
+        for key, miss in gained.items():
+            score[key] = max(score.get(key, 0.0), 1 - miss)
+    best = {}
+    for (v, kind), x in score.items():
+        if x >= at.accept:
+            best[v] = max(best.get(v, (0, 0)), (x, -kind))
+    return sorted((i, a, b, -best[v][1]) for i, a, b, kind, v, _ in seen if kind < 0 and v in best)
+
+
+def test_bootstrap_against_force(spark):
+    r = random.Random(11)
+    ids = [f"{r.choice('AB')}{r.randrange(10, 99)}-{r.randrange(1000, 9999)}" for _ in range(160)]
+    seed = [lambda: f"+1 (269) 555-{r.randrange(1000, 9999)}", lambda: f"user{r.randrange(99)}@mail{r.randrange(9)}.example.com", lambda: f"10.{r.randrange(255)}.{r.randrange(255)}.7"]
+    contexts = [("hotline phone", 0), ("write mail", 1), ("server node", 2), ("badge serial", None), ("order no", None), ("case ref", None)]
+    docs = []
+    for i in range(500):
+        words = []
+        for _ in range(r.randrange(1, 5)):
+            (name, kind) = r.choice(contexts)
+            own = kind is not None and r.random() < 0.9
+            words += ["so", r.choice(["we", "they"]), *name.split(), seed[kind]() if own else r.choice(ids[:40] if name in ("badge serial", "hotline phone") else ids), r.choice(["and", "for", "now"])]
+        docs.append((i, " ".join(words)))
+    for at in (pii.Bootstrap(), pii.Bootstrap(rounds=1, precision=0.5, accept=0.5), pii.Bootstrap(rounds=4, precision=0.4, accept=0.4, share=0.1)):
+        want = bootstrap_by_force(docs, at)
+        base = {i: set(pii.base_spans(t)) for i, t in docs}
+        rows = pii.find(spark.createDataFrame(docs, "doc_id long, text string"), at).collect()
+        got = sorted((x.doc_id, s.start, s.end, s.kind) for x in rows for s in x.spans if (s.start, s.kind, s.end) not in base[x.doc_id])
+        assert got == want
+    assert want
