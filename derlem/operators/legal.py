@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +24,18 @@ def type_key(x: Column) -> Column:
     return F.trim(F.regexp_replace(tr_lower(x), "[^a-z0-9çğıöşü]+", " "))
 
 
+def _title_key(title: str) -> str:
+    """type_key of a title from the table."""
+    return " ".join(re.findall("[a-z0-9çğıöşü]+", title.replace("I", "ı").replace("İ", "i").lower()))
+
+
+#: All keys with their types as one text, which Spark turns into a map once.
+_TYPES = ";".join(f"{_title_key(title)}{end}={kind}" for title, kind in r.TITLES for end in ("", "dir", "idir"))
+
+
 def canonical_type(key: Column) -> Column:
     """The type that a normalised title names, with an ending of the copula or without; null for others."""
-    pairs = [x for title, kind in r.TITLES for end in ("", "dir", "idir") for x in (F.concat(type_key(F.lit(title)), F.lit(end)), F.lit(kind))]
-    return F.try_element_at(F.create_map(*pairs), key)
+    return F.try_element_at(F.str_to_map(F.lit(_TYPES), F.lit(";"), F.lit("=")), key)
 
 
 def _clean_line(x: Column) -> Column:
