@@ -99,10 +99,16 @@ def infix_query(query: str) -> str:
     return " ".join(query.replace('"', " ").replace("'", " ").split())
 
 
+def with_normalised(files: DataFrame) -> DataFrame:
+    """files with filename_tr and body_tr, to be stored: substring searches then read these and normalise nothing."""
+    return files.withColumns({f"{c}_tr": tr_lower(F.coalesce(c, F.lit(""))) for c in ("filename", "body")})
+
+
 def infix(files: DataFrame, query: str) -> DataFrame:
     """id, score: documents whose name or body has the query as a substring; BM25 over character trigrams."""
     needle = tr_lower(F.lit(infix_query(query)))
-    rows = files.select("id", *[tr_lower(F.coalesce(c, F.lit(""))).alias(c) for c in ("filename", "body")])
+    rows = files if {"filename_tr", "body_tr"} <= set(files.columns) else with_normalised(files)
+    rows = rows.select("id", F.col("filename_tr").alias("filename"), F.col("body_tr").alias("body"))
     grams = lambda c: F.greatest(F.lit(0), F.length(c) - 2)
     # Places are counted by looking ahead, so that matches may overlap; a lower-case needle can't end the quotation.
     ahead = F.concat(F.lit(r"(?=\Q"), needle, F.lit(r"\E)"))

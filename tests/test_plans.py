@@ -170,3 +170,13 @@ def test_fts_snippet_against_force(spark):
     bodies = [" ".join(r.choice(["kira", "Kiracı,", "dava", "davacı", "x", "(dava)", "y\n"]) for _ in range(r.randrange(40))) for _ in range(60)] + [None, "", "  ", "kira " * 3000]
     rows = fts_snippet(spark.createDataFrame(list(enumerate(bodies)), "id int, body string"), "body", words, width=6).collect()
     assert {x.id: x.snippet for x in rows} == {i: force(b) for i, b in enumerate(bodies)}
+
+
+def test_stored_normalised_columns_give_the_same_substrings(library, tmp_path):
+    from derlem.operators import retrieval
+
+    state, _, _ = library
+    retrieval.with_normalised(state.files).write.parquet(str(tmp_path / "files"))
+    stored = state.files.sparkSession.read.parquet(str(tmp_path / "files"))
+    for needle in ("İSTANBUL", "tahliye tal", "a.tx", "nowhere"):
+        assert sorted(map(tuple, retrieval.infix(stored, needle).collect())) == sorted(map(tuple, retrieval.infix(state.files, needle).collect()))
