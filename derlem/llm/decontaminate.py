@@ -28,6 +28,8 @@ WIDTH = 13
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes that the items of one block, and their anchors, may take in a broadcast, by a rough upper estimate.
 BLOCK_BYTES = 32 << 20
+#: Different words of the benchmark up to which they are broadcast to be counted.
+VOCABULARY_ROWS = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -57,7 +59,10 @@ def anchors(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     places = items.select("item_no", F.posexplode("item").alias("place", "w")).select("item_no", "place", F.lower("w").alias("word"))
     vocabulary = durable(places.select("word").distinct(), "vocabulary")
     said = docs.select(F.explode(words_of(F.col("text"))).alias("w")).select(F.lower("w").alias("word"))
-    counts = lookup_join(said, vocabulary, "word", "inner").groupBy("word").agg(F.count("*").alias("n"))
+    if vocabulary.limit(VOCABULARY_ROWS + 1).count() <= VOCABULARY_ROWS:
+        counts = said.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
+    else:  # words are counted where they are read, so that no more than the corpus's vocabulary is shuffled
+        counts = said.groupBy("word").agg(F.count("*").alias("n")).join(vocabulary.hint("merge"), "word")
     rank = places.join(counts, "word", "left").select("item_no", "place", "word", F.coalesce("n", F.lit(0)).alias("n"))
     windows = items.select("item_no", F.size("item").alias("size"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("item") - width))).alias("start"))
     of = windows.join(rank, "item_no").where((F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + width))

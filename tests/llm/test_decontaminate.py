@@ -96,3 +96,11 @@ def test_sql_agrees_on_repeated_ids(spark, tmp_path):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
     got = [tuple(r) for r in d.op4_decontaminate(spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted(con.execute(OP4).fetchall(), key=str)
+
+
+def test_a_vocabulary_beyond_the_broadcast_gives_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"lead {i} " + " ".join(f"w{k}" for k in range(i, i + 15)) + " tail") for i in range(20)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(8, 24))), (2, "lead 3")], "item_id long, text string")
+    want = sorted(map(str, d.contamination(docs, items).collect()))
+    monkeypatch.setattr(d, "VOCABULARY_ROWS", 3)
+    assert sorted(map(str, d.contamination(docs, items).collect())) == want
