@@ -65,7 +65,9 @@ class Tree:
         return end == len(self.text) or not self.text[end - 1].isspace()
 
     def _build(self) -> None:
-        ends = [end for end in _ends(self.text, 0) if self._firm(end)]
+        text, last = self.text, len(self.text)
+        found = _ends(text, 0) if SPECIAL in text else (m.end() for m in _pattern().finditer(text))
+        ends = [end for end in found if not text[end - 1].isspace() or end == last]  # those that are firm
         cuts = [0, *ends[self.leaf - 1 :: self.leaf]]
         if cuts[-1] != len(self.text) or len(cuts) == 1:
             cuts.append(len(self.text))
