@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, edit_counts, packing, pii, quality, secrets, simhash, substring_dedup, toxicity, url_filter
+from . import decontaminate, divergence, edit_counts, lloyd, packing, pii, quality, secrets, simhash, substring_dedup, toxicity, url_filter, va_file
 from .sql import ORACLE
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op6_simhash_groups": simhash.op6_simhash_groups,
     "op1_url_reputation": url_filter.op1_url_reputation,
+    "op11_va_topk": va_file.op11_va_topk,
+    "op12_weighted_lloyd": lloyd.op12_weighted_lloyd,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 __all__ = ["ORACLE", "QUERIES"]

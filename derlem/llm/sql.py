@@ -118,10 +118,61 @@ SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesc
 FROM t LEFT JOIN ba USING (r) LEFT JOIN sp USING (r) LEFT JOIN nl USING (r)
 """
 
+_QUANTISED = "list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT)"
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+OP11 = f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, {_QUANTISED} AS v FROM embeddings WHERE {_FINITE}),
+s AS (SELECT q.r, q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.v, v.v), lambda x: x[1] * x[2]))::BIGINT AS score FROM v AS q JOIN v ON q.r <> v.r WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 20
+"""
+
+
+def _lloyd(centroids: int = 16, rounds: int = 3) -> str:
+    """Vectors as a row for each component; each round a pair of tables, assignments and centroids."""
+    parts = [f"""v AS (SELECT row_number() OVER () AS r, vec_id, {_QUANTISED} AS v FROM embeddings WHERE {_FINITE} AND len(embedding) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v ORDER BY h, v LIMIT {centroids}))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""d{i} AS (SELECT r, c, list_sum(list_transform(list_zip(v.v, c{i}.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d FROM v, c{i}),
+a{i} AS (SELECT r, c, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT c, k, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS k FROM a{i} JOIN v USING (r)) GROUP BY c, k),
+m{i} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY k) AS v FROM s{i} GROUP BY c),
+c{i + 1} AS (SELECT c, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} USING (c))""")
+    last = f"""SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN v USING (r) JOIN c{rounds} USING (c)"""
+    return "WITH " + ",\n".join(parts) + "\n" + last
+
+
+OP12 = _lloyd()
+
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+x AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM x GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(kept.term) AS v FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+n AS (SELECT lang, source, term, count(*) AS n FROM x JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN n USING (lang, source) GROUP BY ALL),
+p AS (SELECT lang, source, term, coalesce(n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (total + 2 * v))::HUGEINT AS p
+      FROM g JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN n USING (lang, source, term)),
+q AS (SELECT lang, term, (1 + (1000000000::HUGEINT * (sum(n) + 2)::HUGEINT) // ((sum(sum(n)) OVER (PARTITION BY lang))::HUGEINT + 2 * any_value(v)))::HUGEINT AS q FROM n JOIN v USING (lang) GROUP BY lang, term),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value FROM p AS x JOIN p AS y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+           ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT lang, source, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pair
+UNION ALL
+SELECT lang, source, 'term', item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS r FROM term QUALIFY r <= 10
+"""
+
 ORACLE = {
     "op8_secret_ownership": OP8,
     "op7_quality_divergence": OP7,
     "op4_decontaminate": OP4,
     "op3_substring_dedup": OP3,
     "op1_url_reputation": OP1,
+    "op11_va_topk": OP11,
+    "op12_weighted_lloyd": OP12,
+    "op13_source_divergence": OP13,
 }
