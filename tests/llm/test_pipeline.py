@@ -54,3 +54,24 @@ def test_stages_against_force(spark):
 def test_run_gives_the_last_stage(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_odd_rows_through_all_stages(spark, sf, tmp_path):
+    """Repeated rows, one id for two texts, null ids and texts: the row with a text of its own stays, and one row of each group of copies."""
+    docs = table(spark, sf, "documents")
+    have = [tuple(r) for r in docs.limit(60).collect()]
+    i, text = docs.columns.index("doc_id"), docs.columns.index("text")
+    make = lambda r, **new: tuple(new.get(c, v) for c, v in zip(docs.columns, r))
+    own = "neither copied nor linked: " + " ".join(f"word{k}" for k in range(40))
+    odd = [*have, have[0], have[0], make(have[1], text=own), make(have[2], doc_id=None), make(have[2], doc_id=None), make(have[3], doc_id=None, text=None), make(have[3], text="")]
+    frame = spark.createDataFrame(odd, docs.schema)
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame, sf).collect()
+    prints = [slow_fingerprint(r[text]) for r in odd]
+    root = groups_by_force(sorted(set(prints)))
+    assert len(kept) == len({root[p] for p in prints}) == len({root[slow_fingerprint(r.text)] for r in kept})
+    assert any(r.text == own and r.doc_id == have[1][i] for r in kept)
+    for name in ("documents", "labels", "benchmark"):
+        (frame if name == "documents" else table(spark, sf, name)).write.parquet(f"{tmp_path}/odd/{name}.parquet")
+        table(spark, sf, name).limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/odd").count() > 0
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
