@@ -1,12 +1,16 @@
 """Toxicity by compression distance.
 
-Two dictionaries are trained with zstandard: one on ordinary texts, one on toxic text. Most of a toxic document is ordinary, so the
-toxic samples are the stretches of toxic documents that ordinary ones lack: runs of bytes, across words too, which significantly more
-toxic documents have. Whole toxic documents as samples were tried and fill the dictionary with ordinary text (figures in README).
+Two dictionaries are trained with zstandard, each on its own class: one on the windows of ordinary texts, one on the windows of toxic
+texts, a window being two words. A document's windows are compressed with each of them alone, and the difference of both lengths says which
+class explains a window better: the largest difference of a document, and the numbers of windows whose difference reaches two thresholds,
+are what a logistic curve scores. Short windows and short segments (``k`` of the trainer) matter: most of a toxic document is ordinary text,
+and long segments carry it into the toxic dictionary (figures in README).
 
-A document is cut into windows of a few words. A window is compressed with the ordinary dictionary, and with the ordinary and the toxic
-one together; the difference of both lengths is what toxic text alone explains. The largest difference of a document and the numbers of
-windows beyond two thresholds make the score, by a logistic curve fitted on documents that the dictionaries haven't seen.
+An addition that isn't a trained dictionary: stretches, runs of bytes across words that significantly more toxic documents than ordinary ones
+have. Windows of four words are compressed with an ordinary dictionary, and with it and the stretches; what the stretches save gives the curve
+three more numbers of the same kind.
+
+The curve is fitted on documents that neither dictionaries nor stretches have seen.
 
 Learning takes a sample bounded by TrainingBound, whose classes count as often as all labels have them; scoring takes every whole text.
 Only labels of the training fold are read.
@@ -19,9 +23,10 @@ scored like any row (null ids are in neither fold's training); empty tables give
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +37,13 @@ from pyspark.sql import functions as F
 
 from .common import durable, lookup_join, table
 
+#: Words of a window for the pair of trained dictionaries; bytes that the toxic one must save more than the ordinary one to count, and to be far.
+PAIR_WORDS = 2
+APART, FAR = 4, 5
+#: (bytes, segments of so many bytes) of the ordinary and the toxic trained dictionary; the trainer counts runs of TRAINED_RUN bytes.
+TRAINED = ((112_640, 32), (8_000, 10))
+TRAINED_RUN = 6
+#: The addition's windows.
 WINDOW_WORDS = 4
 #: Bytes by which the toxic dictionary must shorten a window to count, and to count as a large gain.
 GAIN, LARGE = 2, 4
@@ -45,12 +57,13 @@ RUN, PAD = 6, 32
 @dataclass(frozen=True)
 class TrainingBound:
     """What is learnt from, at most: toxic and ordinary rows, for dictionaries and curve together; characters of a text (longer ones are
-    left out of learning); bytes of the ordinary dictionary."""
+    left out of learning); bytes of the addition's ordinary dictionary; bytes of windows that each dictionary is trained on."""
 
     toxic: int = 2000
     ordinary: int = 4000
     chars: int = 20_000
     dictionary: int = 16_000
+    samples: int = 12 << 20
 
 
 #: Bytes of toxic dictionaries that are tried, and from how many times as large a one their best end is taken; the calibration rows choose.
@@ -59,9 +72,13 @@ TOXIC_DICTIONARIES = ((400, 2), (1600, 8), (3200, 8))
 
 @dataclass(frozen=True)
 class Model:
+    """pair: the trained ordinary and toxic dictionary; ordinary and toxic: what the addition compresses with; weights: of the curve, the
+    intercept, three for the addition, three for the pair."""
+
     ordinary: bytes
     toxic: bytes
     weights: tuple[float, ...]
+    pair: tuple[bytes, bytes] = (b"", b"")
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -72,6 +89,48 @@ def _spaced(words: list[bytes]) -> bytes:
     return b" " + b" ".join(words) + b" "
 
 
+def windows(text: str | None, words: int = PAIR_WORDS) -> list[bytes]:
+    split = _words(text)
+    return [_spaced(split[i : i + words]) for i in range(0, len(split), words)]
+
+
+def train_pair(ordinary: list[str], toxic: list[str], most: int) -> tuple[bytes, bytes]:
+    """A dictionary of each class, as zstandard trains it on the windows of the class's texts; none if one has too little text to train on."""
+    made = []
+    for texts, (size, k) in zip((ordinary, toxic), TRAINED, strict=True):
+        samples, held = [], 0
+        for text in sorted(set(texts), key=lambda t: (text_hash(t), t)):
+            samples += windows(text)
+            held += len(text)
+            if held > most:
+                break
+        try:
+            made.append(zstandard.train_dictionary(size, samples, k=k, d=TRAINED_RUN).as_bytes())
+        except (zstandard.ZstdError, ValueError):
+            return b"", b""
+    return made[0], made[1]
+
+
+@lru_cache(maxsize=4)
+def differences(ordinary: bytes, toxic: bytes):
+    """text -> (largest difference of a window, windows APART or more, windows FAR or more)."""
+    if not (ordinary and toxic):
+        return lambda text: (0, 0, 0)
+    size = max(len(ordinary), len(toxic))
+    by_ordinary, by_toxic = (_compressor(zstandard.ZstdCompressionDict(x), 6, size, 4) for x in (ordinary, toxic))
+    pad = b" " * PAD
+
+    def of(text: str | None) -> tuple[int, int, int]:
+        most = n = far = 0
+        for window in windows(text):
+            apart = len(by_ordinary(window + pad)) - len(by_toxic(window + pad))
+            if apart >= APART:
+                most, n, far = max(most, apart), n + 1, far + (apart >= FAR)
+        return most, n, far
+
+    return of
+
+
 def _runs(data: bytes) -> np.ndarray:
     """The run that begins at each byte, as a number."""
     x = np.frombuffer(data, dtype=np.uint8).astype(np.uint64)
@@ -124,9 +183,12 @@ def _train_dictionary(samples: list[bytes], size: int, times: int, k: int, d: in
         return whole[-size:]
 
 
-def _compressor(content: bytes, level: int, size: int):
-    dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    p = zstandard.ZstdCompressionParameters.from_level(level, source_size=128, dict_size=size, min_match=RUN, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+def _raw(content: bytes) -> zstandard.ZstdCompressionDict:
+    return zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
+def _compressor(dictionary: zstandard.ZstdCompressionDict, level: int, size: int, shortest: int):
+    p = zstandard.ZstdCompressionParameters.from_level(level, source_size=128, dict_size=size, min_match=shortest, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
     dictionary.precompute_compress(compression_params=p)
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=p).compress
 
@@ -140,7 +202,7 @@ def gains(ordinary: bytes, toxic: bytes):
     # Nor does it look for matches in the last eight bytes of a dictionary.
     one, both, pad = ordinary + b" " * 8, ordinary + toxic + b" " * 8, (b" " * PAD + ordinary)[-PAD:]
     size = len(both)  # the same tables for both, whatever they hold
-    short_o, short_t = _compressor(one, 6, size), _compressor(both, 6, size)
+    short_o, short_t = _compressor(_raw(one), 6, size, RUN), _compressor(_raw(both), 6, size, RUN)
 
     def of(text: str | None) -> tuple[int, int, int]:
         words = _words(text)
@@ -156,8 +218,18 @@ def gains(ordinary: bytes, toxic: bytes):
 
 
 def _features(rows: np.ndarray) -> np.ndarray:
-    most, n, large = rows[:, 0], rows[:, 1], rows[:, 2]
-    return np.stack([np.ones(len(rows)), np.maximum(0, most - GAIN) / 5, np.log1p(n), np.log1p(large)], axis=1)
+    """rows: gains, then differences."""
+    most, n, large, apart, m, far = rows.T
+    return np.stack([np.ones(len(rows)), np.maximum(0, most - GAIN) / 5, np.log1p(n), np.log1p(large), np.maximum(0, apart - APART + 1) / 5, np.log1p(m), np.log1p(far)], axis=1)
+
+
+def _found(model: Model, texts: list[str | None]) -> np.ndarray:
+    gain, apart = gains(model.ordinary, model.toxic), differences(*model.pair)
+    return np.array([(*gain(t), *apart(t)) for t in texts], dtype=float).reshape(-1, 6)
+
+
+def _scores(model: Model, found: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(_features(found) @ np.array(model.weights), -30, 30)))
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.00002, rows: np.ndarray | None = None) -> tuple[float, ...]:
@@ -167,7 +239,18 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.00002, rows: np.ndarray
     penalty = np.diag([1e-6, *[ridge * rows.sum()] * (x.shape[1] - 1)])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (rows * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (rows * (y - p)) - penalty @ w)
+        slope = x.T @ (rows * (y - p)) - penalty @ w
+        free = (w > 0) | (slope > 0)  # a weight that would go below zero stays there, and the others are solved without it
+        free[0] = True
+        curve = (x * (rows * p * (1 - p))[:, None]).T @ x + penalty
+        while True:
+            step = np.zeros(x.shape[1])
+            step[free] = np.linalg.solve(curve[np.ix_(free, free)], slope[free])
+            below = (w <= 0) & (step < 0)
+            below[0] = False
+            if not below.any():
+                break
+            free &= ~below
         w = w + np.clip(step, -2, 2)
         w[1:] = np.maximum(w[1:], 0)
         if np.abs(step).max() < 1e-6:
@@ -191,46 +274,47 @@ def train(docs: DataFrame, labels: DataFrame, bound: TrainingBound = TrainingBou
     texts = lookup_join(texts, picked, "doc_id", "inner", rows=bound.toxic + bound.ordinary)
     # One row for each picked id, whatever its rows: at most bound.toxic + bound.ordinary texts of at most bound.chars characters.
     rows = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).orderBy("doc_id").collect()
-    parts = {(t, c): [r["text"] for r in rows if r["toxic"] == t and (hash_of(r["doc_id"]) % 3 == 0) == c] for t in (0, 1) for c in (False, True)}
+    parts = {(t, c): [r["text"] for r in rows if r["toxic"] == t and (text_hash(r["text"]) % 3 == 0) == c] for t in (0, 1) for c in (False, True)}
     toxic, ordinary = parts[1, False], parts[0, False]
     # A class that hit its bound stands for more rows than it has here: its rows count as many times as it has labels for each one picked.
     stands = np.array([max(1.0, counts.get(t, 0) / n) for t, n in ((0, bound.ordinary), (1, bound.toxic))])
     y = np.array([t for t in (0, 1) for _ in parts[t, True]], dtype=float)
-    stretches = toxic_stretches(toxic, ordinary) if toxic and ordinary and 0 < y.sum() < len(y) else []
-    if not stretches:
+    both = bool(toxic) and bool(ordinary) and 0 < y.sum() < len(y)
+    stretches = toxic_stretches(toxic, ordinary) if both else []
+    pair = train_pair(ordinary, toxic, bound.samples) if both else (b"", b"")
+    if not stretches and not pair[0]:
         have = np.bincount([r["toxic"] for r in rows], minlength=2) * stands
         have = have * len(rows) / max(1.0, have.sum())
         rate = (have[1] + 0.5) / (len(rows) + 1)
-        return Model(b"", b"", (float(np.log(rate / (1 - rate))), 0.0, 0.0, 0.0))
+        return Model(b"", b"", (float(np.log(rate / (1 - rate))), *[0.0] * 6))
     rows_each = stands[y.astype(int)]
     rows_each = rows_each * len(y) / rows_each.sum()
     by_ordinary = _train_dictionary([_spaced(_words(t)) for t in ordinary], bound.dictionary, 4, 64, 8)
     models = []
-    for size, times in TOXIC_DICTIONARIES:
-        by_toxic = _train_dictionary(stretches, size, times, 16, RUN)
-        of = gains(by_ordinary, by_toxic)
-        x = _features(np.array([of(text) for t in (0, 1) for text in parts[t, True]], dtype=float))
+    for size, times in TOXIC_DICTIONARIES if stretches else ((0, 0),):
+        model = Model(by_ordinary, _train_dictionary(stretches, size, times, 16, RUN), (), pair)
+        x = _features(_found(model, [text for t in (0, 1) for text in parts[t, True]]))
         weights = _fit(x, DOUBT + (1 - 2 * DOUBT) * y, rows=rows_each)
         p = np.clip(1 / (1 + np.exp(-np.clip(x @ np.array(weights), -30, 30))), 1e-6, 1 - 1e-6)
-        models.append((float(-(rows_each * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()), size * times, Model(by_ordinary, by_toxic, weights)))
+        models.append((float(-(rows_each * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()), size * times, replace(model, weights=weights)))
     return min(models, key=lambda m: m[:2])[2]
 
 
-def hash_of(doc_id: int) -> int:
-    return (int(doc_id) * 0x9E3779B97F4A7C15 >> 32) & 0xFFFFFFFF
+def text_hash(text: str) -> int:
+    """Rows for the curve are chosen by text, so that no copy of them is among the texts that dictionaries are trained on."""
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, score, gain (the largest), gaining (windows)."""
+    """docs(doc_id, text) -> doc_id, score, gain (the addition's largest), gaining (windows), apart (the pair's largest difference)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = gains(model.ordinary, model.toxic)
         for batch in batches:
-            found = np.array([of(t.as_py()) for t in batch.column(1)], dtype=float).reshape(-1, 3)
-            score = 1 / (1 + np.exp(-np.clip(_features(found) @ np.array(model.weights), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(found[:, 0].astype(np.int32)), pa.array(found[:, 1].astype(np.int32))], names=["doc_id", "score", "gain", "gaining"])
+            found = _found(model, batch.column(1).to_pylist())
+            more = [pa.array(found[:, i].astype(np.int32)) for i in (0, 1, 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, found)), *more], names=["doc_id", "score", "gain", "gaining", "apart"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, gain int, gaining int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, gain int, gaining int, apart int")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -239,11 +323,8 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = gains(model.ordinary, model.toxic)
         for batch in batches:
-            found = np.array([of(t.as_py()) for t in batch.column(at)], dtype=float).reshape(-1, 3)
-            score = 1 / (1 + np.exp(-np.clip(_features(found) @ np.array(model.weights), -30, 30)))
-            yield batch.filter(pa.array(score < threshold))
+            yield batch.filter(pa.array(_scores(model, _found(model, batch.column(at).to_pylist())) < threshold))
 
     return docs.mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import zstandard
 from pyspark.sql import functions as F
 
 from derlem.llm import toxicity as t
@@ -24,7 +25,7 @@ def corpus(n, seed=1):
 
 def test_held_out_accuracy_on_planted_words(spark):
     docs, labels = corpus(900)
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("apart", F.lit(0))
     lab = spark.createDataFrame(labels, "doc_id long, toxic int")
     model = t.train(df, lab)
     got = {r.doc_id: r.score for r in t.scores(df, model).collect()}
@@ -69,30 +70,60 @@ def test_copies_of_the_tables_beyond_the_bound_keep_the_predictions(spark):
     assert sum(one[i] != four[i] for i in one) <= 3  # the dictionaries are learnt from another sample
 
 
+def length(dictionary, size, shortest, data):
+    p = zstandard.ZstdCompressionParameters.from_level(6, source_size=128, dict_size=size, min_match=shortest, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+    dictionary.precompute_compress(compression_params=p)
+    return len(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=p).compress(data))
+
+
+def windows(text, n):
+    words = (text or "").lower().split()
+    return [(" " + " ".join(words[i : i + n]) + " ").encode() for i in range(0, len(words), n)]
+
+
 def test_scores_are_differences_of_compressed_windows(spark):
     """Every score again, from the model's dictionaries and weights, with zstandard alone."""
-    import zstandard
-
     docs, labels = corpus(600)
     docs += [(9000, None), (9001, ""), (9002, "nitwit, dunderling"), (9003, "Blockhead " * 500)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     model = t.train(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
-
-    def length(content, data):
-        made = zstandard.ZstdCompressionDict(content + b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        p = zstandard.ZstdCompressionParameters.from_level(6, source_size=128, dict_size=len(model.ordinary + model.toxic) + 8, min_match=6, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
-        made.precompute_compress(compression_params=p)
-        return len(zstandard.ZstdCompressor(dict_data=made, compression_params=p).compress(data))
-
+    raw = lambda content: zstandard.ZstdCompressionDict(content + b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    size, trained = len(model.ordinary + model.toxic) + 8, [zstandard.ZstdCompressionDict(d) for d in model.pair]
     for r in t.scores(df, model).collect():
-        words = (dict(docs)[r.doc_id] or "").lower().split()
-        gains = []
-        for i in range(0, len(words), t.WINDOW_WORDS):
-            window = (" " + " ".join(words[i : i + t.WINDOW_WORDS]) + " ").encode() + model.ordinary[-32:]
-            gains.append(length(model.ordinary, window) - length(model.ordinary + model.toxic, window))
-        n = [sum(g >= least for g in gains) for least in (t.GAIN, t.LARGE)]
-        x = model.weights[0] + model.weights[1] * max(0, max(gains, default=0) - t.GAIN) / 5 + model.weights[2] * np.log1p(n[0]) + model.weights[3] * np.log1p(n[1])
-        assert abs(r.score - 1 / (1 + np.exp(-x))) < 1e-9 and r.gaining == n[0]
+        gains, apart = [], []
+        for window in windows(dict(docs)[r.doc_id], 4):
+            window += model.ordinary[-32:]
+            gains.append(length(raw(model.ordinary), size, 6, window) - length(raw(model.ordinary + model.toxic), size, 6, window))
+        for window in windows(dict(docs)[r.doc_id], 2):
+            window += b" " * 32
+            apart.append(length(trained[0], max(map(len, model.pair)), 4, window) - length(trained[1], max(map(len, model.pair)), 4, window))
+        x = [1, max(0, max(gains, default=0) - t.GAIN) / 5, *[np.log1p(sum(g >= least for g in gains)) for least in (t.GAIN, t.LARGE)]]
+        x += [max(0, max(apart, default=0) - t.APART + 1) / 5, *[np.log1p(sum(g >= least for g in apart)) for least in (t.APART, t.FAR)]]
+        assert abs(r.score - 1 / (1 + np.exp(-np.dot(x, model.weights)))) < 1e-9 and r.gaining == sum(g >= t.GAIN for g in gains)
+
+
+def test_training_again(spark):
+    """Both dictionaries and the curve again, by loops over the training rows and zstandard's own trainer."""
+    docs, labels = corpus(600)
+    model = t.train(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    toxic, known = dict(labels), [(i, x) for i, x in docs if zlib.crc32(str(i).encode()) % 3 != 1]
+    learnt = {y: [x for i, x in known if toxic[i] == y and zlib.crc32(x.encode()) % 3] for y in (0, 1)}
+    made = []
+    for y, size, k in ((0, 112_640, 32), (1, 8_000, 10)):
+        texts = sorted(set(learnt[y]), key=lambda x: (zlib.crc32(x.encode()), x))
+        made.append(zstandard.train_dictionary(size, [w for x in texts for w in windows(x, 2)], k=k, d=6).as_bytes())
+    assert model.pair == tuple(made)
+    rest = [(x, y) for y in (0, 1) for i, x in known if toxic[i] == y and zlib.crc32(x.encode()) % 3 == 0]
+    x, y = t._features(t._found(model, [x for x, _ in rest])), np.array([y for _, y in rest], dtype=float)
+    want = 0.01 + 0.98 * y
+    loss = lambda w: -(want * np.log(1 / (1 + np.exp(-x @ w))) + (1 - want) * np.log(1 / (1 + np.exp(x @ w)))).sum() + 0.00002 * len(y) / 2 * (w[1:] ** 2).sum()
+    best = np.array(model.weights)
+    assert (best[1:] >= 0).all()
+    for i in range(len(best)):  # a least value among weights that aren't negative: no single weight can be changed for the better
+        for step in (0.01, -0.01):
+            other = best.copy()
+            other[i] = other[i] + step if i == 0 else max(0, other[i] + step)
+            assert loss(other) >= loss(best) - 1e-3
 
 
 def test_phrases_of_ordinary_words_can_be_toxic_text():
