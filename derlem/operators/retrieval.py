@@ -5,6 +5,10 @@ are skipped; computed on the fly, the filter on terms moves below the grouping."
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +30,29 @@ def postings(files: DataFrame) -> DataFrame:
     return rows.groupBy("term", "id", "col").agg(F.sort_array(F.collect_list("p")).alias("positions"))
 
 
+def posting_rows(files: DataFrame) -> DataFrame:
+    """The same rows, to be stored: a document's words are grouped where it is read, so no token is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for col in (0, 1):
+                lists = batch.column(col + 1)
+                sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                words = lists.flatten().dictionary_encode()
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                key = doc * max(1, len(words.dictionary)) + words.indices.to_numpy()
+                order = np.argsort(key, kind="stable")  # places stay in order
+                key = key[order]
+                first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
+                at, offsets = order[first], pa.array(np.append(first, len(key)).astype(np.int32))
+                columns = [words.dictionary.take(words.indices.take(pa.array(at))), batch.column(0).take(pa.array(doc[at])), pa.array(np.full(len(at), col, dtype=np.int32)), pa.ListArray.from_arrays(offsets, pa.array(place[order].astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", "id", "col", "positions"])
+
+    words = files.select(F.col("id").cast("long").alias("id"), tokens(F.col("filename")).alias("name"), tokens(F.col("body")).alias("body"))
+    return words.mapInArrow(run, "term string, id long, col int, positions array<int>")
+
+
 def doc_lengths(files: DataFrame) -> DataFrame:
     return files.select("id", (F.size(tokens(F.col("filename"))) + F.size(tokens(F.col("body")))).cast("long").alias("length"))
 
@@ -33,17 +60,27 @@ def doc_lengths(files: DataFrame) -> DataFrame:
 def write_index(files: DataFrame, path: str) -> None:
     """Postings in order of terms, and lengths, as tables below path."""
     # By term and id: the postings of a word that most documents have are spread over several tasks.
-    postings(files).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    posting_rows(files).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
     doc_lengths(files).write.mode("overwrite").parquet(f"{path}/lengths")
+    fingerprint(files).write.mode("overwrite").parquet(f"{path}/fingerprint")
+
+
+def fingerprint(files: DataFrame) -> DataFrame:
+    """One row that tells tables of files apart: by their id, path, time and size where there are a time and a size, else by their texts."""
+    told = ("id", "path", "filename", "mtime", "size") if {"mtime", "size"} <= set(files.columns) else ("id", "path", "filename", "body")
+    return files.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*[c for c in told if c in files.columns]).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("hashes"))
 
 
 def open_index(files: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) below path; written anew if they are missing, or empty while there are files."""
+    """(postings, lengths) below path; written anew if they are missing, empty while there are files, or of other files than these.
+
+    For a library that changes, plans.store keeps the index in step without writing it anew."""
     spark = files.sparkSession
     read = lambda: (spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
     try:
         index, lengths = read()
         whole = not lengths.isEmpty() and not index.isEmpty() or files.isEmpty()
+        whole = whole and spark.read.parquet(f"{path}/fingerprint").first() == fingerprint(files).first()
     except AnalysisException:  # no such folder
         whole = False
     if not whole:

@@ -71,10 +71,14 @@ class Library:
         return sources.read_documents(spark, root, parsers, tables.changed(now, self.files)), now
 
     def ingest(self, docs: DataFrame, chunks: DataFrame | None = None, metadata: DataFrame | None = None) -> Library:
-        """Files of the same path are replaced; metadata that is new wins over old, null keeps it; chunks are replaced where new ones are given."""
+        """Files of the same path are replaced; metadata that is new wins over old, null keeps it. Chunks go with the text they were made from: where
+        the body has changed, and where new ones are given."""
         new = metadata if metadata is not None else metadata_rows(docs)
         out = replace(self, files=tables.upsert(self.files, docs.select(*FILES), "path"), metadata=tables.coalesce_merge(self.metadata, new, "file_id", list(tables.METADATA)))
-        return out if chunks is None else replace(out, chunks=tables.upsert(self.chunks, chunks, "file_id"))
+        told = lambda rows, name: rows.select("path", F.col("id").alias(f"{name}_id"), F.xxhash64(F.coalesce("body", F.lit(""))).alias(name))
+        stale = told(self.files, "old").join(told(docs, "new"), "path").where("old <> new or old_id <> new_id").select(F.col("old_id").alias("file_id"))
+        kept = self.chunks.join(stale, "file_id", "left_anti").select(*self.chunks.columns)
+        return replace(out, chunks=kept if chunks is None else tables.upsert(kept, chunks, "file_id"))
 
     def _kept(self, files: DataFrame) -> Library:
         return replace(self, files=files, metadata=tables.cascade(self.metadata, files), chunks=tables.cascade(self.chunks, files))

@@ -97,7 +97,10 @@ def test_steps(library, spark):
     after = state.ingest(docs).prune(str(root), now).save(str(top / "three"))
     assert {r.filename: r.body for r in after.files.where("filename in ('b.txt', 'c.txt')").collect()} == {"b.txt": "başka bir metin oldu"}
     b = after.files.where("filename = 'b.txt'").select(F.col("id").alias("file_id"))
-    assert after.chunks.join(b, "file_id").count() == 1  # old vectors stay until new ones are given
+    assert after.chunks.join(b, "file_id").count() == 0  # a chunk goes with the text it was made from
+    assert after.chunks.count() == after.files.where("filename = 'a.txt'").count()
+    given = state.ingest(docs, state.chunks.limit(0).unionByName(after.chunks.limit(1)))
+    assert given.chunks.select("file_id", "chunk_index").distinct().count() == given.chunks.count()
 
 
 def test_folders_and_settings(library, spark):
