@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from .functions import text as t
 from .functions import vector as v
 from .operators import legal, retrieval, tables
-from .plans.library import Library
+from .plans.library import TABLES, Library
 from .plans.search import SearchEngine
+from .plans.store import Store
 from .plans.workspace import workspace
 from .sources import files as sources
 
@@ -539,3 +540,63 @@ def index_repair(spark, sf):
     retrieval.write_index(files.where("false"), path)
     index, _ = retrieval.open_index(files, path)
     return index.agg(F.count("*").alias("postings"), F.sum(F.size("positions")).alias("positions"), F.countDistinct("term").alias("terms"))
+
+
+#: What the stored library goes through: every fifth text changes, a folder is deleted, and of another one every seventh file has gone from the disk.
+_KEPT = "source <> 'src1' AND NOT (source = 'src2' AND doc_id % 7 = 0)"
+_NOW = f"(SELECT doc_id, lang, source, CASE WHEN doc_id % 5 = 0 THEN text || ' ersh oned' ELSE text END AS text FROM documents WHERE {_KEPT})"
+
+
+def _store(spark: SparkSession, sf: str) -> Store:
+    """The stored library after its fifth commit; the first query of a session makes the commits that aren't there yet."""
+    files, none = _library(spark, sf).files, spark.createDataFrame([], TABLES["metadata"])
+    chunks = files.where("body <> ''").select(F.col("id").alias("file_id"), F.posexplode(t.chunk_text(F.col("body"))).alias("chunk_index", "text"), F.array().cast("array<float>").alias("embedding"))
+    src = lambda n: tables.under(F.col("path"), f"/corpus/src{n}")
+    steps = (
+        lambda s: s.ingest(files, chunks, none),
+        lambda s: s.ingest(files.where("id % 5 = 0").withColumn("body", F.concat("body", F.lit(" ersh oned"))).withColumn("mtime", F.lit(2)), None, none),
+        lambda s: s.delete(files.where(src(1)).select("path")),
+        lambda s: s.prune("/corpus/src2", files.where(src(2) & (F.col("id") % 7 != 0))),
+        lambda s: s.merge(most=2),
+    )
+    store = Store(spark, f"{workspace(spark)}/store-{zlib.crc32(sf.encode()):08x}")
+    for step in steps[store.version :]:
+        store = step(store)
+    return store
+
+
+@query(_bm25(["ernt", "oned"], "h0 OR h1").replace("FROM documents", f"FROM {_NOW}"))
+def store_search_after_changes(spark, sf):
+    """The index has followed changed, deleted and pruned files, through a merge of its segments."""
+    store = _store(spark, sf)
+    found = retrieval.keyword(store.table("postings"), store.table("lengths"), "ernt OR oned")
+    return retrieval.top(found, 20).select("id", F.round("score", 9).alias("score"))
+
+
+_WORDS = r"len(regexp_extract_all(" + _FOLD % "coalesce(text, '')" + r", '[\p{L}\p{N}]+')) + 2"
+
+
+@query(f"""SELECT 1 AS version, count(*) AS files, sum({_WORDS})::BIGINT AS tokens, sum(coalesce(length(text), 0))::BIGINT AS chars FROM documents
+UNION ALL SELECT 2, count(*), sum({_WORDS})::BIGINT, sum(coalesce(length(text), 0))::BIGINT FROM {_NOW.replace(_KEPT, "true")}
+UNION ALL SELECT 5, count(*), sum({_WORDS})::BIGINT, sum(coalesce(length(text), 0))::BIGINT FROM {_NOW}""")
+def store_older_states(spark, sf):
+    """Earlier states are whole: files and index of the same commit."""
+    store, out = _store(spark, sf), None
+    for version in (1, 2, 5):
+        at = store.at(version)
+        files = at.table("files").agg(F.count("*").alias("files"), F.sum(F.coalesce(F.length("body"), F.lit(0))).alias("chars"))
+        one = files.crossJoin(at.table("lengths").agg(F.sum("length").alias("tokens"))).select(F.lit(version).alias("version"), "files", "tokens", "chars")  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(_CHUNKS + f"SELECT doc_id AS id, count(*) AS chunks FROM chunks JOIN documents USING (doc_id) WHERE text <> '' AND doc_id % 5 <> 0 AND {_KEPT} GROUP BY doc_id")
+def store_chunks_follow_texts(spark, sf):
+    """Chunks of changed, deleted and pruned files have gone."""
+    return _store(spark, sf).table("chunks").groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("chunks"))
+
+
+@query(f"SELECT postings, positions, terms FROM (WITH {_TOK} w AS (SELECT id, 1 AS col, unnest(b) AS term FROM d UNION ALL SELECT id, 0, unnest(n) FROM d) SELECT count(DISTINCT (id, col, term)) AS postings, count(*) AS positions, count(DISTINCT term) AS terms FROM w)".replace("FROM documents", f"FROM {_NOW}"))
+def store_index_totals(spark, sf):
+    """Every posting of the merged index, no more and no less."""
+    return _store(spark, sf).table("postings").agg(F.count("*").alias("postings"), F.sum(F.size("positions")).alias("positions"), F.countDistinct("term").alias("terms"))
