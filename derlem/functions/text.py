@@ -53,27 +53,56 @@ def chunk_text(x: Column, size: int = 800, overlap: int = 150) -> Column:
 
     The last chunk repeats the text's last overlap characters, as the windows go on until a chunk is no longer than the overlap."""
     none = F.array().cast("array<string>")
-    parts = bind(F.struct(collapse_spaces(x).alias("text"), F.length(collapse_spaces(x)).alias("n")), lambda b: _chunks_of(b["text"], b["n"], size, overlap))
+    # A place in a long text is found by counting characters from its start, so places are looked up in blocks of it.
+    block = max(BLOCK, size)
+    cut = lambda text: F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    parts = bind(collapse_spaces(x), lambda text: bind(
+        F.struct(cut(text).alias("blocks"), F.length(text).alias("n"), text.alias("text")), lambda b: _chunks_of(b["blocks"], block, b["text"], b["n"], size, overlap)))
     return F.when(F.coalesce(x, F.lit("")) == "", none).otherwise(parts)
 
 
-def _chunks_of(clean: Column, n: Column, size: int, overlap: int) -> Column:
-    """Only places travel through the fold, as start and length of each chunk; texts are cut after it."""
+#: Characters of a block; steps of a fold whose results are kept together.
+BLOCK, STEPS = 4096, 64
+
+
+def _chunks_of(blocks: Column, block: int, clean: Column, n: Column, size: int, overlap: int) -> Column:
+    """Only places travel through the folds, as start and length of each chunk; texts are cut after them.
+
+    An inner fold makes some chunks, an outer one strings their lists together, so that no list is copied for each chunk."""
     none = F.array().cast("array<struct<start:int,length:int>>")
-    steps = F.ceil(n / F.lit(max(1, size - 100 - overlap))).cast("int") + 2
+    steps = F.ceil((n / F.lit(max(1, size - 100 - overlap)) + 2) / STEPS).cast("int")
+
+    def piece(start: Column, length: Column) -> Column:
+        at = F.floor(start / block).cast("int")
+        return F.substring(F.concat(F.coalesce(F.get(blocks, at), F.lit("")), F.coalesce(F.get(blocks, at + 1), F.lit(""))), start - at * block + 1, length)
 
     def step(s: Column, _: Column) -> Column:
         # The last hundred characters of the window, backwards: its last space is the first one there.
-        tail = F.instr(F.reverse(F.substring(clean, s["start"] + size - 100 + 1, F.lit(100))), " ")
+        tail = F.instr(F.reverse(piece(s["start"] + size - 100, F.lit(100))), " ")
         cut = F.when((s["start"] + size < n) & (tail > 0) & (tail < 100), size - tail).otherwise(F.least(F.lit(size), n - s["start"]))
         return F.when(s["done"], s).otherwise(bind(cut, lambda length: F.struct(
             F.concat(s["chunks"], F.array(F.struct(s["start"].alias("start"), length.alias("length")))).alias("chunks"),
             (s["start"] + length - overlap).alias("start"),
             ((length <= overlap) | (s["start"] + length - overlap >= n)).alias("done"))))
 
-    start = F.struct(none.alias("chunks"), F.lit(0).alias("start"), F.lit(False).alias("done"))
-    many = F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["chunks"])
-    return F.when(n <= size, F.array(clean)).otherwise(F.transform(many, lambda c: F.substring(clean, c["start"] + 1, c["length"])))
+    def some(s: Column, _: Column) -> Column:
+        begin = F.struct(none.alias("chunks"), s["start"].alias("start"), s["done"].alias("done"))
+        made = lambda m: F.struct(F.concat(s["lists"], F.array(m["chunks"])).alias("lists"), m["start"].alias("start"), m["done"].alias("done"))
+        return F.when(s["done"], s).otherwise(bind(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), begin, step), made))
+
+    start = F.struct(F.array().cast("array<array<struct<start:int,length:int>>>").alias("lists"), F.lit(0).alias("start"), F.lit(False).alias("done"))
+    many = F.flatten(F.aggregate(F.sequence(F.lit(1), steps), start, some, lambda s: s["lists"]))
+    return F.when(n <= size, F.array(clean)).otherwise(F.transform(many, lambda c: piece(c["start"], c["length"])))
+
+
+def sums_before(x: Column) -> Column:
+    """For each element of an array of longs the sum of those before it: within blocks, after the sums of the blocks before."""
+    none = F.array().cast("array<bigint>")
+    total = lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda s, v: s + v)
+    fold = lambda b, first: F.aggregate(
+        b, F.struct(first.alias("at"), none.alias("out")), lambda s, v: F.struct((s["at"] + v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / STEPS).cast("int")), lambda i: F.slice(x, i * STEPS + 1, STEPS))
+    return bind(blocks, lambda bs: F.flatten(F.zip_with(bs, fold(F.transform(bs, total), F.lit(0).cast("long")), fold)))
 
 
 def find_all(x: Column, pattern: str) -> Column:
@@ -81,11 +110,10 @@ def find_all(x: Column, pattern: str) -> Column:
     none = F.array().cast("array<struct<at:int,value:string>>")
 
     def placed(found: Column) -> Column:
-        gaps = F.transform(F.slice(F.split(x, pattern), 1, F.size(found)), lambda g: F.length(g))
-        return F.aggregate(
-            F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g"))), F.struct(F.lit(0).alias("at"), none.alias("out")),
-            lambda s, p: F.struct((s["at"] + p["g"] + F.length(p["m"])).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + p["g"]).alias("at"), p["m"].alias("value")))).alias("out")),
-            lambda s: s["out"])
+        gaps = F.transform(F.slice(F.split(x, pattern), 1, F.size(found)), lambda g: F.length(g).cast("long"))
+        before = lambda b: sums_before(F.zip_with(b["gaps"], b["found"], lambda g, m: g + F.length(m)))
+        at = lambda b: F.zip_with(before(b), b["gaps"], lambda s, g: (s + g).cast("int"))
+        return bind(F.struct(gaps.alias("gaps"), found.alias("found")), lambda b: F.zip_with(at(b), b["found"], lambda p, m: F.struct(p.alias("at"), m.alias("value"))))
 
     return bind(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(none))
 
