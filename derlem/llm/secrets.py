@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import bind, sums_before
 from .common import durable, lookup_join, table
 
 KINDS = ("assign", "access", "hex", "token")
@@ -42,14 +43,16 @@ def _search(text: Column, pattern: str, kind: int) -> Column:
     """array<struct<start, kind, end, value>> of a pattern's matches, by splitting the text at them."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>")
-    gaps = F.transform(F.split(text, pattern), lambda g: F.length(g))
-    folded = F.aggregate(
-        F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g"))),
-        F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + x["g"] + F.length(x["m"])).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + x["g"]).alias("start"), F.lit(kind).alias("kind"), (s["at"] + x["g"] + F.length(x["m"])).alias("end"), x["m"].alias("value")))).alias("out")),
-        lambda s: s["out"])
+    gaps = F.transform(F.slice(F.split(text, pattern), 1, F.size(found)), lambda g: F.length(g).cast("long"))
+
+    def placed(b: Column) -> Column:
+        # A match starts after all gaps and matches before it, and its own gap.
+        before = sums_before(F.zip_with(b["gaps"], b["found"], lambda g, m: g + F.length(m)))
+        start = lambda b, s: F.zip_with(s, b["gaps"], lambda x, g: x + g)
+        row = lambda a, m: F.struct(a.alias("start"), F.lit(kind).alias("kind"), (a + F.length(m)).alias("end"), m.alias("value"))
+        return F.zip_with(start(b, before), b["found"], row)
+
+    folded = bind(F.struct(gaps.alias("gaps"), found.alias("found")), placed)
     return F.when(text.rlike(pattern), folded).otherwise(none)
 
 
