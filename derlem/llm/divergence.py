@@ -10,8 +10,8 @@ a pair starts at V times the f of two zero counts, and the postings of a term (t
 - both sides: f(p, q) - f(p, zero) - f(zero, q) + f(zeros), for the pairs of postings of a term; those that are nonzero are summed by pair
   in the task that makes them.
 
-So no table of all groups and terms is ever made. Words are counted where the texts are read, by group, and summed before they are shuffled:
-a source that a third of all rows have sends as many rows as any other. A pair of groups is a row of the result, and no more is emitted for
+So no table of all groups and terms is ever made. Terms are counted where the texts are read, some texts at a time, and a task sums them
+by group before they are shuffled: a source that a third of all rows have sends as many rows as any other. A pair of groups is a row of the result, and no more is emitted for
 a term than pairs of its groups. Terms over their language's share are ranked by a window whose first ranks are taken in each task before
 the shuffle. Shares are computed in decimals and longs, without rounding.
 
@@ -22,65 +22,79 @@ empty tables give an empty result; other columns are left out.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, durable, lookup_join, table
 
 LEAST_DOCUMENTS, TERM_RANKS, UNIT, PRIOR = 10, 10, 1_000_000_000, 2
-#: Terms of ASCII letters and all characters beyond ASCII, whose UTF-8 bytes are all 0x80 or more.
-TERM = re.compile(rb"[a-z\x80-\xff]+")
-_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-#: Different terms that a task counts before it sends what it has.
-HELD = 400_000
-
-
-def terms(text: str) -> list[bytes]:
-    return TERM.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER))
-
-
-def term_counts(docs: DataFrame) -> DataFrame:
-    """docs(text, lang, source) -> lang, source, term, n, docs: summed for each task; a null term stands for the group itself."""
+#: Bytes of text that are counted at a time; a longer text is counted alone.
+HELD = 32 << 20
+#: By byte: what A-Z are lower-cased to, and whether it belongs to a term, as ASCII letters do and all bytes beyond ASCII.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[np.frombuffer(UPPER.encode(), dtype=np.uint8)] = np.frombuffer(LOWER.encode(), dtype=np.uint8)
+_TERM = np.arange(256) >= 128
+_TERM[np.frombuffer((UPPER + LOWER).encode(), dtype=np.uint8)] = True
+
+
+def terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the terms of all texts, in order; the number of the text that each is in)."""
+    texts = texts.cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    inside = _TERM[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    begins[ends[:-1][ends[:-1] < len(data)]] = inside[ends[:-1][ends[:-1] < len(data)]]  # terms end with their text
+    starts = np.flatnonzero(begins)
+    # Without what is between them, the terms' bytes are the data of an array, and where they begin are its offsets.
+    letters = np.cumsum(inside, dtype=np.int64)
+    offsets = np.append(letters[starts] - 1, letters[-1] if len(letters) else 0)
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[data[inside]])])
+    return found, np.searchsorted(ends, starts, side="right") - 1
+
+
+def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """texts, languages and sources -> a row for each term of each group, and one without a term for each group."""
+    langs, sources = (batch.column(i).dictionary_encode() for i in (1, 2))
+    group, row_group = np.unique(langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy(), return_inverse=True)
+    found, text = terms(batch.column(0))
+    found = found.dictionary_encode()
+    many = max(1, len(found.dictionary))
+    # First the terms of each text, then of each group.
+    each, times = np.unique(text * many + found.indices.to_numpy(), return_counts=True)
+    key = row_group[each // many] * many + each % many
+    order = np.argsort(key, kind="stable")
+    key, times = key[order], times[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
+    n = np.add.reduceat(times, first) if len(first) else first
+    g, term = key[first] // many, key[first] % many
+    own = np.arange(len(group))
+    of = np.concatenate((g, own))
+    words = pa.concat_arrays([found.dictionary.take(pa.array(term)).cast(pa.binary()).cast(pa.string()), pa.nulls(len(own), pa.string())])
+    none = np.zeros(len(own), dtype=np.int64)
+    columns = [langs.dictionary.take(pa.array(group[of] // len(sources.dictionary))), sources.dictionary.take(pa.array(group[of] % len(sources.dictionary))), words,
+               pa.array(np.concatenate((n, none))), pa.array(np.concatenate((np.diff(np.append(first, len(key))), none)))]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
+
+
+def term_counts(docs: DataFrame, held: int = HELD) -> DataFrame:
+    """docs(text, lang, source) -> lang, source, term, n, docs: of some texts at a time; a null term stands for the group itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], Counter] = {}
-        having: dict[tuple[str, str], Counter] = {}
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            for group, n in counts.items():
-                words, m = list(n), having[group]
-                for i in range(0, len(words), 20_000):
-                    part = words[i : i + 20_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([group[0]] * len(part)), pa.array([group[1]] * len(part)), pa.array([w.decode() for w in part]), pa.array([n[w] for w in part], pa.int64()), pa.array([m[w] for w in part], pa.int64())],
-                        names=["lang", "source", "term", "n", "docs"])
-            groups = list(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([g[0] for g in groups], pa.string()), pa.array([g[1] for g in groups], pa.string()), pa.nulls(len(groups), pa.string()), pa.array([0] * len(groups), pa.int64()), pa.array([0] * len(groups), pa.int64())],
-                names=["lang", "source", "term", "n", "docs"])
-            counts.clear()
-            having.clear()
-
-        held = 0
         for batch in batches:
-            for text, lang, source in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                group = (lang, source)
-                if group not in counts:
-                    counts[group], having[group] = Counter(), Counter()
-                words = terms(text.as_py())
-                n, before = counts[group], len(counts[group])
-                n.update(words)
-                having[group].update(set(words))
-                held += len(n) - before
-                if held > HELD:
-                    yield from sent()
-                    held = 0
-        yield from sent()
+            size = np.cumsum(pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < len(size):
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + held, side="right")))
+                yield _counted(batch.slice(at, end - at))
+                at = end
 
     filled = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")]
     return docs.select(*filled).mapInArrow(run, "lang string, source string, term string, n long, docs long")
@@ -99,9 +113,9 @@ def difference(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, term_ranks: int = TERM_RANKS) -> DataFrame:
+def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, term_ranks: int = TERM_RANKS, held: int = HELD) -> DataFrame:
     """docs(text, lang, source) -> lang, source, part, item, value, rank."""
-    counted = durable(term_counts(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
+    counted = durable(term_counts(docs, held).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
     words = counted.where("term is not null")
     kept = durable(words.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= least_documents).select("lang", "term", "lang_n"), "kept")
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("all_n"))

@@ -33,9 +33,9 @@ def force(docs, least, ranks):
     return sorted(out)
 
 
-def run(spark, docs, least, ranks=10):
+def run(spark, docs, least, ranks=10, **more):
     df = spark.createDataFrame([(i, t, g, s, "clash", 0) for i, (t, g, s) in enumerate(docs)], "doc_id long, text string, lang string, source string, term string, n int").repartition(3)
-    found = divergence.audit(df, least, ranks)
+    found = divergence.audit(df, least, ranks, **more)
     assert found.columns == ["lang", "source", "part", "item", "value", "rank"]
     return sorted(map(tuple, found.collect()))
 
@@ -64,11 +64,10 @@ def test_odd_rows(spark):
     assert run(spark, [], 1) == []
 
 
-def test_hot_source_is_summed_in_tasks(spark, monkeypatch):
-    """Two thirds of all rows are of one source; tasks send what they have when they hold many terms."""
-    monkeypatch.setattr(divergence, "HELD", 50)
+def test_hot_source_is_summed_in_tasks(spark):
+    """Two thirds of all rows are of one source; a few texts are counted at a time."""
     docs = [(f"common w{i % 97} v{i % 13}", "en", "hot") for i in range(400)] + corpus(2, 200)
-    assert run(spark, docs, 2) == force(docs, 2, 10)
+    assert run(spark, docs, 2, held=100) == force(docs, 2, 10)
 
 
 def test_shares_beyond_a_long(spark):
