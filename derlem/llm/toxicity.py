@@ -1,13 +1,13 @@
 """Toxicity by compression distance.
 
 Two dictionaries are trained with zstandard, each on its own class: one on the windows of ordinary texts, one on the windows of toxic
-texts, a window being two words. A document's windows are compressed with each of them alone, and the difference of both lengths says which
+texts, a window being three words. A document's windows are compressed with each of them alone, and the difference of both lengths says which
 class explains a window better: the largest difference of a document, and the numbers of windows whose difference reaches two thresholds,
 are what a logistic curve scores. Short windows and short segments (``k`` of the trainer) matter: most of a toxic document is ordinary text,
 and long segments carry it into the toxic dictionary (figures in README).
 
 An addition that isn't a trained dictionary: stretches, runs of bytes across words that significantly more toxic documents than ordinary ones
-have. Windows of four words are compressed with an ordinary dictionary, and with it and the stretches; what the stretches save gives the curve
+have. Windows of four words that share a run with a stretch are compressed with an ordinary dictionary, and with it and the stretches; what the stretches save gives the curve
 three more numbers of the same kind.
 
 The curve is fitted on documents that neither dictionaries nor stretches have seen.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import durable, lookup_join, table
 
 #: Words of a window for the pair of trained dictionaries; bytes that the toxic one must save more than the ordinary one to count, and to be far.
-PAIR_WORDS = 2
+PAIR_WORDS = 3
 APART, FAR = 4, 5
 #: (bytes, segments of so many bytes) of the ordinary and the toxic trained dictionary; the trainer counts runs of TRAINED_RUN bytes.
 TRAINED = ((112_640, 32), (8_000, 10))
@@ -204,11 +204,26 @@ def gains(ordinary: bytes, toxic: bytes):
     size = len(both)  # the same tables for both, whatever they hold
     short_o, short_t = _compressor(_raw(one), 6, size, RUN), _compressor(_raw(both), 6, size, RUN)
 
+    # Only a window that shares a run with the toxic part can gain by it; the others aren't compressed. A table by hash says which may share one.
+    known = np.unique(_runs(ordinary[1 - RUN :] + toxic + b" " * 8))
+    spread = lambda runs: (runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
+    marked = np.zeros(1 << 18, dtype=bool)
+    marked[spread(known)] = True
+
     def of(text: str | None) -> tuple[int, int, int]:
         words = _words(text)
+        runs = _runs(_spaced(words))
+        at = np.flatnonzero(marked[spread(runs)])
+        at = at[np.isin(runs[at], known)]
+        if not len(at):
+            return 0, 0, 0
+        # Where in the text each window starts: at the blank before its first word.
+        starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)))[:-1:WINDOW_WORDS]
         most = n = large = 0
-        for i in range(0, len(words), WINDOW_WORDS):
-            window = _spaced(words[i : i + WINDOW_WORDS]) + pad
+        own = np.searchsorted(starts, at, side="right") - 1
+        inside = at + RUN <= np.append(starts[1:] + 1, len(runs) + RUN - 1)[own]
+        for i in np.unique(own[inside]).tolist():
+            window = _spaced(words[i * WINDOW_WORDS : (i + 1) * WINDOW_WORDS]) + pad
             gain = len(short_o(window)) - len(short_t(window))
             if gain >= GAIN:
                 most, n, large = max(most, gain), n + 1, large + (gain >= LARGE)
