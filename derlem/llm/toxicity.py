@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
@@ -238,9 +238,11 @@ def _features(rows: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(rows)), np.maximum(0, most - GAIN) / 5, np.log1p(n), np.log1p(large), np.maximum(0, apart - APART + 1) / 5, np.log1p(m), np.log1p(far)], axis=1)
 
 
-def _found(model: Model, texts: list[str | None]) -> np.ndarray:
+def _found(model: Model, texts: Iterable) -> np.ndarray:
+    """texts: strings, or the values of an Arrow column, of which one at a time becomes a string."""
     gain, apart = gains(model.ordinary, model.toxic), differences(*model.pair)
-    return np.array([(*gain(t), *apart(t)) for t in texts], dtype=float).reshape(-1, 6)
+    plain = (t.as_py() if isinstance(t, pa.Scalar) else t for t in texts)
+    return np.array([(*gain(t), *apart(t)) for t in plain], dtype=float).reshape(-1, 6)
 
 
 def _scores(model: Model, found: np.ndarray) -> np.ndarray:
@@ -325,7 +327,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _found(model, batch.column(1).to_pylist())
+            found = _found(model, batch.column(1))
             more = [pa.array(found[:, i].astype(np.int32)) for i in (0, 1, 3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, found)), *more], names=["doc_id", "score", "gain", "gaining", "apart"])
 
@@ -339,7 +341,9 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_scores(model, _found(model, batch.column(at).to_pylist())) < threshold))
+            for i in range(0, batch.num_rows, 500):  # what is copied at a time stays small beside the batch
+                part = batch.slice(i, 500)
+                yield part.filter(pa.array(_scores(model, _found(model, part.column(at))) < threshold))
 
     return docs.mapInArrow(run, schema)
 
