@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,16 +136,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -
     return lookup_join(prints, durable(lookup, "component"), "fp").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _with_fingerprints(docs: DataFrame, name: str) -> DataFrame:
-    """docs with one more column, the fingerprints of their texts."""
-    at = docs.columns.index("text")
+def _prints(texts: pa.Array) -> pa.Array:
+    return pa.array(np.array([fingerprint(t.as_py()) for t in texts], dtype=np.uint64).view(np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = np.array([fingerprint(t.as_py()) for t in batch.column(at)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{name}` long")
+def _with_row_keys(docs: DataFrame, file: str, row: str) -> DataFrame:
+    """docs with two more columns that name each row, the same at every reading: where it is stored, or a number in a copy that is written here."""
+    try:
+        return docs.withColumns({file: F.col("_metadata.file_path"), row: F.col("_metadata.row_index")})
+    except AnalysisException:  # not read from files
+        return durable(docs.withColumns({file: F.lit(""), row: F.monotonically_increasing_id()}), "rows")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
@@ -153,17 +154,19 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, crowd: int = CRO
     Rows are judged, not ids: a row goes if its own text is in a group of which another row stays, which is the one with the least doc_id, null
     ids last, and of equal ids the first as written. So rows that share an id but not a text are apart, repeated rows leave one, and rows
     without an id are rows like any other."""
-    fp, row = ([c for c in (f"_{name}{i or ''}" for i in range(len(docs.columns) + 1)) if c not in docs.columns][0] for name in ("fp", "row"))
-    rows = durable(_with_fingerprints(docs, fp).withColumn(row, F.monotonically_increasing_id()), "rows")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(row).alias("row"))
-    groups = durable(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(first).alias("first"), F.count("*").alias("n")), "groups")
+    names = [[c for c in (f"_{name}{i or ''}" for i in range(len(docs.columns) + 1)) if c not in docs.columns][0] for name in ("file", "row")]
+    rows = _with_row_keys(docs, *names)
+    key = [F.col(names[0]).alias("file"), F.col(names[1]).alias("row")]
+    prints = durable(rows.select("doc_id", *key, F.arrow_udf(_prints, "long")(F.col("text").cast("string")).alias("fp")), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
+    groups = durable(prints.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")), "groups")
     of = components(links(groups.select("fp"), radius, crowd)).withColumnRenamed("node", "fp")
     linked = durable(groups.join(of, "fp"), "linked")
-    firsts = linked.join(linked.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", F.col("least.row").alias("stays"))
-    alone = groups.where("n > 1").join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("first.row").alias("stays"))
-    stays = durable(firsts.unionByName(alone), "stays")
-    gone = lookup_join(rows.select(F.col(fp).alias("fp"), F.col(row).alias("row")), stays, "fp", "inner").where(F.col("row") != F.col("stays")).select(F.col("row").alias(row))
-    return lookup_join(rows, durable(gone, "copies"), row, "left_anti").select(*docs.columns)
+    firsts = linked.join(linked.groupBy("root").agg(F.min("first").alias("stays")), "root").select("fp", "stays")
+    alone = groups.where("n > 1").join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("stays"))
+    found = lookup_join(prints, durable(firsts.unionByName(alone), "stays"), "fp", "inner")
+    gone = found.where((F.col("file") != F.col("stays.file")) | (F.col("row") != F.col("stays.row"))).select(*[F.col(c).alias(n) for c, n in zip(("file", "row"), names, strict=True)])
+    return lookup_join(rows, durable(gone, "copies"), names, "left_anti").select(*docs.columns)
 
 
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,16 +94,18 @@ def test_odd_rows(spark):
     assert sorted(r.doc_id or -1 for r in simhash.drop_near_duplicates(docs).collect()) == [1, 4, 5, 9]  # the row without an id is a copy of 5
 
 
-def test_stage_judges_rows_not_ids(spark):
+def test_stage_judges_rows_not_ids(spark, tmp_path):
     """A text of its own stays whatever id it has, and of copies one row stays whatever ids they have."""
     one, other, third = ("the quick brown fox jumps over the lazy dog near a river bank", "something else entirely with words of its own and no copy anywhere", "a third text that only rows without any id have in this small table")
     rows = [(1, one, "a"), (1, one, "a"), (5, one, "b"), (5, other, "c"), (None, one, "d"), (None, one, "d"), (None, third, "e"), (None, third, "f"), (7, "", "g"), (3, None, "h")]
     docs = spark.createDataFrame([(i, t, s, 0, 0) for i, t, s in rows], "doc_id long, text string, source string, _row int, fp int").repartition(4)
-    out = simhash.drop_near_duplicates(docs)
-    assert out.schema == docs.schema
-    got = sorted((r.doc_id or -1, r.text) for r in out.collect() if r.text)
-    assert got == sorted([(1, one), (5, other), (-1, third)])
-    assert [r.doc_id for r in out.collect() if not r.text] == [3]
+    docs.write.parquet(str(tmp_path / "docs"))
+    for docs in (docs, spark.read.parquet(str(tmp_path / "docs"))):  # rows are told apart by a number, and by where they are stored
+        out = simhash.drop_near_duplicates(docs)
+        assert out.schema == docs.schema
+        got = sorted((r.doc_id or -1, r.text) for r in out.collect() if r.text)
+        assert got == sorted([(1, one), (5, other), (-1, third)])
+        assert [r.doc_id for r in out.collect() if not r.text] == [3]
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
     same = simhash.drop_near_duplicates(docs.where("source in ('a', 'd')")).collect()
     assert [(r.doc_id, r.source) for r in same] == [(1, "a")]
