@@ -141,20 +141,29 @@ def with_normalised(files: DataFrame) -> DataFrame:
     return files.withColumns({f"{c}_tr": tr_lower(F.coalesce(c, F.lit(""))) for c in ("filename", "body")})
 
 
-def infix(files: DataFrame, query: str) -> DataFrame:
-    """id, score: documents whose name or body has the query as a substring; BM25 over character trigrams."""
-    needle = tr_lower(F.lit(infix_query(query)))
-    rows = files if {"filename_tr", "body_tr"} <= set(files.columns) else with_normalised(files)
-    rows = rows.select("id", F.col("filename_tr").alias("filename"), F.col("body_tr").alias("body"))
-    grams = lambda c: F.greatest(F.lit(0), F.length(c) - 2)
+def infix_hits(rows: DataFrame, needle: Column) -> DataFrame:
+    """id, length, f of the rows(id, filename_tr, body_tr, length) that have the needle; f: how often."""
     # Places are counted by looking ahead, so that matches may overlap; a lower-case needle can't end the quotation.
     ahead = F.concat(F.lit(r"(?=\Q"), needle, F.lit(r"\E)"))
     times = lambda c: F.when(F.contains(F.col(c), needle), F.regexp_count(c, ahead)).otherwise(0)
-    rows = rows.select("id", (grams("filename") + grams("body")).alias("length"), (times("filename") + times("body")).alias("f"))
-    corpus = rows.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), F.count_if(F.col("f") > 0).alias("n"))
+    return rows.select("id", "length", (times("filename_tr") + times("body_tr")).alias("f")).where("f > 0")
+
+
+def infix_scores(hits: DataFrame, corpus: DataFrame) -> DataFrame:
+    """id, score: BM25 over character trigrams. corpus: one row of docs, mean length and n, the number of hits."""
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
     score = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return rows.where("f > 0").crossJoin(F.broadcast(corpus)).select("id", score.alias("score"))
+    return hits.crossJoin(F.broadcast(corpus)).select("id", score.alias("score"))
+
+
+def infix(files: DataFrame, query: str) -> DataFrame:
+    """id, score: documents whose name or body has the query as a substring. A scan; operators.trigram has an index for it."""
+    rows = files if {"filename_tr", "body_tr"} <= set(files.columns) else with_normalised(files)
+    grams = lambda c: F.greatest(F.lit(0), F.length(c) - 2)
+    rows = rows.select("id", "filename_tr", "body_tr", (grams("filename_tr") + grams("body_tr")).alias("length"))
+    hits = infix_hits(rows, tr_lower(F.lit(infix_query(query))))
+    corpus = rows.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    return infix_scores(hits, corpus.crossJoin(hits.agg(F.count("*").alias("n"))))  # one row each
 
 
 def semantic(chunks: DataFrame, vector: Column) -> DataFrame:

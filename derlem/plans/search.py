@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import query as q
 from ..functions.text import with_snippet
 from ..operators import retrieval as r
-from ..operators import tables
+from ..operators import tables, trigram
 
 MODES = ("keyword", "infix", "semantic", "hybrid")
 ALIASES = {"trigram": "infix"}
@@ -39,7 +39,8 @@ class SearchEngine:
     """files(id, path, filename, body), metadata(file_id, document_type, case_kind, ...), chunks(file_id, chunk_index, text, embedding).
 
     embedder: query -> vector; without it, or without chunks, semantic searches fall back to keywords. index and lengths: written by
-    retrieval.write_index; without them postings are computed in the plan."""
+    retrieval.write_index; without them postings are computed in the plan. grams and texts: written by trigram.write_index; without them
+    substring searches are scans."""
 
     files: DataFrame
     metadata: DataFrame
@@ -47,11 +48,13 @@ class SearchEngine:
     embedder: Callable[[str], Sequence[float]] | None = None
     index: DataFrame | None = None
     lengths: DataFrame | None = None
+    grams: DataFrame | None = None
+    texts: DataFrame | None = None
 
     @classmethod
     def stored(cls, files: DataFrame, metadata: DataFrame, path: str, chunks: DataFrame | None = None, embedder: Callable[[str], Sequence[float]] | None = None) -> SearchEngine:
-        """Over the index below path, which is written if it is missing or empty."""
-        return cls(files, metadata, chunks, embedder, *r.open_index(files, path))
+        """Over the indexes below path, which are written if they are missing or of other files."""
+        return cls(files, metadata, chunks, embedder, *r.open_index(files, path), *trigram.open_index(files, f"{path}/trigrams"))
 
     def search(self, query: str | None, mode: str = "keyword", limit: int | None = LIMIT, document_type: str | None = None, case_kind: str | None = None) -> SearchResponse:
         query, limit, mode = (query or "").strip(), limit if limit and limit > 0 else LIMIT, ALIASES.get(mode, mode)
@@ -82,7 +85,8 @@ class SearchEngine:
             none = self._with_metadata(r.infix(self.files, "").where("false"), limit)
             none = self._with_files(none, limit).withColumn("snippet", F.lit(""))
             return SearchResponse(query, "infix", none.select("id", "path", "filename", "snippet", "score", "metadata"), True, f"a substring needs {LEAST_INFIX} characters or more")
-        rows = self._with_files(self._with_metadata(r.top(r.infix(self.files, query), limit), limit), limit)
+        found = r.infix(self.files, query) if self.grams is None else trigram.infix(self.grams, self.texts, query)
+        rows = self._with_files(self._with_metadata(r.top(found, limit), limit), limit)
         rows = with_snippet(rows, "body", needle, budget=SNIPPET).withColumn("snippet", F.coalesce(F.nullif("snippet", F.lit("")), "filename"))
         return SearchResponse(query, "infix", rows.orderBy(F.desc("score"), "id").select("id", "path", "filename", "snippet", "score", "metadata"))
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import retrieval, tables
+from ..operators import retrieval, tables, trigram
 from . import library as lib
 from .commits import CommitLog, Conflict
 from .search import SearchEngine
@@ -30,6 +30,15 @@ STORED = {
     **{name: (schema, {"files": "path", "folders": "path", "settings": "key"}.get(name, "file_id")) for name, schema in lib.TABLES.items()},
     "postings": ("term string, id long, col int, positions array<int>", "id"),
     "lengths": ("id long, length long, digest long", "id"),
+    "grams": ("gram string, id long", "id"),
+    "texts": ("id long, filename_tr string, body_tr string, length long", "id"),
+}
+#: Tables of the indexes; how rows are laid out where that matters.
+INDEX = ("postings", "lengths", "grams", "texts")
+LAYOUT = {
+    "postings": lambda rows: rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id"),
+    "grams": trigram.stored_grams,
+    "texts": trigram.stored_texts,
 }
 #: Keys of later segments up to which they are broadcast.
 BROADCAST_KEYS = 20_000
@@ -99,7 +108,7 @@ class Store:
         return lib.Library(**{name: self.table(name) for name in lib.TABLES})
 
     def engine(self, embedder=None) -> SearchEngine:
-        return SearchEngine(self.table("files"), self.table("metadata"), self.table("chunks"), embedder, self.table("postings"), self.table("lengths").select("id", "length"))
+        return SearchEngine(self.table("files"), self.table("metadata"), self.table("chunks"), embedder, self.table("postings"), self.table("lengths").select("id", "length"), self.table("grams"), self.table("texts"))
 
     # Writing
 
@@ -112,8 +121,7 @@ class Store:
             rows = change.rows.select(*[F.col(c).cast(t).alias(c) for c, t in (c.split(" ", 1) for c in schema.split(", "))]).select(*columns)
             if name == "files":
                 rows = tables.checked_status(rows)
-            if name == "postings":
-                rows = rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+            rows = LAYOUT[name](rows) if name in LAYOUT else rows
             n["rows"] = self._put(rows, f"{out}/rows")
         keys = change.keys.select(F.col(change.keys.columns[0]).alias(key)) if change.keys is not None else None
         if n["rows"]:
@@ -162,7 +170,7 @@ class Store:
         merged = tables.coalesce_merge(known, new, "file_id", list(tables.METADATA)).join(docs.select(F.col("id").alias("file_id")), "file_id", "left_semi")
         changes = {
             "postings": Change(retrieval.posting_rows(docs), ids), "lengths": Change(lengths, ids), "metadata": Change(merged, ids),
-            "chunks": Change(chunks, stale),
+            "chunks": Change(chunks, stale), "grams": Change(trigram.gram_rows(trigram.texts(docs)), ids), "texts": Change(trigram.texts(docs), ids),
         }
         out = {"files": [*self.state.get("files", []), made]}
         for name, change in changes.items():
@@ -174,7 +182,7 @@ class Store:
     def _without(self, gone: DataFrame) -> Store:
         """gone(path, id): these files go, with all that hangs on them."""
         ids = gone.select("id")
-        return self.change(files=Change(keys=gone.select("path")), **{name: Change(keys=ids) for name in ("metadata", "chunks", "postings", "lengths")})
+        return self.change(files=Change(keys=gone.select("path")), **{name: Change(keys=ids) for name in ("metadata", "chunks", *INDEX)})
 
     def delete(self, paths: DataFrame) -> Store:
         return self._without(self.table("files").join(paths.select("path"), "path", "left_semi"))

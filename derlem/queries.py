@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as t
 from .functions import vector as v
-from .operators import legal, retrieval, tables
+from .operators import legal, retrieval, tables, trigram
 from .plans.library import TABLES, Library
 from .plans.search import SearchEngine
 from .plans.store import Store
@@ -125,13 +125,27 @@ def term_doc_freq(spark, sf):
     return words.groupBy("term", "id").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("docs"), F.sum("n").alias("times"))
 
 
-@query("""
+_INFIX = """
 WITH d AS (SELECT doc_id AS id, lower(translate(coalesce(text, ''), 'Iİ', 'ıi')) AS b, doc_id || '.txt' AS n FROM documents),
 f AS (SELECT id, greatest(0, length(b) - 2) + greatest(0, length(n) - 2) AS l, CASE WHEN contains(b, 'the on') THEN len(list_filter(range(1, length(b) - 4), lambda i: substr(b, i, 6) = 'the on')) ELSE 0 END AS f FROM d),
 c AS (SELECT count(*)::DOUBLE AS docs, avg(l) AS mean, count(*) FILTER (f > 0) AS n FROM f),
 s AS (SELECT id, greatest(1e-6::DOUBLE, ln((docs - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE))) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean)) AS score FROM f, c WHERE f > 0)
-SELECT id, round(score, 9) AS score FROM s ORDER BY s.score DESC, id LIMIT 20""")
+SELECT id, round(score, 9) AS score FROM s ORDER BY s.score DESC, id LIMIT 20"""
+
+
+def _grams(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return trigram.open_index(_files(spark, sf), f"{workspace(spark)}/trigrams-{zlib.crc32(sf.encode()):08x}")
+
+
+@query(_INFIX)
 def infix_contains_topk(spark, sf):
+    """From the trigram index."""
+    return retrieval.top(trigram.infix(*_grams(spark, sf), '"The on\''), 20).select("id", F.round("score", 9).alias("score"))
+
+
+@query(_INFIX)
+def infix_scan_topk(spark, sf):
+    """The same without an index."""
     return retrieval.top(retrieval.infix(_files(spark, sf), '"The on\''), 20).select("id", F.round("score", 9).alias("score"))
 
 
@@ -600,3 +614,10 @@ def store_chunks_follow_texts(spark, sf):
 def store_index_totals(spark, sf):
     """Every posting of the merged index, no more and no less."""
     return _store(spark, sf).table("postings").agg(F.count("*").alias("postings"), F.sum(F.size("positions")).alias("positions"), F.countDistinct("term").alias("terms"))
+
+
+@query(_INFIX.replace("the on", "h oned").replace("FROM documents", f"FROM {_NOW}"))
+def store_infix_after_changes(spark, sf):
+    """The trigram index has followed the same changes: the substring only stands in changed texts."""
+    store = _store(spark, sf)
+    return retrieval.top(trigram.infix(store.table("grams"), store.table("texts"), "H ONED"), 20).select("id", F.round("score", 9).alias("score"))
