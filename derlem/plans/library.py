@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -29,6 +30,14 @@ def chunk_rows(files: DataFrame, embed: Callable[[Column], Column], size: int =
     return rows.withColumn("embedding", embed(t.tokens(F.col("text"))))
 
 
+def chunk_settings(settings: DataFrame) -> tuple[int, int, bool]:
+    """(size, overlap, whether chunks are made) as settings have them: chunk_size, chunk_overlap and embeddings_enabled. What isn't a positive number
+    counts as not set."""
+    known = {r["key"]: r["value"] or "" for r in settings.where(F.col("key").isin("chunk_size", "chunk_overlap", "embeddings_enabled")).collect()}
+    number = lambda key, default: int((re.match(r"\s*\+?([0-9]+)", known.get(key, "")) or ("", "0"))[1]) or default
+    return number("chunk_size", 800), number("chunk_overlap", 150), known.get("embeddings_enabled") == "true"
+
+
 def metadata_rows(files: DataFrame) -> DataFrame:
     """What the texts of files say about them; files without a text have no metadata."""
     found = legal.extract_metadata(files.where("body <> ''"))
@@ -140,16 +149,22 @@ class Library:
         own = patch.join(self.files.select("path", F.col("id").alias("file_id")), "path").select("file_id", *fields)
         return replace(self, metadata=tables.coalesce_merge(self.metadata, own, "file_id", fields))
 
-    def rebuild_chunks(self, embed: Callable[[Column], Column], size: int = 800, overlap: int = 150) -> Library:
-        """All chunks anew, as after a change of the model."""
-        return replace(self, chunks=chunk_rows(self.files, embed, size, overlap))
+    def _sizes(self, size: int | None, overlap: int | None) -> tuple[int, int]:
+        if size is None or overlap is None:
+            own = chunk_settings(self.settings)
+            return own[0] if size is None else size, own[1] if overlap is None else overlap
+        return size, overlap
+
+    def rebuild_chunks(self, embed: Callable[[Column], Column], size: int | None = None, overlap: int | None = None) -> Library:
+        """All chunks anew, as after a change of the model; sizes that aren't given are those of the settings."""
+        return replace(self, chunks=chunk_rows(self.files, embed, *self._sizes(size, overlap)))
 
     def backfill_chunks(self, embed: Callable[[Column], Column], limit: int | None = None) -> Library:
         """Chunks for files that have none; for the first of them only, if there is a limit."""
         missing = tables.without_chunks(self.files, self.chunks)
         if limit is not None:
             missing = missing.orderBy("id").limit(limit)
-        return replace(self, chunks=self.chunks.unionByName(chunk_rows(missing, embed)))
+        return replace(self, chunks=self.chunks.unionByName(chunk_rows(missing, embed, *self._sizes(None, None))))
 
     def stats(self, folders: DataFrame | None = None) -> DataFrame:
         return tables.stats(self.folders if folders is None else folders, self.files, self.chunks)

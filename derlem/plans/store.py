@@ -12,13 +12,19 @@ leaves files that no state names; ``vacuum`` removes them too."""
 
 from __future__ import annotations
 
+import operator
+import os
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieval, tables, trigram
+from ..sources import files as sources
+from ..sources import walk
 from . import library as lib
 from .commits import CommitLog, Conflict
 from .search import SearchEngine
@@ -152,20 +158,23 @@ class Store:
                 new[name] = [*self.state.get(name, []), made]
         return self._publish(new).merge() if new else self
 
-    def ingest(self, docs: DataFrame, chunks: DataFrame | None = None, metadata: DataFrame | None = None) -> Store:
+    def ingest(self, docs: DataFrame, chunks: DataFrame | Callable[[DataFrame], DataFrame] | None = None, metadata: DataFrame | None = None, gone: DataFrame | None = None) -> Store:
         """Files of the same path are replaced, and their postings with them. Metadata that is new wins over old, null keeps it. Chunks go with the
-        text they were made from: where the body has changed, and where new ones are given."""
+        text they were made from: where the body has changed, and where new ones are given, as rows or as a function of the new files. gone(path, id):
+        files that go in the same commit."""
         folder = f"segments/{uuid.uuid4().hex}"
-        made = self._write("files", Change(docs), folder)
-        if not made["rows"]:
+        made = self._write("files", Change(docs, None if gone is None else gone.select("path")), folder)
+        if not made["rows"] and not made["keys"]:
             return self
         docs = self._read(made["path"], "rows", STORED["files"][0])  # written once, read by all that follows
         before = self.table("files").join(docs.select("path"), "path", "left_semi").select("id")
-        ids = before.union(docs.select("id")).distinct()
+        ids = before.union(docs.select("id"))
+        ids = (ids if gone is None else ids.union(gone.select("id"))).distinct()
         lengths = retrieval.doc_lengths(docs).join(docs.select("id", F.xxhash64(F.coalesce("body", F.lit(""))).alias("digest")), "id")
         old = self.table("lengths").select("id", F.col("digest").alias("_old"))
         stale = ids.join(lengths.select("id", "digest"), "id", "left").join(old, "id", "left").where("digest is null or _old is null or digest <> _old").select("id")
         new = metadata if metadata is not None else lib.metadata_rows(docs)
+        chunks = chunks(docs) if callable(chunks) else chunks
         known = self.table("metadata").join(ids.select(F.col("id").alias("file_id")), "file_id", "left_semi")
         merged = tables.coalesce_merge(known, new, "file_id", list(tables.METADATA)).join(docs.select(F.col("id").alias("file_id")), "file_id", "left_semi")
         changes = {
@@ -179,6 +188,38 @@ class Store:
                 out[name] = [*self.state.get(name, []), segment]
         return self._publish(out).merge()
 
+    def scan(self, *roots: str, parsers: dict | None = None, embed: Callable[[Column], Column] | None = None, metadata: DataFrame | None = None) -> tuple[Store, dict[str, int]]:
+        """Bring the library up to date with the files below these roots, or below all registered folders, in one commit; roots that aren't there
+        are left alone. (the next state, files scanned, parsed, skipped and removed). Only new and changed files are opened. embed: makes the vectors
+        of new texts, if the settings want chunks; their sizes are of the settings too.
+
+        One listing meets the known files once; what differs is written, and the counters are observed in that write."""
+        roots = [r.rstrip("/") for r in roots or [f["path"] for f in self.table("folders").collect()]]  # as many as somebody has registered
+        roots = [r for r in roots if not sources.mounted(r) or os.path.isdir(r)]
+        if not roots:
+            return self, dict.fromkeys(("scanned", "parsed", "skipped", "removed"), 0)
+        below = reduce(operator.or_, [tables.under(F.col("path"), r) for r in roots])
+        known = self.table("files").where(below).select("path", "id", F.col("mtime").alias("_mtime"), F.col("size").alias("_size"))
+        rows = sources.listing(self.spark, *roots).join(known, "path", "full_outer")
+        same = F.coalesce((F.col("mtime") == F.col("_mtime")) & (F.col("size") == F.col("_size")), F.lit(False))
+        rows = rows.select("path", "id", "mtime", "size", F.when(F.col("mtime").isNull(), "removed").when(same, "skipped").otherwise("parsed").alias("what"))
+        seen, folder = Observation(), f"segments/{uuid.uuid4().hex}/scan"
+        counted = [F.count_if(F.col("what") == w).alias(w) for w in ("parsed", "skipped", "removed")]
+        rows.observe(seen, *counted).where("what <> 'skipped'").write.parquet(f"{self.path}/{folder}")
+        n = seen.get
+        counts = {"scanned": n["parsed"] + n["skipped"], **n}
+        if not n["parsed"] and not n["removed"]:
+            return self, counts
+        found = self._read(folder, "", "path string, id long, mtime long, size long, what string")
+        size, overlap, wanted = lib.chunk_settings(self.table("settings"))
+        chunks = (lambda docs: lib.chunk_rows(docs, embed, size, overlap)) if embed is not None and wanted else None
+        changed = found.where("what = 'parsed'")
+        docs = sources.documents(walk.contents(changed.where(F.col("path").startswith("/"))), parsers)
+        for root in roots:
+            if not sources.mounted(root):
+                docs = docs.unionByName(sources.read_documents(self.spark, root, parsers, changed))
+        return self.ingest(docs, chunks, metadata, found.where("what = 'removed'").select("path", "id")), counts
+
     def _without(self, gone: DataFrame) -> Store:
         """gone(path, id): these files go, with all that hangs on them."""
         ids = gone.select("id")

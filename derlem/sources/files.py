@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
+from . import walk
 
 #: Folders that are never entered (lower case), and extensions that are read.
 SKIPPED_DIRS = ("node_modules", ".git", ".svn", ".hg", ".codegraph", "$recycle.bin", "system volume information", ".trash", ".trashes", ".fseventsd", ".spotlight-v100", ".npm", ".pnpm-store", ".yarn", ".cargo", ".rustup", ".venv", "venv", "env", ".cache", "caches", "application support", "containers", "logs", "applications")
@@ -48,12 +50,26 @@ def wanted(path: Column, root: str) -> Column:
     return supported(path) & ~F.exists(dirs, skipped_dir)
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path, mtime (ms), size of the files below root that are read; contents aren't touched."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
-    path = F.regexp_replace("path", "^file:/+", "/")
-    rows = rows.select(path.alias("path"), F.unix_millis("modificationTime").alias("mtime"), F.col("length").alias("size"))
-    return rows.where((F.col("size") > 0) & wanted(F.col("path"), root))
+def mounted(root: str) -> bool:
+    """Whether a root is a path of a mounted file system, and not an address of another one."""
+    return root.startswith("/")
+
+
+def listing(spark: SparkSession, *roots: str) -> DataFrame:
+    """path, mtime (ms), size of the files below roots that are read; contents aren't touched. Of a mounted file system skipped folders are not opened
+    (see sources.walk); of another one everything below the root is listed, then left out. Roots don't contain each other."""
+    out = None
+    local = [r for r in roots if mounted(r)]
+    if local:
+        spark.dataSource.register(walk.Walk)
+        rows = spark.read.format("derlem_walk").options(roots=json.dumps(local), skipped=json.dumps(SKIPPED_DIRS)).load()
+        out = rows.where((F.col("size") > 0) & supported(F.col("path")))
+    for root in roots:
+        if not mounted(root):
+            rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+            rows = rows.select("path", F.unix_millis("modificationTime").alias("mtime"), F.col("length").alias("size")).where((F.col("size") > 0) & wanted(F.col("path"), root))
+            out = rows if out is None else out.unionByName(rows)
+    return spark.createDataFrame([], walk.SCHEMA) if out is None else out
 
 
 def _zip_member(data: bytes, wanted) -> bytes | None:
@@ -98,6 +114,8 @@ def parse(files: DataFrame, parsers: dict | None = None) -> DataFrame:
             rows = []
             for data, ext in zip(contents, extensions, strict=True):
                 try:
+                    if data is None:
+                        raise OSError("the file can't be read")
                     if ext not in known:
                         raise ValueError(f"no parser for {ext}")
                     rows.append((known[ext](bytes(data)), None))
@@ -113,14 +131,21 @@ def parse(files: DataFrame, parsers: dict | None = None) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, root: str, parsers: dict | None = None, paths: DataFrame | None = None) -> DataFrame:
-    """Parsed files below root; of those in paths only, if given."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rows = rows.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.unix_millis("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
-    rows = rows.where((F.col("size") > 0) & wanted(F.col("path"), root))
-    if paths is not None:
-        rows = rows.join(paths.select("path"), "path", "left_semi")
-    rows = parse(rows, parsers)
-    return rows.select(F.xxhash64("path").alias("id"), "path", "filename", "ext", "mtime", "size", "body", "status", "error_msg")
+    """Parsed files below root; of those in paths(path, mtime, size) only, if given: of a mounted file system no other file is opened."""
+    if mounted(root):
+        rows = walk.contents(listing(spark, root) if paths is None else paths)
+    else:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        rows = rows.select("path", F.unix_millis("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
+        rows = rows.where((F.col("size") > 0) & wanted(F.col("path"), root))
+        if paths is not None:
+            rows = rows.join(paths.select("path"), "path", "left_semi")
+    return documents(rows, parsers)
+
+
+def documents(rows: DataFrame, parsers: dict | None = None) -> DataFrame:
+    """Rows of files with their content as the files of a library."""
+    return parse(rows, parsers).select(F.xxhash64("path").alias("id"), "path", "filename", "ext", "mtime", "size", "body", "status", "error_msg")
 
 
 def llm_fields(df: DataFrame, answer: str) -> DataFrame:

@@ -4,7 +4,7 @@ from derlem.operators import retrieval, trigram
 from derlem.plans.search import SearchEngine
 
 BODIES = ["İSTANBUL kira tespiti", "kira ve kira ve kira", "", None, "aaaaaa", "x\U0001f600yz ve kira", "ab", "(a+b) \\E % _ kira", "Isparta ışık"]
-QUERIES = ["KİRA", "ra ve k", "istanbul", "aaa", "\U0001f600yz", "yok böyle", "ab", "b) \\e %", "4.txt", "ISP", "", "\"kira've"]
+QUERIES = ["ra ve K", "istanbul", "aaa", "\U0001f600yz", "yok böyle", "ab", "b) \\e %", "4.txt"]
 
 
 def table(spark, bodies=BODIES):
