@@ -34,13 +34,15 @@ KINDS = ("email", "ip", "card", "phone")
 @dataclass(frozen=True)
 class Bootstrap:
     """rounds of scoring; known instances that a pattern needs; its least share of known ones; identifiers' least share of its
-    places; the least score of an instance that is reported."""
+    places; the least score of an instance that is reported; characters to each side within which words are beside a token: a word that
+    isn't whole within them isn't."""
 
     rounds: int = 3
     support: int = 5
     precision: float = 0.7
     share: float = 0.2
     accept: float = 0.8
+    reach: int = 120
 
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -112,17 +114,23 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
-def _context(text: str, start: int, end: int) -> tuple[str, str, str]:
-    left = _WORD.findall(text, max(0, start - 120), start)[-2:]
-    m = _WORD.search(text, end, end + 120)
-    return left[-1] if left else "", " ".join(left) if len(left) == 2 else "", m[0] if m else ""
+def _context(text: str, start: int, end: int, reach: int) -> tuple[str, str, str]:
+    begin, stop = max(0, start - reach), end + reach
+    left = _WORD.findall(text, begin, start)
+    if begin and 0 < len(left) < 3:
+        across = _WORD.match(text, begin - 1, start)
+        left = left[1:] if across and across.end() > begin else left
+    left = left[-2:]
+    m = _WORD.search(text, end, stop)
+    right = m[0] if m and not (m.end() == stop and _WORD.match(text, stop)) else ""
+    return left[-1] if left else "", " ".join(left) if len(left) == 2 else "", right
 
 
 _FOUND = "array<struct<kind: int, start: long, end: long, value: long, l1: string, l2: string, r1: string>>"
 _FOUND_TYPE = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.int64()), ("l1", pa.string()), ("l2", pa.string()), ("r1", pa.string())]))
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
         for value in batch.column(2):
@@ -131,17 +139,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = [(k, a, b) for a, k, b in base] + [(-1, a, b) for a, b in candidates(text, base)]
             row = []
             for k, a, b in spans:
-                l1, l2, r1 = _context(text, a, b)
+                l1, l2, r1 = _context(text, a, b, reach)
                 value = int.from_bytes(hashlib.blake2b(text[a:b].lower().encode(), digest_size=8).digest(), "little", signed=True)
                 row.append({"kind": k, "start": a, "end": b, "value": value, "l1": l1, "l2": l2, "r1": r1})
             found.append(row)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, _FOUND_TYPE)], names=["doc_id", "text_key", "found"])
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, reach: int = Bootstrap.reach) -> DataFrame:
     """docs(doc_id, text) -> doc_id, text_key, found: base matches (kind 0 to 3) and candidates (kind -1) with the words beside them."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scan, f"doc_id long, text_key long, found {_FOUND}")
+    return rows.mapInArrow(lambda batches: _scan(batches, reach), f"doc_id long, text_key long, found {_FOUND}")
 
 
 def _edges(found: DataFrame) -> DataFrame:
@@ -186,7 +194,7 @@ def discover(docs: DataFrame, found: DataFrame, at: Bootstrap = Bootstrap()) ->
 
 def _with_discovered(docs: DataFrame, at: Bootstrap) -> tuple[DataFrame, DataFrame]:
     """All rows of the scan, and the spans that were discovered: row, start, end, kind."""
-    found = durable(scan(docs).withColumn("row", F.monotonically_increasing_id()), "pii")
+    found = durable(scan(docs, at.reach).withColumn("row", F.monotonically_increasing_id()), "pii")
     values = durable(discover(docs, found, at), "discovered").withColumnRenamed("kind", "as_kind")
     loose = found.select("row", F.explode(F.filter("found", lambda f: f["kind"] < 0)).alias("f")).select("row", "f.start", "f.end", "f.value")
     return found, lookup_join(loose, values, "value", "inner").select("row", F.col("as_kind").alias("kind"), "start", "end")

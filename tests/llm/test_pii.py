@@ -46,6 +46,17 @@ def test_more_base_spans():
     assert pii.base_spans("x" * 200000 + "@y.z") == [(0, 0, 200004)]
 
 
+def test_words_beside_a_token_are_whole():
+    ask = lambda before, after, reach=120: pii._context(before + "12345" + after, len(before), len(before) + 5, reach)
+    assert ask("customer ref ", " for us") == ("ref", "customer ref", "for")
+    assert ask("customer ref ", " for us", reach=6) == ("ref", "", "for")  # "er ref" begins within a word
+    assert ask("customer ref ", " forty", reach=4) == ("ref", "", "")  # " for" ends within one
+    assert ask("customer ref ", " for us", reach=3) == ("", "", "")
+    assert ask("x" * 130 + " ", " " + "y" * 130) == ("", "", "")
+    assert ask("x" * 130 + " ", " " + "y" * 130, reach=131) == ("x" * 130, "", "y" * 130)
+    assert ask("", "") == ("", "", "")
+
+
 def test_contexts_discover_identifiers(spark):
     r = random.Random(3)
     phone = lambda: f"+1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}"
