@@ -5,7 +5,9 @@ are skipped; computed on the fly, the filter on terms moves below the grouping."
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 RRF = 60
 LEAST_SIMILARITY = 0.1
+#: Postings, and places in them, up to which the rarest word of a phrase is broadcast.
+PHRASE_ROWS, PHRASE_PLACES = 20_000, 500_000
 
 
 def postings(files: DataFrame) -> DataFrame:
@@ -94,18 +98,28 @@ def _word_filter(word: str, prefix: bool) -> Column:
     return (term >= word) & (term < word + "\U0010ffff") & term.startswith(word) if prefix else term == word
 
 
+def _phrase(index: DataFrame, words: list[str], prefix: bool) -> DataFrame:
+    """id, f of several words in a row: from the rarest word on, places where the phrase may begin are kept if the next word stands in its own.
+
+    Asks for the lengths of the words' lists first. The rarest one's places are broadcast if they are few, and then nothing else is shuffled."""
+    having = [_word_filter(w, prefix and j == len(words) - 1) for j, w in enumerate(words)]
+    sizes = index.where(reduce(operator.or_, having)).agg(*[F.count_if(h).alias(str(j)) for j, h in enumerate(having)]).first()
+    order = sorted(range(len(words)), key=lambda j: (sizes[j], j))
+    begins = lambda j, name: index.where(having[j]).select("id", "col", F.transform("positions", lambda p: p - j).alias(name))
+    out = begins(order[0], "at")
+    few = sizes[order[0]] <= PHRASE_ROWS and (out.agg(F.sum(F.size("at")).alias("n")).first()["n"] or 0) <= PHRASE_PLACES
+    for j in order[1:]:
+        out = begins(j, "_next").join(F.broadcast(out) if few else out, ["id", "col"])
+        out = out.select("id", "col", F.array_intersect("at", "_next").alias("at")).where(F.size("at") > 0)
+    return out.select("id", F.size("at").alias("f"))
+
+
 def phrase_hits(index: DataFrame, match: q.Match) -> DataFrame:
     """id, phrase (its number), f: how often each document has each phrase."""
     out = None
     for i, (words, prefix) in enumerate(match.phrases):
-        if len(words) == 1:
-            rows = index.where(_word_filter(words[0], prefix)).select("id", F.size("positions").alias("f"))
-        else:
-            parts = None
-            for j, word in enumerate(words):
-                part = index.where(_word_filter(word, prefix and j == len(words) - 1)).select("id", "col", F.lit(j).alias("j"), F.explode("positions").alias("p")).withColumn("at", F.col("p") - j)
-                parts = part if parts is None else parts.unionByName(part)
-            rows = parts.groupBy("id", "col", "at").agg(F.countDistinct("j").alias("n")).where(F.col("n") == len(words)).select("id", F.lit(1).alias("f"))
+        one = lambda: index.where(_word_filter(words[0], prefix)).select("id", F.size("positions").alias("f"))  # noqa: B023, E731
+        rows = one() if len(words) == 1 else _phrase(index, list(words), prefix)
         rows = rows.groupBy("id").agg(F.sum("f").alias("f")).select("id", F.lit(i).alias("phrase"), "f")
         out = rows if out is None else out.unionByName(rows)
     return out

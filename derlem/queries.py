@@ -10,6 +10,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import sql
 from .functions import text as t
 from .functions import vector as v
 from .operators import legal, retrieval, tables, trigram
@@ -220,6 +221,22 @@ def cosine_to_vector(spark, sf):
     return rows.crossJoin(F.broadcast(one)).select("vec_id", F.round(v.cosine(F.col("embedding"), F.col("target")), 6).alias("similarity"))
 
 
+@query(f"SELECT a.vec_id, round({_cos('a.embedding', 'b.embedding')}, 6) AS similarity FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 3) b WHERE {_cos('a.embedding', 'b.embedding')} > 0.1")
+def sql_cosine_similarity(spark, sf):
+    """The same measure as a function of SQL."""
+    sql.register(spark)
+    rows = "SELECT vec_id, cosine_similarity(embedding, (SELECT first(embedding) FROM {rows} WHERE vec_id = 3)) AS s FROM {rows}"
+    return spark.sql(f"SELECT vec_id, round(s, 6) AS similarity FROM ({rows}) WHERE s > 0.1", rows=_read(spark, sf, "embeddings"))
+
+
+@query(f"WITH {_TOK} w AS (SELECT id, unnest(b) AS term FROM d) SELECT term, count(*) AS times FROM w WHERE starts_with(term, 'er') GROUP BY term")
+def sql_search_tokens(spark, sf):
+    """Terms of the search index, in SQL."""
+    sql.register(spark)
+    rows = "SELECT explode(words) AS term FROM (SELECT search_tokens(text) AS words FROM {docs})"
+    return spark.sql(f"SELECT term, count(*) AS times FROM ({rows}) WHERE startswith(term, 'er') GROUP BY term", docs=_read(spark, sf, "documents"))
+
+
 @query(f"""WITH s AS (SELECT label::BIGINT AS id, vec_id, {_cos('a.embedding', 'b.embedding')} AS s FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 7) b)
 SELECT id, round(max(s), 6) AS score, arg_max('chunk ' || vec_id, s) AS text FROM s GROUP BY id HAVING max(s) > 0.1 ORDER BY max(s) DESC, id LIMIT 5""")
 def knn_by_doc_threshold(spark, sf):
@@ -412,18 +429,27 @@ def props_json_roundtrip(spark, sf):
     return rows.select("event_id", F.from_json(F.to_json("m"), "map<string,string>")["k"].alias("k"), "has_props")
 
 
-@query("SELECT * FROM (VALUES (0, 'bir özet metni', 2), (1, NULL, 0), (2, NULL, 1)) AS t(id, summary, tags)")
+@query("""SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN trim(substr(md5(text), 1, 9)) END AS summary, CASE doc_id % 3 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS tags FROM documents""")
 def llm_json_parse(spark, sf):
-    rows = spark.createDataFrame([(0, 'ok: {"summary": " bir özet metni ", "tags": ["a ", "", "b"]} end'), (1, "no json"), (2, '{"summary": "kısa", "tags": ["x"]}')], "id int, answer string")
+    """Answers about every document: with a summary and tags, without JSON, and with a summary that is too short."""
+    key, kind = F.substring(F.md5("text"), 1, 9), F.col("doc_id") % 3
+    whole = F.concat(F.lit('ok: {"summary": " '), key, F.lit(' ", "tags": ["a ", "", "b"]} end'))
+    rows = _read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(kind == 0, whole).when(kind == 1, key).otherwise('{"summary": "kısa", "tags": ["x"]}').alias("answer"))
     return sources.llm_fields(rows, "answer").select("id", "summary", F.size("tags").alias("tags"))
 
 
-@query("""SELECT * FROM (VALUES ('/a/~$Dilekce.docx', false), ('/a/._Dilekce.pdf', false), ('/a/draft.tmp', false), ('/a/.DS_Store', false), ('/a/Thumbs.db', false), ('/a/Dava_Dilekcesi.docx', true), ('/a/karar.udf', true),
-('/a/node_modules/x.txt', false), ('/a/Slack.app/x.txt', false), ('/a/VENV/x.txt', false), ('/a/.hidden/x.txt', false), ('/a/Dilekceler/x.MD', true), ('/a/x.exe', false), ('/a/Application Support/n.txt', false)) AS t(path, kept)""")
+#: Names of files, whether they are read.
+_NAMES = (("~$Dilekce.docx", False), ("._Dilekce.pdf", False), ("draft.tmp", False), (".DS_Store", False), ("Thumbs.db", False), ("Dava_Dilekcesi.docx", True), ("karar.udf", True), ("node_modules/x.txt", False),
+          ("Slack.app/x.txt", False), ("VENV/x.txt", False), (".hidden/x.txt", False), ("Dilekceler/x.MD", True), ("x.exe", False), ("Application Support/n.txt", False))
+
+
+@query(f"""SELECT '/corpus/' || source || '/' || doc_id || '/' || [{", ".join(f"'{n}'" for n, _ in _NAMES)}][doc_id % {len(_NAMES)} + 1] AS path,
+[{", ".join(str(k).lower() for _, k in _NAMES)}][doc_id % {len(_NAMES)} + 1] AS kept FROM documents""")
 def skip_rules(spark, sf):
-    names = ["~$Dilekce.docx", "._Dilekce.pdf", "draft.tmp", ".DS_Store", "Thumbs.db", "Dava_Dilekcesi.docx", "karar.udf", "node_modules/x.txt", "Slack.app/x.txt", "VENV/x.txt", ".hidden/x.txt", "Dilekceler/x.MD", "x.exe", "Application Support/n.txt"]
-    rows = spark.createDataFrame([("/a/" + n,) for n in names], "path string")
-    return rows.select("path", sources.wanted(F.col("path"), "/a").alias("kept"))
+    """A path for every document, of names in turn."""
+    name = F.get(F.array(*[F.lit(n) for n, _ in _NAMES]), (F.col("doc_id") % len(_NAMES)).cast("int"))
+    rows = _read(spark, sf, "documents").select(F.concat_ws("/", F.lit("/corpus"), "source", F.col("doc_id").cast("string"), name).alias("path"))
+    return rows.select("path", sources.wanted(F.col("path"), "/corpus").alias("kept"))
 
 
 @query("SELECT event_type AS key, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY event_type")
