@@ -69,7 +69,9 @@ class Store:
         self.version = (known[-1] if known else 0) if version is None else version
         if self.version and self.version not in known:
             raise ValueError(f"no state {version} in {path}")
-        self.state: dict[str, list[dict]] = self._log.read(self.version)["tables"] if self.version else {}
+        read = self._log.read(self.version) if self.version else {}
+        self.state: dict[str, list[dict]] = read.get("tables", {})
+        self.batches: dict[str, int] = read.get("batches", {})  # stream -> its last batch
 
     def at(self, version: int) -> Store:
         return Store(self.spark, self.path, version)
@@ -143,10 +145,10 @@ class Store:
         rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/{folder}")
         return seen.get["n"]
 
-    def _publish(self, segments: dict[str, list[dict]]) -> Store:
-        """The next state: these tables have these segments, the others stay as they are."""
-        state = {**self.state, **segments}
-        self._log.commit(self.version + 1, {"tables": {k: v for k, v in state.items() if v}})
+    def _publish(self, segments: dict[str, list[dict]], batch: tuple[str, int] | None = None) -> Store:
+        """The next state: these tables have these segments, the others stay as they are. batch: of a stream, which is noted in it."""
+        state, batches = {**self.state, **segments}, {**self.batches, **dict([batch] if batch else [])}
+        self._log.commit(self.version + 1, {"tables": {k: v for k, v in state.items() if v}, "batches": batches})
         return Store(self.spark, self.path, self.version + 1)
 
     def change(self, **changes: Change) -> Store:
@@ -158,10 +160,12 @@ class Store:
                 new[name] = [*self.state.get(name, []), made]
         return self._publish(new).merge() if new else self
 
-    def ingest(self, docs: DataFrame, chunks: DataFrame | Callable[[DataFrame], DataFrame] | None = None, metadata: DataFrame | None = None, gone: DataFrame | None = None) -> Store:
+    def ingest(self, docs: DataFrame, chunks: DataFrame | Callable[[DataFrame], DataFrame] | None = None, metadata: DataFrame | None = None, gone: DataFrame | None = None, batch: tuple[str, int] | None = None) -> Store:
         """Files of the same path are replaced, and their postings with them. Metadata that is new wins over old, null keeps it. Chunks go with the
         text they were made from: where the body has changed, and where new ones are given, as rows or as a function of the new files. gone(path, id):
-        files that go in the same commit."""
+        files that go in the same commit. batch: of a stream, by name and number; one that the store has already is left out."""
+        if batch is not None and self.batches.get(batch[0], -1) >= batch[1]:
+            return self
         folder = f"segments/{uuid.uuid4().hex}"
         made = self._write("files", Change(docs, None if gone is None else gone.select("path")), folder)
         if not made["rows"] and not made["keys"]:
@@ -186,7 +190,7 @@ class Store:
             segment = self._write(name, change, folder)
             if segment["rows"] or segment["keys"]:
                 out[name] = [*self.state.get(name, []), segment]
-        return self._publish(out).merge()
+        return self._publish(out, batch).merge()
 
     def scan(self, *roots: str, parsers: dict | None = None, embed: Callable[[Column], Column] | None = None, metadata: DataFrame | None = None) -> tuple[Store, dict[str, int]]:
         """Bring the library up to date with the files below these roots, or below all registered folders, in one commit; roots that aren't there

@@ -19,6 +19,7 @@ from .plans.search import SearchEngine
 from .plans.store import Store
 from .plans.workspace import workspace
 from .sources import files as sources
+from .streaming import feed
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -458,10 +459,23 @@ def settings_kv_latest(spark, sf):
     return tables.latest_wins(log, "key", "ts", "event_id").select("key", "value")
 
 
-@query("SELECT user_id, event_type, event_id FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE event_type <> 'error'")
+_FOLDED = "SELECT user_id, event_type, event_id FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE event_type <> 'error'"
+
+
+@query(_FOLDED)
 def change_feed_fold(spark, sf):
-    feed = _read(spark, sf, "events").select("user_id", "event_type", "ts", "event_id")
-    return tables.fold_changes(feed, "user_id", F.col("event_type") == "error", "ts", "event_id").select("user_id", "event_type", "event_id")
+    changes = _read(spark, sf, "events").select("user_id", "event_type", "ts", "event_id")
+    return tables.fold_changes(changes, "user_id", F.col("event_type") == "error", "ts", "event_id").select("user_id", "event_type", "event_id")
+
+
+@query(_FOLDED)
+def stream_feed_fold(spark, sf):
+    """The same feed as a stream; the last change of each user is the stream's keyed state."""
+    at = f"{workspace(spark)}/fold-{zlib.crc32(sf.encode()):08x}"
+    rows = _read(spark, sf, "events").select("user_id", "event_type", "ts", "event_id")
+    stream = spark.readStream.schema(_read(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*").select(*rows.columns)  # a pattern: a stream takes no single file
+    feed.fold_stream(stream, "user_id", "event_type = 'error'", ["ts", "event_id"], f"{at}/state", f"{at}/checkpoint").awaitTermination()
+    return feed.folded(spark, f"{at}/state").select("user_id", "event_type", "event_id")
 
 
 @query()
