@@ -93,7 +93,7 @@ def open_index(files: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     return index, lengths
 
 
-def _word_filter(word: str, prefix: bool) -> Column:
+def word_filter(word: str, prefix: bool) -> Column:
     term = F.col("term")
     return (term >= word) & (term < word + "\U0010ffff") & term.startswith(word) if prefix else term == word
 
@@ -102,7 +102,7 @@ def _phrase(index: DataFrame, words: list[str], prefix: bool) -> DataFrame:
     """id, f of several words in a row: from the rarest word on, places where the phrase may begin are kept if the next word stands in its own.
 
     Asks for the lengths of the words' lists first. The rarest one's places are broadcast if they are few, and then nothing else is shuffled."""
-    having = [_word_filter(w, prefix and j == len(words) - 1) for j, w in enumerate(words)]
+    having = [word_filter(w, prefix and j == len(words) - 1) for j, w in enumerate(words)]
     sizes = index.where(reduce(operator.or_, having)).agg(*[F.count_if(h).alias(str(j)) for j, h in enumerate(having)]).first()
     order = sorted(range(len(words)), key=lambda j: (sizes[j], j))
     begins = lambda j, name: index.where(having[j]).select("id", "col", F.transform("positions", lambda p: p - j).alias(name))
@@ -118,7 +118,7 @@ def phrase_hits(index: DataFrame, match: q.Match) -> DataFrame:
     """id, phrase (its number), f: how often each document has each phrase."""
     out = None
     for i, (words, prefix) in enumerate(match.phrases):
-        one = lambda: index.where(_word_filter(words[0], prefix)).select("id", F.size("positions").alias("f"))  # noqa: B023, E731
+        one = lambda: index.where(word_filter(words[0], prefix)).select("id", F.size("positions").alias("f"))  # noqa: B023, E731
         rows = one() if len(words) == 1 else _phrase(index, list(words), prefix)
         rows = rows.groupBy("id").agg(F.sum("f").alias("f")).select("id", F.lit(i).alias("phrase"), "f")
         out = rows if out is None else out.unionByName(rows)

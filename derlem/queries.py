@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import sql
 from .functions import text as t
 from .functions import vector as v
-from .operators import legal, retrieval, tables, trigram
+from .operators import legal, ranked, retrieval, tables, trigram
 from .plans.library import TABLES, Library
 from .plans.search import SearchEngine
 from .plans.store import Store
@@ -95,6 +95,22 @@ def keyword_or(spark, sf):
     return _keyword(spark, sf, "ernt OR oned")
 
 
+def _ranked(spark: SparkSession, sf: str, text: str, k: int = 20) -> DataFrame:
+    index = ranked.Ranked.open(_files(spark, sf), f"{workspace(spark)}/ranked-{zlib.crc32(sf.encode()):08x}")
+    return index.search(text, k)[0].select("id", F.round("score", 9).alias("score"))
+
+
+@query(_bm25(["ernt", "oned"], "h0 OR h1"))
+def keyword_or_bounded(spark, sf):
+    """The best matches by bounds of blocks: blocks that can't reach the kth score aren't scored."""
+    return _ranked(spark, sf, "ernt OR oned")
+
+
+@query(_bm25(["ernt", "ersh", "oned"], "(h0 OR h1) AND NOT coalesce(h2, false)", 10))
+def keyword_grouping_bounded(spark, sf):
+    return _ranked(spark, sf, "(ernt OR ersh) -oned", 10)
+
+
 @query(_bm25(["ernt", "ersh"], "h0 AND NOT coalesce(h1, false)"))
 def keyword_not(spark, sf):
     return _keyword(spark, sf, "ernt -ersh")
