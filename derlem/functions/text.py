@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Accented letters and what a folded token has in their place; the dotless i stays.
 ACCENTED = "áàâäãåāăąçćčďéèêëēęěğíìîïīñńňóòôöõøōőřśšşťúùûüūůűýÿźžżǧ"
@@ -16,6 +21,35 @@ def tr_lower(x: Column) -> Column:
     return F.lower(F.translate(x, "Iİ", "ıi"))
 
 
+@lru_cache(maxsize=1)
+def uncomposed() -> str:
+    """A pattern of what composed text doesn't have, or may not have: marks, vowels and finals of Hangul, and characters that stand for others."""
+    marks, jamo = r"\p{M}", "\u1161-\u1175\u11a8-\u11c2"
+    single = [chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFC", chr(c)) != chr(c) and unicodedata.category(chr(c))[0] != "M"]
+    runs: list[list[int]] = []
+    for c in map(ord, single):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + marks + jamo + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
+@F.pandas_udf(StringType())
+def _compose(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+
+def composed(x: Column) -> Column:
+    """Canonical composition (NFC). Only texts that may need it go to Python; of the others a null does."""
+    return F.coalesce(_compose(F.when(x.rlike(uncomposed()), x)), x)
+
+
+def search_form(x: Column) -> Column:
+    """What substring searches compare: composed first, as I and a dot above is a dotted capital I."""
+    return tr_lower(composed(x))
+
+
 def tr_upper(x: Column) -> Column:
     return F.upper(F.translate(x, "iı", "İI"))
 

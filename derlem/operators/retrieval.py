@@ -6,6 +6,7 @@ are skipped; computed on the fly, the filter on terms moves below the grouping."
 from __future__ import annotations
 
 import operator
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import query as q
-from ..functions.text import tokens, tr_lower
+from ..functions.text import search_form, tokens, tr_lower
 from ..functions.vector import cosine
 
 K1, B = 1.2, 0.75
@@ -146,13 +147,13 @@ def top(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
 
 
 def infix_query(query: str) -> str:
-    """Quotes to blanks, blanks collapsed; the Turkish lower case is taken in the plan."""
-    return " ".join(query.replace('"', " ").replace("'", " ").split())
+    """Composed, quotes to blanks, blanks collapsed; the Turkish lower case is taken in the plan."""
+    return " ".join(unicodedata.normalize("NFC", query).replace('"', " ").replace("'", " ").split())
 
 
 def with_normalised(files: DataFrame) -> DataFrame:
     """files with filename_tr and body_tr, to be stored: substring searches then read these and normalise nothing."""
-    return files.withColumns({f"{c}_tr": tr_lower(F.coalesce(c, F.lit(""))) for c in ("filename", "body")})
+    return files.withColumns({f"{c}_tr": search_form(F.coalesce(c, F.lit(""))) for c in ("filename", "body")})
 
 
 def infix_hits(rows: DataFrame, needle: Column) -> DataFrame:

@@ -178,6 +178,19 @@ for _a, _b in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("
 _CLEAN = rf"regexp_replace(regexp_replace(replace({_CLEAN}, chr(13) || chr(10), chr(10)), '[ \t]+', ' ', 'g'), '\n\s*\n', chr(10), 'g')"
 
 
+_APART = "replace(replace(replace(text, 'a', 'I' || chr(775) || 'a'), 'o', 'o' || chr(776)), 'e', 'e' || chr(769) || chr(803))"
+
+
+@query(f"SELECT doc_id, md5(lower(translate(nfc_normalize({_APART}), 'Iİ', 'ıi'))) AS folded, length(nfc_normalize({_APART})) AS chars FROM documents")
+def tr_normalize_composed(spark, sf):
+    """Texts with their letters taken apart, marks out of order too, compare like composed ones."""
+    apart = F.col("text")
+    for letter, pieces in (("a", "I\u0307a"), ("o", "o\u0308"), ("e", "e\u0301\u0323")):
+        apart = F.replace(apart, F.lit(letter), F.lit(pieces))
+    rows = _read(spark, sf, "documents").select("doc_id", t.composed(apart).alias("c"))
+    return rows.select("doc_id", F.md5(t.tr_lower(F.col("c"))).alias("folded"), F.length("c").cast("long").alias("chars"))
+
+
 @query(rf"SELECT page_id, regexp_replace(regexp_replace({_CLEAN % 'html'}, '^\s+', ''), '\s+$', '') AS body FROM pages")
 def clean_html(spark, sf):
     return _read(spark, sf, "pages").select("page_id", t.clean_text(F.col("html")).alias("body"))

@@ -51,3 +51,22 @@ def test_long_texts_take_time_in_proportion(spark):
     assert df.select(F.size(t.chunk_text(F.col("x")))).first()[0] > 3000
     assert df.select(F.size(t.find_all(F.substring("x", 1, 200_000), "und"))).first()[0] > 14_000
     assert time.time() - began < 20  # two million characters took 53 s when each chunk counted from the text's start
+
+
+def test_composed_text_is_that_of_the_standard(spark):
+    import unicodedata
+
+    rng = random.Random(5)
+    pool = "aeiouIİıscgqz \u0307\u0301\u0323\u0308\u0327\u0345\u212b\u2126\u1f71\uf900\u1100\u1161\u11a8\uac00\u09c7\u09be\U0002f800\U0001d15e\U0001f600é"
+    rows = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    rows += [chr(c) for c in range(0x20, 0x30000, 7) if not 0xD800 <= c < 0xE000] + [None, "", "e\u0301" * 300_000]
+    got = spark.createDataFrame(list(enumerate(rows)), "i int, x string").select("i", "x", t.composed(F.col("x")).alias("c")).collect()
+    assert all(r.c == (None if r.x is None else unicodedata.normalize("NFC", r.x)) for r in got) and len(got) == len(rows)
+
+
+def test_searches_find_letters_taken_apart(spark):
+    from derlem.operators import retrieval
+
+    files = spark.createDataFrame([(1, "a.txt", "I\u0307STANBUL"), (2, "b.txt", "istanbul"), (3, "c.txt", "ISTANBUL")], "id long, filename string, body string")
+    for query in ("İstanbul", "I\u0307stanbul"):
+        assert sorted(r.id for r in retrieval.infix(files, query).collect()) == [1, 2]
