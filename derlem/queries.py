@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import zlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import sql
 from .functions import text as t
 from .functions import vector as v
-from .operators import legal, ranked, retrieval, tables, trigram
+from .operators import legal, pivots, ranked, retrieval, tables, trigram
 from .plans.library import TABLES, Library
 from .plans.search import SearchEngine
 from .plans.store import Store
@@ -267,8 +268,11 @@ def sql_search_tokens(spark, sf):
     return spark.sql(f"SELECT term, count(*) AS times FROM ({rows}) WHERE startswith(term, 'er') GROUP BY term", docs=_read(spark, sf, "documents"))
 
 
-@query(f"""WITH s AS (SELECT label::BIGINT AS id, vec_id, {_cos('a.embedding', 'b.embedding')} AS s FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 7) b)
-SELECT id, round(max(s), 6) AS score, arg_max('chunk ' || vec_id, s) AS text FROM s GROUP BY id HAVING max(s) > 0.1 ORDER BY max(s) DESC, id LIMIT 5""")
+_NEAREST = f"""WITH s AS (SELECT label::BIGINT AS id, vec_id, {_cos('a.embedding', 'b.embedding')} AS s FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 7) b)
+SELECT id, round(max(s), 6) AS score, arg_max('chunk ' || vec_id, s) AS text FROM s GROUP BY id HAVING max(s) > 0.1 ORDER BY max(s) DESC, id LIMIT 5"""
+
+
+@query(_NEAREST)
 def knn_by_doc_threshold(spark, sf):
     chunks = _chunks(spark, sf)
     one = chunks.where("chunk_index = 7").select(F.col("embedding").alias("target"))
@@ -276,6 +280,18 @@ def knn_by_doc_threshold(spark, sf):
     return retrieval.top(found, 5).select("id", F.round("score", 6).alias("score"), "text")
 
 
+@query(_NEAREST)
+def knn_by_pivots(spark, sf):
+    """The same from chunks stored by their angle to pivots; the first call of a session stores them."""
+    path, chunks = f"{workspace(spark)}/pivots-{zlib.crc32(sf.encode()):08x}", _chunks(spark, sf)
+    try:
+        index = pivots.Pivoted.open(spark, path)
+    except AnalysisException:  # no such folder
+        index = pivots.Pivoted.write(chunks, path)
+    target = chunks.where("chunk_index = 7").first()["embedding"]
+    return index.search(target, 5)[0].select("id", F.round("score", 6).alias("score"), "text")
+
+
 @query("SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: abs(x))) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS l1 FROM embeddings")
 def l2_normalize(spark, sf):
     rows = _read(spark, sf, "embeddings").select("vec_id", v.l2_normalize(F.col("embedding")).alias("u"))
