@@ -12,8 +12,9 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import query as q
@@ -26,6 +27,8 @@ RRF = 60
 LEAST_SIMILARITY = 0.1
 #: Postings, and places in them, up to which the rarest word of a phrase is broadcast.
 PHRASE_ROWS, PHRASE_PLACES = 20_000, 500_000
+#: Words (or characters) that are grouped at once in a task's Python; a document's own are never split.
+PIECE = 250_000
 
 
 def postings(files: DataFrame) -> DataFrame:
@@ -35,11 +38,22 @@ def postings(files: DataFrame) -> DataFrame:
     return rows.groupBy("term", "id", "col").agg(F.sort_array(F.collect_list("p")).alias("positions"))
 
 
+def pieces(batch: pa.RecordBatch, *sized: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about PIECE words, so that memory doesn't grow with the documents of a batch. sized: its columns of lists."""
+    ends = np.cumsum(sum(pc.coalesce(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in sized))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + PIECE, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def posting_rows(files: DataFrame) -> DataFrame:
     """The same rows, to be stored: a document's words are grouped where it is read, so no token is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, 1, 2)):
             for col in (0, 1):
                 lists = batch.column(col + 1)
                 sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -62,14 +76,31 @@ def doc_lengths(files: DataFrame) -> DataFrame:
     return files.select("id", (F.size(tokens(F.col("filename"))) + F.size(tokens(F.col("body")))).cast("long").alias("length"))
 
 
+def staged(rows: DataFrame, path: str) -> DataFrame:
+    """The rows from a table at path: an order by ranges reads its input twice, once for their bounds, and what is dear to make is made once so."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def stored_postings(rows: DataFrame) -> DataFrame:
+    """By term and id: the postings of a word that most documents have are spread over several tasks."""
+    return rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+
+
 def write_index(files: DataFrame, path: str) -> None:
     """Postings in order of terms, and lengths, as tables below path."""
-    # By term and id: the postings of a word that most documents have are spread over several tasks.
-    posting_rows(files).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    made = f"{path}/made"
+    stored_postings(staged(posting_rows(files), made)).write.mode("overwrite").parquet(f"{path}/postings")
+    remove(files.sparkSession, made)
     doc_lengths(files).write.mode("overwrite").parquet(f"{path}/lengths")
     fingerprint(files).write.mode("overwrite").parquet(f"{path}/fingerprint")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fingerprint(files: DataFrame) -> DataFrame:
     """One row that tells tables of files apart: by their id, path, time and size where there are a time and a size, else by their texts."""
     told = ("id", "path", "filename", "mtime", "size") if {"mtime", "size"} <= set(files.columns) else ("id", "path", "filename", "body")
