@@ -2,7 +2,8 @@
 
 A document that has the query has all its trigrams. The rarest of them are intersected, starting from the rarest, and only the documents that are
 left are read and compared. Postings are stored in order of trigrams and texts in order of ids, so row groups of other trigrams and ids are
-skipped. Documents and scores are those of ``retrieval.infix``, which scans."""
+skipped. A trigram's row has a list of documents, as many as a piece of the table has, so there are far fewer rows to sort than
+trigrams of documents. Documents and scores are those of ``retrieval.infix``, which scans."""
 
 from __future__ import annotations
 
@@ -21,8 +22,10 @@ from . import retrieval
 RAREST = 4
 #: Postings of the rarest trigram up to which its documents are broadcast; documents up to which the scan of texts is given their ids.
 BROADCAST_IDS, NAMED_IDS = 20_000, 200
-#: Rows that leave a task's Python together; a document's own are never split.
-BATCH = 100_000
+#: Rows that are put into lists together in a task's Python; a document's own are never split.
+BATCH = 1_000_000
+#: How trigrams are stored.
+LISTS = "gram string, ids array<long>"
 
 
 def texts(files: DataFrame) -> DataFrame:
@@ -32,46 +35,82 @@ def texts(files: DataFrame) -> DataFrame:
     return rows.select(F.col("id").cast("long").alias("id"), "filename_tr", "body_tr", (grams("filename_tr") + grams("body_tr")).cast("long").alias("length"))
 
 
-def gram_rows(texts: DataFrame) -> DataFrame:
-    """gram, id: one row for each of a document's different trigrams, made where the document is read."""
+def gram_lists(texts: DataFrame) -> DataFrame:
+    """gram, ids: for each trigram the documents of a piece of the table that have it, in order; made where the texts are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: list[str] = []
-        ids: list[int] = []
-        sizes: list[int] = []
+        made: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys = np.unique(np.concatenate([_keys(batch.column(c)[i].as_py()) for c in (1, 2)]))
+                made.append(keys)
+                owners.append(np.full(len(keys), batch.column(0)[i].as_py(), dtype=np.int64))
+                size += len(keys)
+                if size >= BATCH:
+                    yield _listed(np.concatenate(made), np.concatenate(owners))
+                    made.clear(), owners.clear()
+                    size = 0
+        if size:
+            yield _listed(np.concatenate(made), np.concatenate(owners))
+
+    return texts.select("id", "filename_tr", "body_tr").mapInArrow(run, LISTS)
+
+
+def _keys(text: str) -> np.ndarray:
+    """Each three characters in a row as one number of 63 bits."""
+    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    return points[:-2] << 42 | points[1:-1] << 21 | points[2:]
+
 
-        def out() -> pa.RecordBatch:
-            owners = np.repeat(np.array(ids, dtype=np.int64), np.array(sizes, dtype=np.int64))
-            batch = pa.RecordBatch.from_arrays([pa.array(made, pa.string()), pa.array(owners)], names=["gram", "id"])
-            made.clear(), ids.clear(), sizes.clear()
-            return batch
+def _listed(keys: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((owners, keys))
+    keys, owners = keys[order], owners[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    grams = [chr(k >> 42) + chr(k >> 21 & 0x1FFFFF) + chr(k & 0x1FFFFF) for k in keys[first].tolist()]
+    ids = pa.ListArray.from_arrays(pa.array(np.append(first, len(keys)).astype(np.int32)), pa.array(owners))
+    return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), ids], names=["gram", "ids"])
 
+
+def packed(rows: DataFrame) -> DataFrame:
+    """gram, ids of rows(gram, id): those that stand together in a task share a list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                name, body = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
-                found = {body[k : k + 3] for k in range(len(body) - 2)}
-                found.update(name[k : k + 3] for k in range(len(name) - 2))
-                made.extend(found)
-                ids.append(batch.column(0)[i].as_py())
-                sizes.append(len(found))
-                if len(made) >= BATCH:
-                    yield out()
-        yield out()
+            if batch.num_rows:
+                grams = batch.column(0).dictionary_encode()
+                codes, ids = grams.indices.to_numpy(), batch.column(1).to_numpy()
+                order = np.lexsort((ids, codes))
+                codes, ids = codes[order], ids[order]
+                first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([grams.dictionary.take(pa.array(codes[first])), lists], names=["gram", "ids"])
+
+    return rows.select("gram", "id").mapInArrow(run, LISTS)
+
 
-    return texts.select("id", "filename_tr", "body_tr").mapInArrow(run, "gram string, id long")
+def gram_rows(lists: DataFrame) -> DataFrame:
+    """gram, id of lists: one row for each of a document's different trigrams. A filter on gram is one of the lists'."""
+    return lists.select("gram", F.explode("ids").alias("id"))
 
 
-def stored_grams(rows: DataFrame) -> DataFrame:
-    return rows.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id")
+def stored_grams(lists: DataFrame) -> DataFrame:
+    """By gram and first id: the lists of a trigram that most documents have are spread over several tasks."""
+    order = ("gram", F.col("ids")[0])
+    return lists.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def stored_texts(rows: DataFrame) -> DataFrame:
-    return rows.repartitionByRange("id").sortWithinPartitions("id")
+def stored_order(files: DataFrame) -> DataFrame:
+    """In order of ids, before texts are normalised: the order's bounds are then taken from rows that cost nothing to make."""
+    return files.repartitionByRange("id").sortWithinPartitions("id")
 
 
 def write_index(files: DataFrame, path: str) -> None:
-    stored_texts(texts(files)).write.mode("overwrite").parquet(f"{path}/texts")
-    stored_grams(gram_rows(files.sparkSession.read.parquet(f"{path}/texts"))).write.mode("overwrite").parquet(f"{path}/grams")
+    spark, made = files.sparkSession, f"{path}/made"
+    texts(stored_order(files)).write.mode("overwrite").parquet(f"{path}/texts")
+    stored_grams(retrieval.staged(gram_lists(spark.read.parquet(f"{path}/texts")), made)).write.mode("overwrite").parquet(f"{path}/grams")
+    retrieval.remove(spark, made)
     retrieval.fingerprint(files).write.mode("overwrite").parquet(f"{path}/fingerprint")
 
 
@@ -84,7 +123,7 @@ def open_index(files: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
         whole = False
     if not whole:
         write_index(files, path)
-    return spark.read.parquet(f"{path}/grams"), spark.read.parquet(f"{path}/texts")
+    return gram_rows(spark.read.parquet(f"{path}/grams")), spark.read.parquet(f"{path}/texts")
 
 
 def _among(ids: list[int]) -> Column:

@@ -42,22 +42,26 @@ STORED = {
 #: Tables of the indexes; how rows are laid out where that matters.
 INDEX = ("postings", "lengths", "grams", "texts")
 LAYOUT = {
-    "postings": lambda rows: rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id"),
+    "postings": retrieval.stored_postings,
     "grams": trigram.stored_grams,
-    "texts": trigram.stored_texts,
+    "texts": trigram.stored_order,
 }
 #: Keys of later segments up to which they are broadcast.
-BROADCAST_KEYS = 20_000
+BROADCAST_KEYS = 1_000_000
 #: Segments of a table from which it is merged.
 SEGMENTS = 8
 
 
 @dataclass(frozen=True)
 class Change:
-    """rows: new ones. keys: of the rows that go; the keys of new rows are always among them."""
+    """rows: new ones. keys: of the rows that go; the keys of new rows are always among them, and needn't be looked for if they are covered.
+    made: the rows cost more to make than to write, so they are made once and put in order after it. placed: they are in order."""
 
     rows: DataFrame | None = None
     keys: DataFrame | None = None
+    covered: bool = False
+    made: bool = False
+    placed: bool = False
 
 
 class Store:
@@ -84,13 +88,17 @@ class Store:
     def _read(self, folder: str, what: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}/{what}")
 
+    def _rows(self, segment: dict, schema: str) -> DataFrame:
+        """A segment's rows; those of trigrams stand in lists."""
+        return trigram.gram_rows(self._read(segment["path"], "rows", trigram.LISTS)) if segment.get("lists") else self._read(segment["path"], "rows", schema)
+
     def _live(self, name: str, segments: list[dict]) -> DataFrame:
         schema, key = STORED[name]
         having = [(i, s) for i, s in enumerate(segments) if s["rows"]]
         if not having:
             return self.spark.createDataFrame([], schema)
         # One scan of all segments of an age: a name for each folder costs the plan nothing but its place in the order.
-        rows = [self._read(s["path"], "rows", schema).withColumn("_segment", F.lit(i)) for i, s in having]
+        rows = [self._rows(s, schema).withColumn("_segment", F.lit(i)) for i, s in having]
         out = rows[0]
         for more in rows[1:]:
             out = out.unionByName(more)
@@ -126,24 +134,31 @@ class Store:
         columns = [c.split()[0] for c in schema.split(", ")]
         n, out = {"rows": 0, "keys": 0}, f"{folder}/{name}"
         if change.rows is not None:
-            rows = change.rows.select(*[F.col(c).cast(t).alias(c) for c, t in (c.split(" ", 1) for c in schema.split(", "))]).select(*columns)
+            if name == "grams":
+                rows, n["lists"] = change.rows if "ids" in change.rows.columns else trigram.packed(change.rows), True
+            else:
+                rows = change.rows.select(*[F.col(c).cast(t).alias(c) for c, t in (c.split(" ", 1) for c in schema.split(", "))]).select(*columns)
             if name == "files":
                 rows = tables.checked_status(rows)
-            rows = LAYOUT[name](rows) if name in LAYOUT else rows
-            n["rows"] = self._put(rows, f"{out}/rows")
+            rows = retrieval.staged(rows, f"{self.path}/{out}/made") if change.made else rows
+            rows = LAYOUT[name](rows) if name in LAYOUT and not change.placed else rows
+            n["rows"] = self._put(rows, f"{out}/rows", F.sum(F.size("ids")) if name == "grams" else F.count(F.lit(1)))
+            if change.made:
+                self._log.delete(f"{self.path}/{out}/made")
         keys = change.keys.select(F.col(change.keys.columns[0]).alias(key)) if change.keys is not None else None
-        if n["rows"]:
+        # Before a table's first segment there is nothing that its keys could replace.
+        if n["rows"] and not change.covered and self.state.get(name):
             own = self._read(out, "rows", schema).select(key)
             keys = own if keys is None else keys.unionByName(own)
         if keys is not None:
             n["keys"] = self._put(keys.where(F.col(key).isNotNull()).distinct(), f"{out}/keys")
         return {"path": out, **n}
 
-    def _put(self, rows: DataFrame, folder: str) -> int:
+    def _put(self, rows: DataFrame, folder: str, number: Column | None = None) -> int:
         """Write rows; how many they were is observed on the way."""
         seen = Observation()
-        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/{folder}")
-        return seen.get["n"]
+        rows.observe(seen, (F.count(F.lit(1)) if number is None else number).alias("n")).write.parquet(f"{self.path}/{folder}")
+        return seen.get["n"] or 0
 
     def _publish(self, segments: dict[str, list[dict]], batch: tuple[str, int] | None = None) -> Store:
         """The next state: these tables have these segments, the others stay as they are. batch: of a stream, which is noted in it."""
@@ -181,13 +196,14 @@ class Store:
         chunks = chunks(docs) if callable(chunks) else chunks
         known = self.table("metadata").join(ids.select(F.col("id").alias("file_id")), "file_id", "left_semi")
         merged = tables.coalesce_merge(known, new, "file_id", list(tables.METADATA)).join(docs.select(F.col("id").alias("file_id")), "file_id", "left_semi")
+        grams = lambda: trigram.gram_lists(self._read(f"{folder}/texts", "rows", STORED["texts"][0]))  # noqa: E731 - from the texts that are written then
         changes = {
-            "postings": Change(retrieval.posting_rows(docs), ids), "lengths": Change(lengths, ids), "metadata": Change(merged, ids),
-            "chunks": Change(chunks, stale), "grams": Change(trigram.gram_rows(trigram.texts(docs)), ids), "texts": Change(trigram.texts(docs), ids),
+            "postings": Change(retrieval.posting_rows(docs), ids, covered=True, made=True), "lengths": Change(lengths, ids, covered=True), "metadata": Change(merged, ids, covered=True),
+            "chunks": Change(chunks, stale), "texts": Change(trigram.texts(trigram.stored_order(docs)), ids, covered=True, placed=True), "grams": lambda: Change(grams(), ids, covered=True, made=True),
         }
         out = {"files": [*self.state.get("files", []), made]}
         for name, change in changes.items():
-            segment = self._write(name, change, folder)
+            segment = self._write(name, change() if callable(change) else change, folder)
             if segment["rows"] or segment["keys"]:
                 out[name] = [*self.state.get(name, []), segment]
         return self._publish(out, batch).merge()
@@ -286,7 +302,7 @@ class Store:
                 size += segments[start]["rows"] + segments[start]["keys"]
             part, key = segments[start:], STORED[name][1]
             gone = self._keys(name, list(enumerate(part))) if start else None  # nothing is older than the first segment
-            made = self._write(name, Change(self._live(name, part), None if gone is None else gone.select(key)), folder)
+            made = self._write(name, Change(self._live(name, part), None if gone is None else gone.select(key), covered=True, made=name == "grams"), folder)
             new[name] = [*segments[:start], made] if made["rows"] or made["keys"] else segments[:start]
         return self._publish(new) if new else self
 
