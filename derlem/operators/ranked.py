@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import query as q
 from ..functions.text import tokens
-from .retrieval import K1, LEAST_IDF, B, doc_lengths, fingerprint, top, word_filter
+from .retrieval import K1, LEAST_IDF, B, fingerprint, pieces, remove, staged, top, word_filter
 
 #: Documents of a block, on average; block numbers up to which they are broadcast.
 BLOCK, BROADCAST_BLOCKS = 128, 200_000
@@ -28,7 +28,7 @@ def term_rows(files: DataFrame, blocks: int) -> DataFrame:
     """term, block, id, f, length: how often a document has each of its words, in name and body together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, 2)):
             lists = batch.column(2)
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             words = lists.flatten().dictionary_encode()
@@ -53,13 +53,15 @@ class Ranked:
     @classmethod
     def write(cls, files: DataFrame, path: str, block: int = BLOCK) -> Ranked:
         spark, order = files.sparkSession, ("term", "block")
-        totals = doc_lengths(files).agg(F.count("*").alias("docs"), F.avg("length").alias("mean")).join(fingerprint(files))  # one row each
-        totals.write.mode("overwrite").parquet(f"{path}/totals")
-        docs = spark.read.parquet(f"{path}/totals").first()["docs"]
-        rows = term_rows(files, max(1, math.ceil(docs / block)))
+        known = fingerprint(files).first()  # one row
+        rows = staged(term_rows(files, max(1, math.ceil(known["n"] / block))), f"{path}/made")
+        # Words are taken from the texts once; the table of totals, which tells that the index is whole, is written last.
+        mean = rows.agg(F.sum("f").cast("double").alias("words")).select(F.try_divide(F.coalesce("words", F.lit(0.0)), F.lit(known["n"])).alias("mean"))
         rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/rows")
         cells = spark.read.parquet(f"{path}/rows").groupBy(*order).agg(F.max("f").alias("f"), F.min("length").alias("length"), F.count("*").alias("docs"))
         cells.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/blocks")
+        mean.select(F.lit(known["n"]).alias("docs"), "mean", F.lit(known["n"]).alias("n"), F.lit(known["hashes"]).alias("hashes")).write.mode("overwrite").parquet(f"{path}/totals")
+        remove(spark, f"{path}/made")
         return cls._read(spark, path)
 
     @classmethod
