@@ -6,7 +6,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,12 +58,33 @@ def hash_vector(words: list[str], dimensions: int) -> np.ndarray:
     return (out / norm if norm else out).astype(np.float32)
 
 
+#: Words that are hashed at once in a task's Python.
+PIECE = 250_000
+
+
+def hash_vectors(lists: pa.Array, dimensions: int) -> pa.Array:
+    """hash_vector of each list of words; no word becomes an object but the different ones of some lists at a time."""
+    sizes = pc.coalesce(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, out, start = np.cumsum(sizes), [np.zeros((0, dimensions), dtype=np.float32)], 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PIECE, side="right")))
+        words = lists.slice(start, stop - start).flatten().dictionary_encode()
+        hashes = np.array([zlib.crc32(w.encode()) for w in words.dictionary.to_pylist()], dtype=np.int64)[words.indices.to_numpy()] if len(words) else np.zeros(0, dtype=np.int64)
+        cell = np.repeat(np.arange(stop - start), sizes[start:stop]) * dimensions + hashes % dimensions
+        sums = np.bincount(cell, np.where(hashes >> 31, 1.0, -1.0), (stop - start) * dimensions).reshape(-1, dimensions)
+        norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        out.append((sums / np.where(norms > 0, norms, 1)).astype(np.float32))
+        start = stop
+    values = np.concatenate(out)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * dimensions), pa.array(values.reshape(-1)))
+
+
 def hashing_embedder(dimensions: int = 384):
     """A deterministic stand-in for a model: signed counts of hashed tokens, normalised. array<string> -> array<float>."""
 
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for words in batches:
-            yield words.map(lambda w: hash_vector(list(w) if w is not None else [], dimensions))
+    @F.arrow_udf("array<float>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            yield hash_vectors(lists, dimensions)
 
     return embed
