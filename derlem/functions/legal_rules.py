@@ -40,6 +40,8 @@ CASE_LABELS = (
     ("BASVURU", rf"(?:dosya|başvuru)[ \t]*no\.?[ \t]*[:.\-]?[ \t]*(\d{{4}})[ \t]*[./ ][ \t]*e[ \t]*\.?[ \t]*{_SEQ}"),
     ("BASVURU", r"başvuru[ \t\r\n]+tarihi[ \t\r\n]+ve[ \t\r\n]+sayısı[ \t\r\n]*:?[ \t\r\n]*(?:\d{2}[./]\d{2}[./]\d{4}[ \t]*[-–][ \t]*)?(\d{4})[ \t]*\.?[ \t]*e\.?[ \t]*(\d{1,7})"),
 )
+#: Words of which a text that matches the label's pattern has one, in the same order; texts without any needn't be tried.
+CASE_WORDS = (("esas", "dosya"), ("soruşturma",), ("değişik",), ("takip",), ("no",), ("soruşturma",), ("değişik",), ("takip",), ("başvuru",), ("dosya", "başvuru"), ("başvuru",))
 
 #: The same for the header's number line, looked for in the first 3000 characters.
 CASE_HEADERS = (

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,8 +69,10 @@ def case(low: Column, zone: Column) -> Column:
     """struct<number, kind> of the first case number, of those that begin a line if there are any. low: a column of ``references``, zone: its
     first 3000 characters; both are used often and must be columns of the table, not expressions."""
 
-    def candidates(where: Column, pattern: str, kind: str, order: int, structural, valid=None) -> Column:
-        rows = F.transform(find_all(where, pattern), lambda m: F.struct(
+    def candidates(where: Column, pattern: str, words: tuple[str, ...], kind: str, order: int, structural, valid=None) -> Column:
+        may = reduce(operator.or_, [F.contains(where, F.lit(w)) for w in words])
+        found = F.when(may, find_all(where, pattern)).otherwise(F.array().cast("array<struct<at:int,value:string>>"))
+        rows = F.transform(found, lambda m: F.struct(
             (~structural(m)).alias("loose"), m["at"].alias("at"), F.lit(order).alias("order"), F.lit(kind).alias("kind"),
             F.regexp_extract(m["value"], pattern, 1).try_cast("int").alias("year"),
             F.regexp_replace(F.regexp_extract(m["value"], pattern, 2), r"[ \t]", "").try_cast("int").alias("seq"),
@@ -79,9 +83,9 @@ def case(low: Column, zone: Column) -> Column:
     before = lambda m: F.substring_index(F.substring(zone, F.greatest(F.lit(1), m["at"] - 44), F.least(F.lit(45), m["at"])), "\n", -1)
     tail = lambda m: F.substring(zone, m["at"] + F.length(m["value"]) + 1, F.lit(60))
     bare = lambda m: ~before(m).rlike(r.AUTHORITY_BEFORE) & ~tail(m).rlike(r.CITATION_TAIL) & F.substring(zone, m["at"], F.lit(1)).isin(" ", "\t")
-    parts = [candidates(low, p, kind, i, line) for i, (kind, p) in enumerate(r.CASE_LABELS)]
-    parts += [candidates(zone, p, kind, 20 + i, lambda m: F.lit(True)) for i, (kind, p) in enumerate(r.CASE_HEADERS)]
-    parts.append(candidates(zone, r.CASE_BARE, "ESAS", 30, lambda m: F.lit(False), bare))
+    parts = [candidates(low, p, r.CASE_WORDS[i], kind, i, line) for i, (kind, p) in enumerate(r.CASE_LABELS)]
+    parts += [candidates(zone, p, ("sayı",), kind, 20 + i, lambda m: F.lit(True)) for i, (kind, p) in enumerate(r.CASE_HEADERS)]
+    parts.append(candidates(zone, r.CASE_BARE, ("esas",), "ESAS", 30, lambda m: F.lit(False), bare))
     best = F.array_min(F.flatten(F.array(*parts)))
     return bind(best, lambda b: F.when(b.isNotNull(), F.struct(F.concat_ws("/", b["year"], b["seq"]).alias("number"), b["kind"].alias("kind"))))
 

@@ -72,3 +72,14 @@ def test_every_title_names_its_type(spark):
 
     got = _one(spark, [f"metin\n{title.replace('i', 'İ').replace('ı', 'I').upper()} !\nson" for title, _ in TITLES])
     assert [got[i].document_type for i in range(len(TITLES))] == [kind for _, kind in TITLES]
+
+
+def test_patterns_are_tried_where_their_words_stand(spark):
+    """Each label has words that its pattern can't match without, and a text without them isn't searched for it."""
+    from derlem.functions import legal_rules as r
+
+    assert len(r.CASE_WORDS) == len(r.CASE_LABELS)
+    for words, (_, pattern) in zip(r.CASE_WORDS, r.CASE_LABELS, strict=True):
+        assert all(w in pattern for w in words)
+    got = _one(spark, ["DOSYA: 2020/1", "E. No: 2022/7", "Başvuru No: 2024 . E . 12", "SAYI: 2021/5 TAKİP", "dava 2019/3 ESAS", "dava 2019/3"])
+    assert [(got[i].case_number, got[i].case_kind) for i in range(6)] == [("2020/1", "ESAS"), ("2022/7", "ESAS"), ("2024/12", "BASVURU"), ("2021/5", "TAKIP"), ("2019/3", "ESAS"), (None, None)]
