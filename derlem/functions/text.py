@@ -65,7 +65,8 @@ def tokens(x: Column) -> Column:
 
 
 def collapse_spaces(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), r"^ | $", "")
+    # Single blanks, which most are, stay as they are instead of being replaced by themselves.
+    return F.trim(F.regexp_replace(x, r"(?U) \s+|[^\S ]\s*", " "))
 
 
 def clean_text(x: Column) -> Column:

@@ -29,6 +29,14 @@ LEAST_SIMILARITY = 0.1
 PHRASE_ROWS, PHRASE_PLACES = 20_000, 500_000
 #: Words (or characters) that are grouped at once in a task's Python; a document's own are never split.
 PIECE = 250_000
+#: The same for words that are put into lists.
+LISTED = 1_000_000
+#: How a store has its postings: a term's row has those of several documents.
+LISTS = "term string, rows array<struct<id:bigint,col:int,positions:array<int>>>"
+#: What a document's text is known by later: how many words, and a digest that is given.
+TOLD = "array<struct<id:bigint,length:bigint,digest:bigint>>"
+_ROW = pa.struct([("id", pa.int64()), ("col", pa.int32()), ("positions", pa.list_(pa.int32()))])
+_TOLD = pa.list_(pa.struct([("id", pa.int64()), ("length", pa.int64()), ("digest", pa.int64())]))
 
 
 def postings(files: DataFrame) -> DataFrame:
@@ -38,13 +46,14 @@ def postings(files: DataFrame) -> DataFrame:
     return rows.groupBy("term", "id", "col").agg(F.sort_array(F.collect_list("p")).alias("positions"))
 
 
-def pieces(batch: pa.RecordBatch, *sized: int) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about PIECE words, so that memory doesn't grow with the documents of a batch. sized: its columns of lists."""
+def pieces(batch: pa.RecordBatch, *sized: int, words: int | None = None) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about PIECE (or so many) words, so that memory doesn't grow with the documents of a batch. sized: its columns of lists."""
+    words = PIECE if words is None else words
     ends = np.cumsum(sum(pc.coalesce(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in sized))
     start = 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + PIECE, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, before + words, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -72,6 +81,75 @@ def posting_rows(files: DataFrame) -> DataFrame:
     return words.mapInArrow(run, "term string, id long, col int, positions array<int>")
 
 
+def _starts(key: np.ndarray) -> np.ndarray:
+    """Where a value of a sorted array stands first."""
+    return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
+
+
+def _lists(terms: pa.Array, codes: np.ndarray, rows: pa.StructArray) -> tuple[pa.Array, pa.Array]:
+    """(terms, their lists of rows) of rows in order of codes."""
+    first = _starts(codes)
+    return terms.take(pa.array(codes[first])), pa.ListArray.from_arrays(pa.array(np.append(first, len(codes)).astype(np.int32)), rows)
+
+
+def posting_lists(files: DataFrame) -> DataFrame:
+    """term, rows, told: the same postings of files(id, filename, body, digest) as lists, those of a piece of the table in each, so there are far
+    fewer rows to sort. A row without a term has what is told of the piece's documents, so no text is taken to words twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["term", "rows", "told"]
+        for batch in (part for whole in batches for part in pieces(whole, 2, 3, words=LISTED)):
+            n, ids = batch.num_rows, batch.column(0)
+            rank = np.empty(n, dtype=np.int64)
+            rank[pc.array_sort_indices(ids).to_numpy()] = np.arange(n)
+            sizes = [batch.column(c).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3)]
+            told = pa.StructArray.from_arrays([ids, pa.array(sizes[0] + sizes[1]), batch.column(1)], fields=list(_TOLD.value_type))
+            ends = pa.array([0, n], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.list_(_ROW)), pa.ListArray.from_arrays(ends, told)], names=names)
+            words = pa.concat_arrays([batch.column(c).flatten() for c in (2, 3)]).dictionary_encode()
+            doc = np.concatenate([np.repeat(np.arange(n), s) for s in sizes])
+            place = np.concatenate([np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s) for s in sizes])
+            col = np.repeat([0, 1], [s.sum() for s in sizes])
+            key = (words.indices.to_numpy().astype(np.int64) * n + rank[doc]) * 2 + col
+            order = np.argsort(key, kind="stable")  # places stay in order
+            key = key[order]
+            first = _starts(key)
+            positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+            rows = pa.StructArray.from_arrays([ids.take(pa.array(doc[order[first]])), pa.array((key[first] % 2).astype(np.int32)), positions], fields=list(_ROW))
+            terms, lists = _lists(words.dictionary, key[first] // (2 * n), rows)
+            yield pa.RecordBatch.from_arrays([terms, lists, pa.nulls(len(terms), _TOLD)], names=names)
+
+    words = files.select(F.col("id").cast("long").alias("id"), "digest", tokens(F.col("filename")).alias("name"), tokens(F.col("body")).alias("body"))
+    return words.mapInArrow(run, f"{LISTS}, told {TOLD}")
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """term, rows of postings: those that stand together in a task share a list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                terms = batch.column(0).dictionary_encode()
+                codes = terms.indices.to_numpy()
+                order = np.lexsort((batch.column(2).to_numpy(), pc.fill_null(batch.column(1), 0).to_numpy(), codes))
+                part = batch.take(pa.array(order))
+                lists = _lists(terms.dictionary, codes[order], pa.StructArray.from_arrays([part.column(c) for c in (1, 2, 3)], fields=list(_ROW)))
+                yield pa.RecordBatch.from_arrays(list(lists), names=["term", "rows"])
+
+    return rows.select("term", "id", "col", "positions").mapInArrow(run, LISTS)
+
+
+def list_rows(lists: DataFrame) -> DataFrame:
+    """term, id, col, positions of lists. A filter on term is one of the lists'."""
+    return lists.select("term", F.inline("rows"))
+
+
+def stored_lists(lists: DataFrame) -> DataFrame:
+    """By term and first id: the lists of a word that most documents have are spread over several tasks."""
+    order = ("term", F.col("rows")[0]["id"])
+    return lists.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def doc_lengths(files: DataFrame) -> DataFrame:
     return files.select("id", (F.size(tokens(F.col("filename"))) + F.size(tokens(F.col("body")))).cast("long").alias("length"))
 

@@ -42,10 +42,13 @@ STORED = {
 #: Tables of the indexes; how rows are laid out where that matters.
 INDEX = ("postings", "lengths", "grams", "texts")
 LAYOUT = {
-    "postings": retrieval.stored_postings,
+    "files": lambda rows: rows.repartition("path"),  # what is made from texts is made by as many tasks as there are, whatever they come in
+    "postings": retrieval.stored_lists,
     "grams": trigram.stored_grams,
     "texts": trigram.stored_order,
 }
+#: Tables whose rows stand in lists -> how lists are stored, made of rows and read as rows.
+LISTED = {"postings": (retrieval.LISTS, retrieval.packed, retrieval.list_rows, "rows"), "grams": (trigram.LISTS, trigram.packed, trigram.gram_rows, "ids")}
 #: Keys of later segments up to which they are broadcast.
 BROADCAST_KEYS = 1_000_000
 #: Segments of a table from which it is merged.
@@ -88,9 +91,12 @@ class Store:
     def _read(self, folder: str, what: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}/{what}")
 
-    def _rows(self, segment: dict, schema: str) -> DataFrame:
-        """A segment's rows; those of trigrams stand in lists."""
-        return trigram.gram_rows(self._read(segment["path"], "rows", trigram.LISTS)) if segment.get("lists") else self._read(segment["path"], "rows", schema)
+    def _rows(self, name: str, segment: dict) -> DataFrame:
+        """A segment's rows; those of the indexes stand in lists."""
+        if segment.get("lists"):
+            schema, _, unpacked, _ = LISTED[name]
+            return unpacked(self._read(segment["path"], "rows", schema))
+        return self._read(segment["path"], "rows", STORED[name][0])
 
     def _live(self, name: str, segments: list[dict]) -> DataFrame:
         schema, key = STORED[name]
@@ -98,7 +104,7 @@ class Store:
         if not having:
             return self.spark.createDataFrame([], schema)
         # One scan of all segments of an age: a name for each folder costs the plan nothing but its place in the order.
-        rows = [self._rows(s, schema).withColumn("_segment", F.lit(i)) for i, s in having]
+        rows = [self._rows(name, s).withColumn("_segment", F.lit(i)) for i, s in having]
         out = rows[0]
         for more in rows[1:]:
             out = out.unionByName(more)
@@ -134,30 +140,33 @@ class Store:
         columns = [c.split()[0] for c in schema.split(", ")]
         n, out = {"rows": 0, "keys": 0}, f"{folder}/{name}"
         if change.rows is not None:
-            if name == "grams":
-                rows, n["lists"] = change.rows if "ids" in change.rows.columns else trigram.packed(change.rows), True
+            number = F.count(F.lit(1))
+            if name in LISTED:
+                _, packed, _, lists = LISTED[name]
+                rows, n["lists"], number = change.rows if lists in change.rows.columns else packed(change.rows), True, F.sum(F.size(lists))
             else:
                 rows = change.rows.select(*[F.col(c).cast(t).alias(c) for c, t in (c.split(" ", 1) for c in schema.split(", "))]).select(*columns)
             if name == "files":
                 rows = tables.checked_status(rows)
             rows = retrieval.staged(rows, f"{self.path}/{out}/made") if change.made else rows
             rows = LAYOUT[name](rows) if name in LAYOUT and not change.placed else rows
-            n["rows"] = self._put(rows, f"{out}/rows", F.sum(F.size("ids")) if name == "grams" else F.count(F.lit(1)))
+            n["rows"] = self._put(rows, f"{out}/rows", number)
             if change.made:
                 self._log.delete(f"{self.path}/{out}/made")
-        keys = change.keys.select(F.col(change.keys.columns[0]).alias(key)) if change.keys is not None else None
         # Before a table's first segment there is nothing that its keys could replace.
-        if n["rows"] and not change.covered and self.state.get(name):
-            own = self._read(out, "rows", schema).select(key)
+        older = self.state.get(name)
+        keys = change.keys.select(F.col(change.keys.columns[0]).alias(key)) if change.keys is not None and older else None
+        if n["rows"] and not change.covered and older:
+            own = self._rows(name, {"path": out, **n}).select(key)
             keys = own if keys is None else keys.unionByName(own)
         if keys is not None:
-            n["keys"] = self._put(keys.where(F.col(key).isNotNull()).distinct(), f"{out}/keys")
+            n["keys"] = self._put(keys.where(F.col(key).isNotNull()).distinct(), f"{out}/keys", F.count(F.lit(1)))
         return {"path": out, **n}
 
-    def _put(self, rows: DataFrame, folder: str, number: Column | None = None) -> int:
+    def _put(self, rows: DataFrame, folder: str, number: Column) -> int:
         """Write rows; how many they were is observed on the way."""
         seen = Observation()
-        rows.observe(seen, (F.count(F.lit(1)) if number is None else number).alias("n")).write.parquet(f"{self.path}/{folder}")
+        rows.observe(seen, number.alias("n")).write.parquet(f"{self.path}/{folder}")
         return seen.get["n"] or 0
 
     def _publish(self, segments: dict[str, list[dict]], batch: tuple[str, int] | None = None) -> Store:
@@ -188,8 +197,11 @@ class Store:
         docs = self._read(made["path"], "rows", STORED["files"][0])  # written once, read by all that follows
         before = self.table("files").join(docs.select("path"), "path", "left_semi").select("id")
         ids = before.union(docs.select("id"))
-        ids = (ids if gone is None else ids.union(gone.select("id"))).distinct()
-        lengths = retrieval.doc_lengths(docs).join(docs.select("id", F.xxhash64(F.coalesce("body", F.lit(""))).alias("digest")), "id")
+        ids = retrieval.staged((ids if gone is None else ids.union(gone.select("id"))).distinct(), f"{self.path}/{folder}/ids")
+        # Texts are taken to words once, for postings and lengths.
+        told = docs.withColumn("digest", F.xxhash64(F.coalesce("body", F.lit(""))))
+        words = retrieval.staged(retrieval.posting_lists(told), f"{self.path}/{folder}/words")
+        lengths = words.where("told is not null").select(F.inline("told")).where("id is not null")
         old = self.table("lengths").select("id", F.col("digest").alias("_old"))
         stale = ids.join(lengths.select("id", "digest"), "id", "left").join(old, "id", "left").where("digest is null or _old is null or digest <> _old").select("id")
         new = metadata if metadata is not None else lib.metadata_rows(docs)
@@ -198,7 +210,7 @@ class Store:
         merged = tables.coalesce_merge(known, new, "file_id", list(tables.METADATA)).join(docs.select(F.col("id").alias("file_id")), "file_id", "left_semi")
         grams = lambda: trigram.gram_lists(self._read(f"{folder}/texts", "rows", STORED["texts"][0]))  # noqa: E731 - from the texts that are written then
         changes = {
-            "postings": Change(retrieval.posting_rows(docs), ids, covered=True, made=True), "lengths": Change(lengths, ids, covered=True), "metadata": Change(merged, ids, covered=True),
+            "postings": Change(words.where("term is not null").select("term", "rows"), ids, covered=True), "lengths": Change(lengths, ids, covered=True), "metadata": Change(merged, ids, covered=True),
             "chunks": Change(chunks, stale), "texts": Change(trigram.texts(trigram.stored_order(docs)), ids, covered=True, placed=True), "grams": lambda: Change(grams(), ids, covered=True, made=True),
         }
         out = {"files": [*self.state.get("files", []), made]}
@@ -206,6 +218,8 @@ class Store:
             segment = self._write(name, change() if callable(change) else change, folder)
             if segment["rows"] or segment["keys"]:
                 out[name] = [*self.state.get(name, []), segment]
+        for what in ("words", "ids"):
+            self._log.delete(f"{self.path}/{folder}/{what}")
         return self._publish(out, batch).merge()
 
     def scan(self, *roots: str, parsers: dict | None = None, embed: Callable[[Column], Column] | None = None, metadata: DataFrame | None = None) -> tuple[Store, dict[str, int]]:
@@ -302,7 +316,7 @@ class Store:
                 size += segments[start]["rows"] + segments[start]["keys"]
             part, key = segments[start:], STORED[name][1]
             gone = self._keys(name, list(enumerate(part))) if start else None  # nothing is older than the first segment
-            made = self._write(name, Change(self._live(name, part), None if gone is None else gone.select(key), covered=True, made=name == "grams"), folder)
+            made = self._write(name, Change(self._live(name, part), None if gone is None else gone.select(key), covered=True, made=name in LISTED), folder)
             new[name] = [*segments[:start], made] if made["rows"] or made["keys"] else segments[:start]
         return self._publish(new) if new else self
 
