@@ -64,6 +64,11 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(x, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def spaced(x: Column) -> Column:
+    """The same tokens in one string, with blanks between them and perhaps around them: far less to hand on than a list of strings."""
+    return F.regexp_replace(fold(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N} ]+", " ")
+
+
 def collapse_spaces(x: Column) -> Column:
     # Single blanks, which most are, stay as they are instead of being replaced by themselves.
     return F.trim(F.regexp_replace(x, r"(?U) \s+|[^\S ]\s*", " "))
@@ -98,7 +103,7 @@ def chunk_text(x: Column, size: int = 800, overlap: int = 150) -> Column:
 
 
 #: Characters of a block; steps of a fold whose results are kept together.
-BLOCK, STEPS = 4096, 64
+BLOCK, STEPS = 1024, 64
 
 
 def _chunks_of(blocks: Column, block: int, clean: Column, n: Column, size: int, overlap: int) -> Column:

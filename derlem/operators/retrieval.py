@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import query as q
-from ..functions.text import search_form, tokens, tr_lower
+from ..functions.text import search_form, spaced, tokens, tr_lower
 from ..functions.vector import cosine
 
 K1, B = 1.2, 0.75
@@ -29,8 +29,8 @@ LEAST_SIMILARITY = 0.1
 PHRASE_ROWS, PHRASE_PLACES = 20_000, 500_000
 #: Words (or characters) that are grouped at once in a task's Python; a document's own are never split.
 PIECE = 250_000
-#: The same for words that are put into lists.
-LISTED = 1_000_000
+#: Bytes of texts whose words are put into lists together.
+LISTED = 6_000_000
 #: How a store has its postings: a term's row has those of several documents.
 LISTS = "term string, rows array<struct<id:bigint,col:int,positions:array<int>>>"
 #: What a document's text is known by later: how many words, and a digest that is given.
@@ -46,14 +46,17 @@ def postings(files: DataFrame) -> DataFrame:
     return rows.groupBy("term", "id", "col").agg(F.sort_array(F.collect_list("p")).alias("positions"))
 
 
-def pieces(batch: pa.RecordBatch, *sized: int, words: int | None = None) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about PIECE (or so many) words, so that memory doesn't grow with the documents of a batch. sized: its columns of lists."""
-    words = PIECE if words is None else words
-    ends = np.cumsum(sum(pc.coalesce(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in sized))
+def pieces(batch: pa.RecordBatch, *sized: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about PIECE words, so that memory doesn't grow with the documents of a batch. sized: its columns of lists."""
+    return _slices(batch, sum(pc.coalesce(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in sized), PIECE)
+
+
+def _slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    ends = np.cumsum(sizes)
     start = 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + words, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -92,22 +95,33 @@ def _lists(terms: pa.Array, codes: np.ndarray, rows: pa.StructArray) -> tuple[pa
     return terms.take(pa.array(codes[first])), pa.ListArray.from_arrays(pa.array(np.append(first, len(codes)).astype(np.int32)), rows)
 
 
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of texts that have blanks between them, which text each is of)."""
+    parts = pc.split_pattern(texts, " ")
+    words, own = parts.flatten(), np.repeat(np.arange(len(parts)), parts.value_lengths().to_numpy().astype(np.int64))
+    some = pc.greater(pc.binary_length(words), 0)
+    return words.filter(some), own[some.to_numpy(zero_copy_only=False)]
+
+
 def posting_lists(files: DataFrame) -> DataFrame:
     """term, rows, told: the same postings of files(id, filename, body, digest) as lists, those of a piece of the table in each, so there are far
     fewer rows to sort. A row without a term has what is told of the piece's documents, so no text is taken to words twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["term", "rows", "told"]
-        for batch in (part for whole in batches for part in pieces(whole, 2, 3, words=LISTED)):
+        bytes_of = lambda whole: sum(pc.binary_length(whole.column(c)).to_numpy().astype(np.int64) for c in (2, 3))
+        for batch in (part for whole in batches for part in _slices(whole, bytes_of(whole), LISTED)):
             n, ids = batch.num_rows, batch.column(0)
             rank = np.empty(n, dtype=np.int64)
             rank[pc.array_sort_indices(ids).to_numpy()] = np.arange(n)
-            sizes = [batch.column(c).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3)]
+            of_names, of_bodies = (_split(batch.column(c)) for c in (2, 3))
+            owners = [of_names[1], of_bodies[1]]
+            sizes = [np.bincount(o, minlength=n) for o in owners]
             told = pa.StructArray.from_arrays([ids, pa.array(sizes[0] + sizes[1]), batch.column(1)], fields=list(_TOLD.value_type))
             ends = pa.array([0, n], pa.int32())
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.list_(_ROW)), pa.ListArray.from_arrays(ends, told)], names=names)
-            words = pa.concat_arrays([batch.column(c).flatten() for c in (2, 3)]).dictionary_encode()
-            doc = np.concatenate([np.repeat(np.arange(n), s) for s in sizes])
+            words = pa.concat_arrays([of_names[0], of_bodies[0]]).dictionary_encode()
+            doc = np.concatenate(owners)
             place = np.concatenate([np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s) for s in sizes])
             col = np.repeat([0, 1], [s.sum() for s in sizes])
             key = (words.indices.to_numpy().astype(np.int64) * n + rank[doc]) * 2 + col
@@ -119,7 +133,7 @@ def posting_lists(files: DataFrame) -> DataFrame:
             terms, lists = _lists(words.dictionary, key[first] // (2 * n), rows)
             yield pa.RecordBatch.from_arrays([terms, lists, pa.nulls(len(terms), _TOLD)], names=names)
 
-    words = files.select(F.col("id").cast("long").alias("id"), "digest", tokens(F.col("filename")).alias("name"), tokens(F.col("body")).alias("body"))
+    words = files.select(F.col("id").cast("long").alias("id"), "digest", spaced(F.col("filename")).alias("name"), spaced(F.col("body")).alias("body"))
     return words.mapInArrow(run, f"{LISTS}, told {TOLD}")
 
 
