@@ -134,9 +134,10 @@ def differences(ordinary: bytes, toxic: bytes):
 def _runs(data: bytes) -> np.ndarray:
     """The run that begins at each byte, as a number."""
     x = np.frombuffer(data, dtype=np.uint8).astype(np.uint64)
-    out = np.zeros(max(0, len(x) - RUN + 1), dtype=np.uint64)
+    n = max(0, len(x) - RUN + 1)
+    out = np.zeros(n, dtype=np.uint64)
     for j in range(RUN):
-        out = (out << np.uint64(8)) | x[j : len(x) - RUN + 1 + j]
+        out = (out << np.uint64(8)) | x[j : j + n]
     return out
 
 

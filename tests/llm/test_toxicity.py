@@ -155,3 +155,14 @@ def test_odd_rows(spark):
     none = t.train(df, lab.limit(0))
     assert {r.score for r in t.scores(df, none).collect()} == {0.5}
     assert t.scores(df.limit(0), none).count() == 0
+
+
+def test_texts_shorter_than_a_run():
+    """One of a single word of two letters, with a blank at each end, is four bytes long."""
+    for n in range(12):
+        data = bytes(range(65, 65 + n))
+        assert t._runs(data).tolist() == [int.from_bytes(data[i : i + t.RUN], "big") for i in range(n - t.RUN + 1)]
+    short = ["", "a", "ab", "a b", "abc", "nit"]
+    of = t.gains(b" to go and ", b" nitwit ")
+    assert [of(x) for x in short] == [(0, 0, 0)] * len(short)
+    assert t.toxic_stretches(["ab"] * 3, ["to go", "cd"]) == []
