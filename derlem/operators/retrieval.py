@@ -168,9 +168,13 @@ def doc_lengths(files: DataFrame) -> DataFrame:
     return files.select("id", (F.size(tokens(F.col("filename"))) + F.size(tokens(F.col("body")))).cast("long").alias("length"))
 
 
+#: Of tables as large as their texts, of which a disk holds several: these take about a quarter less than by Spark's own choice.
+COMPRESSION = "zstd"
+
+
 def staged(rows: DataFrame, path: str) -> DataFrame:
     """The rows from a table at path: an order by ranges reads its input twice, once for their bounds, and what is dear to make is made once so."""
-    rows.write.mode("overwrite").parquet(path)
+    rows.write.mode("overwrite").parquet(path, compression=COMPRESSION)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

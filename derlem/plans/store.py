@@ -166,7 +166,7 @@ class Store:
     def _put(self, rows: DataFrame, folder: str, number: Column) -> int:
         """Write rows; how many they were is observed on the way."""
         seen = Observation()
-        rows.observe(seen, number.alias("n")).write.parquet(f"{self.path}/{folder}")
+        rows.observe(seen, number.alias("n")).write.parquet(f"{self.path}/{folder}", compression=retrieval.COMPRESSION)
         return seen.get["n"] or 0
 
     def _publish(self, segments: dict[str, list[dict]], batch: tuple[str, int] | None = None) -> Store:
