@@ -20,8 +20,13 @@ AUTHORITIES = (
     r"(?iu)^(.{3,100}?M[ÜU]D[ÜU]RL[ÜU]Ğ[ÜU](?:'?(?:NE|NA))?)\s*$",
     r"(?iu)^(.{3,100}?BA(?:Ş|S)KANLIĞ(?:I|İ)(?:'?(?:NA|NE))?)\s*$",
 )
+#: What a line in lower case has, if the pattern at the same place matches; no letters that have an unusual lower or upper case.
+AUTHORITY_NEEDS = (("/",), (":",), ("/",), ("/",), ("/",), (":",), ("kom",), ("hakem",), ("mahkeme",), ("mahk.",), ("hak", "hâk"), ("avc",), ("re",), ("rl",), ("kanl",))
 #: Every authority has one of these stems, so lines without any needn't be tried.
 AUTHORITY_STEMS = r"(?iu)MAHK|SAVC|DA[İI]RES|D[ÜU]RL|H[AÂ]K|KANL"
+#: Parts of the stems in lower case; lines that have none, nor a control character that goes when they are cleaned, can't come to have a stem. A long s
+#: counts as an s there.
+AUTHORITY_PARTS = ("mahk", "savc", "res", "rl", "hak", "hâk", "kanl", "ſ")
 
 _SEQ = r"(\d(?:[ \t]*\d){0,6})"
 _YEAR_SEQ = rf"[ \t]*(\d{{4}})[ \t]*[/-][ \t]*{_SEQ}"
@@ -43,6 +48,9 @@ CASE_LABELS = (
 #: Words of which a text that matches the label's pattern has one, in the same order; texts without any needn't be tried.
 CASE_WORDS = (("esas", "dosya"), ("soruşturma",), ("değişik",), ("takip",), ("no",), ("soruşturma",), ("değişik",), ("takip",), ("başvuru",), ("dosya", "başvuru"), ("başvuru",))
 
+#: By the label's place: words and a pattern that is quicker to try; a text that matches the label's pattern has a word or matches it.
+CASE_NEEDS = {4: (("esas", "dosya"), r"e\.?\s*no")}
+
 #: The same for the header's number line, looked for in the first 3000 characters.
 CASE_HEADERS = (
     ("ESAS", rf"sayı[ \t]*:{_YEAR_SEQ}[ \t]+(?:esas|e\.)(?![a-zçğıöşü])"),
@@ -114,6 +122,9 @@ TITLES = (
     ("Değişik İş Kararı", "Değişik İş Kararı"),
 )
 
+#: Each title has one of these, in lower case.
+TITLE_PARTS = ("dilekçe", "itiraz", "karar", "ilam", "rapor", "tutana", "zapt", "makbuz", "mazbata", "tebligat", "müzekkere", "vekaletname", "mirasçılık", "takipsizlik", "kyok")
+
 #: (type, three families of which two must be there, guards of which none may): over lower-cased text.
 STRUCTURES = (
     ("Cevap Dilekçesi",
@@ -130,6 +141,13 @@ STRUCTURES = (
      (r"(?:gere[ğg]i\s+d[üu][şs][üu]n[üu]ld[üu]|^\s*h[üu]k[üu]m\s*:)",)),
 )
 
+#: For each type and family words of which a text that matches the family has one; texts without any needn't be tried.
+STRUCTURE_WORDS = (
+    (("cevap", "savunmalar"), ("vekil", "cevap", "müvekkil"), ("davan", "haks", "husumet", "zamana")),
+    (("gere", "karar"), ("hüküm", "hükum", "huküm", "hukum"), ("karar",)),
+    (("bilirki", "rapora"), ("itirazlar", "beyanlar", "kabul"), ("rapor", "bilirki")),
+)
+
 SUBJECT = r"(?iu)(?:KONU|TALEP\s*KONUSU|DAVA\s*TÜRÜ)\s*[:/]\s*([^\n;]+)"
 #: Words near which a type's date stands, before the general ones.
 DATE_WORDS = (
@@ -156,4 +174,6 @@ PARTY_CUTS = (
     (r"^\s*\d+[.)-]\s*", ""),
     (r"(?U)\s+", " "),
 )
+#: A value without any of these is left as it is by all cuts but the last.
+PARTY_CUT_SIGNS = r"(?iu)[(,|–—-]|^\s*\d|kimlik|tckn|vkn|vergi|adres"
 FILENAME = r"(?i)^(\d{4})[_\s](\d{1,7})[_\s](.+?)(?:[_\s](\d{2})[_\s](\d{2})[_\s](\d{4}))?(?:[_\s]\((\d+)[_\s]?ek\))?$"

@@ -156,7 +156,11 @@ def find_all(x: Column, pattern: str) -> Column:
         at = lambda b: F.zip_with(before(b), b["gaps"], lambda s, g: (s + g).cast("int"))
         return bind(F.struct(gaps.alias("gaps"), found.alias("found")), lambda b: F.zip_with(at(b), b["found"], lambda p, m: F.struct(p.alias("at"), m.alias("value"))))
 
-    return bind(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(none))
+    def single(found: Column) -> Column:
+        """Without sums: before the only match stands the first piece."""
+        return F.array(F.struct(F.length(F.get(F.split(x, pattern, 2), F.lit(0))).alias("at"), F.get(found, F.lit(0)).alias("value")))
+
+    return bind(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).when(F.size(found) == 1, single(found)).otherwise(placed(found)))
 
 
 def with_snippet(df: DataFrame, content: str, query: str, out: str = "snippet", budget: int = 180, marks: tuple[str, str] = ("<b>", "</b>")) -> DataFrame:

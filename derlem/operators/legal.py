@@ -22,8 +22,16 @@ def _first(items: Column) -> Column:
     return F.get(F.filter(items, lambda x: x.isNotNull() & (x != "")), F.lit(0))
 
 
+def _any(x: Column, words: tuple[str, ...]) -> Column:
+    return reduce(operator.or_, [F.contains(x, F.lit(w)) for w in words])
+
+
 def type_key(x: Column) -> Column:
-    return F.trim(F.regexp_replace(tr_lower(x), "[^a-z0-9çğıöşü]+", " "))
+    return _key(tr_lower(x))
+
+
+def _key(low: Column) -> Column:
+    return F.trim(F.regexp_replace(low, "[^a-z0-9çğıöşü]+", " "))
 
 
 def _title_key(title: str) -> str:
@@ -35,6 +43,9 @@ def _title_key(title: str) -> str:
 _TYPES = ";".join(f"{_title_key(title)}{end}={kind}" for title, kind in r.TITLES for end in ("", "dir", "idir"))
 
 
+_TITLE_KEYS = sorted({pair.partition("=")[0] for pair in _TYPES.split(";")})
+
+
 def canonical_type(key: Column) -> Column:
     """The type that a normalised title names, with an ending of the copula or without; null for others."""
     return F.try_element_at(F.str_to_map(F.lit(_TYPES), F.lit(";"), F.lit("=")), key)
@@ -51,9 +62,12 @@ def _clean_line(x: Column) -> Column:
 def court(text: Column) -> Column:
     lines = F.slice(F.split(text, r"\r?\n"), 1, 50)
     units = F.flatten(F.transform(lines, lambda x: F.split(x, "\t")))
-    units = F.filter(F.transform(units, lambda u: F.regexp_replace(_clean_line(u), r"(?i)^t\.?\s*c\.?\s+", "")), lambda u: (u != "") & ~u.rlike(r"(?i)^t\.?\s*c\.?$"))
+    # Most lines go before they are cleaned; what is left after cleaning has a stem, and isn't empty then.
+    units = F.filter(units, lambda u: bind(F.lower(u), lambda low: _any(low, r.AUTHORITY_PARTS)) | u.rlike(r"[\x00-\x1f\x7f]"))
+    units = F.transform(units, lambda u: F.regexp_replace(_clean_line(u), r"(?i)^t\.?\s*c\.?\s+", ""))
     units = F.filter(units, lambda u: u.rlike(r.AUTHORITY_STEMS))
-    name = _first(F.transform(units, lambda u: F.coalesce(*[_some(F.regexp_extract(u, p, 1)) for p in r.AUTHORITIES])))
+    tried = lambda u, low: F.coalesce(*[F.when(_any(low, need), _some(F.regexp_extract(u, p, 1))) for p, need in zip(r.AUTHORITIES, r.AUTHORITY_NEEDS, strict=True)])
+    name = _first(F.transform(units, lambda u: bind(F.lower(u), lambda low: tried(u, low))))
     name = F.regexp_replace(F.regexp_replace(F.trim(name), r"(?i)^t\.?\s*c\.?\s+", ""), r"(?i)['’]?\s*(?:ne|na)$", "")
     return F.regexp_replace(F.regexp_replace(name, r"(?i)\bMAHK\.", "MAHKEMESİ"), r"\s+", " ")
 
@@ -69,8 +83,10 @@ def case(low: Column, zone: Column) -> Column:
     """struct<number, kind> of the first case number, of those that begin a line if there are any. low: a column of ``references``, zone: its
     first 3000 characters; both are used often and must be columns of the table, not expressions."""
 
-    def candidates(where: Column, pattern: str, words: tuple[str, ...], kind: str, order: int, structural, valid=None) -> Column:
-        may = reduce(operator.or_, [F.contains(where, F.lit(w)) for w in words])
+    def candidates(where: Column, pattern: str, words: tuple[str, ...], kind: str, order: int, structural, valid=None, needs: tuple[tuple[str, ...], str] | None = None) -> Column:
+        may = _any(where, words)
+        if needs:
+            may = may & (_any(where, needs[0]) | where.rlike(needs[1]))
         found = F.when(may, find_all(where, pattern)).otherwise(F.array().cast("array<struct<at:int,value:string>>"))
         rows = F.transform(found, lambda m: F.struct(
             (~structural(m)).alias("loose"), m["at"].alias("at"), F.lit(order).alias("order"), F.lit(kind).alias("kind"),
@@ -83,22 +99,25 @@ def case(low: Column, zone: Column) -> Column:
     before = lambda m: F.substring_index(F.substring(zone, F.greatest(F.lit(1), m["at"] - 44), F.least(F.lit(45), m["at"])), "\n", -1)
     tail = lambda m: F.substring(zone, m["at"] + F.length(m["value"]) + 1, F.lit(60))
     bare = lambda m: ~before(m).rlike(r.AUTHORITY_BEFORE) & ~tail(m).rlike(r.CITATION_TAIL) & F.substring(zone, m["at"], F.lit(1)).isin(" ", "\t")
-    parts = [candidates(low, p, r.CASE_WORDS[i], kind, i, line) for i, (kind, p) in enumerate(r.CASE_LABELS)]
+    parts = [candidates(low, p, r.CASE_WORDS[i], kind, i, line, needs=r.CASE_NEEDS.get(i)) for i, (kind, p) in enumerate(r.CASE_LABELS)]
     parts += [candidates(zone, p, ("sayı",), kind, 20 + i, lambda m: F.lit(True)) for i, (kind, p) in enumerate(r.CASE_HEADERS)]
     parts.append(candidates(zone, r.CASE_BARE, ("esas",), "ESAS", 30, lambda m: F.lit(False), bare))
     best = F.array_min(F.flatten(F.array(*parts)))
     return bind(best, lambda b: F.when(b.isNotNull(), F.struct(F.concat_ws("/", b["year"], b["seq"]).alias("number"), b["kind"].alias("kind"))))
 
 
-def heading_type(text: Column) -> Column:
-    keys = F.transform(F.slice(F.split(text, r"\r?\n"), 1, 80), type_key)
-    return _first(F.transform(F.filter(keys, lambda k: (k != "") & (F.length(k) <= 80)), canonical_type))
+def heading_type(low: Column) -> Column:
+    """low: a text in Turkish lower case. Only lines with a part that a title has are made keys; a title's key is shorter than eighty characters."""
+    lines = F.filter(F.split(F.substring_index(low, "\n", 80), "\n"), lambda x: _any(x, r.TITLE_PARTS))
+    return canonical_type(_first(F.filter(F.transform(lines, _key), lambda k: k.isin(*_TITLE_KEYS))))
 
 
 def structural_type(low: Column) -> Column:
     out = F.lit(None).cast("string")
-    for kind, families, guards in reversed(r.STRUCTURES):
-        enough = sum((low.rlike(p).cast("int") for p in families), F.lit(0)) >= 2
+    for (kind, families, guards), words in zip(reversed(r.STRUCTURES), reversed(r.STRUCTURE_WORDS), strict=True):
+        may = [_any(low, some) for some in words]
+        count = lambda found: sum((x.cast("int") for x in found), F.lit(0)) >= 2
+        enough = count(may) & count([m & low.rlike(p) for m, p in zip(may, families, strict=True)])
         guarded = F.lit(False)
         for g in guards:
             guarded = guarded | low.rlike(g)
@@ -128,17 +147,21 @@ def parties(text: Column) -> Column:
     """struct<plaintiff, defendant>: of the first hundred lines, the first label with a role of each; a later label with both roles is the defendant's."""
     shape = r"^\s*([^:\t]{2,70})\s*[:\t]+\s*(.*)$"
     lines = F.filter(F.slice(F.split(text, r"\r?\n"), 1, 100), lambda x: x.rlike(shape))
-    has = lambda label, roles: F.exists(F.array(*map(F.lit, roles)), lambda role: F.contains(label, role))
+    has = lambda label, roles: label.rlike("|".join(roles))
 
     def value(x: Column) -> Column:
-        x = F.regexp_extract(x, shape, 2)
-        for pattern, put in r.PARTY_CUTS:
-            x = F.regexp_replace(x, pattern, put)
-        return F.trim(x)
-
-    rows = F.transform(lines, lambda x: F.struct(tr_upper(F.trim(F.regexp_extract(x, shape, 1))).alias("label"), value(x).alias("value")))
-    rows = F.filter(rows, lambda p: (F.length(p["value"]) >= 2) & ~p["label"].rlike("(?iu)(?:VEK[İIıi]L|M[ÜUuü]DAF[İIıi])"))
-    rows = F.transform(rows, lambda p: F.struct(p["value"].alias("value"), has(p["label"], r.PLAINTIFF_ROLES).alias("p"), has(p["label"], r.DEFENDANT_ROLES).alias("d")))
+        def cut(x: Column, cuts) -> Column:
+            for pattern, put in cuts:
+                x = F.regexp_replace(x, pattern, put)
+            return F.trim(x)
+
+        return bind(F.regexp_extract(x, shape, 2), lambda x: F.when(x.rlike(r.PARTY_CUT_SIGNS), cut(x, r.PARTY_CUTS)).otherwise(cut(x, r.PARTY_CUTS[-1:])))
+
+    rows = F.transform(lines, lambda x: F.struct(tr_upper(F.trim(F.regexp_extract(x, shape, 1))).alias("label"), x.alias("line")))
+    rows = F.filter(rows, lambda p: has(p["label"], r.PLAINTIFF_ROLES + r.DEFENDANT_ROLES) & ~p["label"].rlike("(?iu)(?:VEK[İIıi]L|M[ÜUuü]DAF[İIıi])"))
+    # Values are made of the few lines whose label has a role.
+    rows = F.transform(rows, lambda p: F.struct(value(p["line"]).alias("value"), has(p["label"], r.PLAINTIFF_ROLES).alias("p"), has(p["label"], r.DEFENDANT_ROLES).alias("d")))
+    rows = F.filter(rows, lambda p: F.length(p["value"]) >= 2)
     state = F.struct(F.lit(None).cast("string").alias("plaintiff"), F.lit(None).cast("string").alias("defendant"))
 
     def step(s: Column, p: Column) -> Column:
@@ -175,7 +198,7 @@ def extract_metadata(docs: DataFrame, text: str = "body", filename: str = "filen
     subject = F.regexp_extract(F.substring(t, 1, 3000), r.SUBJECT, 1)
     subject = _some(F.trim(F.regexp_replace(F.substring(subject, 1, 150), r"\s+", " ")))
     empty = F.trim(t) == ""
-    kind = F.coalesce(F.when(~empty, F.coalesce(heading_type(t), structural_type(low))), F.col("_f.type"), F.when(~empty, subject), _some(F.trim(F.substring("_stem", 1, 100))))
+    kind = F.coalesce(F.when(~empty, F.coalesce(heading_type(low), structural_type(low))), F.col("_f.type"), F.when(~empty, subject), _some(F.trim(F.substring("_stem", 1, 100))))
     docs = docs.withColumn("court_name", _some(court(t))).withColumn("document_type", kind)
     docs = docs.withColumn("case_number", F.coalesce("_c.number", "_f.number")).withColumn("case_kind", F.coalesce("_c.kind", "_f.kind"))
     docs = docs.withColumn("document_date", F.coalesce(document_date(t, low, F.col("document_type")), F.col("_f.date")))

@@ -1,4 +1,12 @@
+import random
+
+from conftest import SF
+from pyspark.sql import functions as F
+
+from derlem.functions import legal_rules as rules
+from derlem.operators import legal
 from derlem.operators.legal import extract_metadata
+from derlem.queries import _legal_docs
 
 CASES = [
     ("T.C.\nİSTANBUL 3. AİLE MAHKEMESİ\nESAS NO: 2024/780\n\nDAVA DİLEKÇESİ\nDAVACI : Ayşe Kara", "belge.docx",
@@ -83,3 +91,31 @@ def test_patterns_are_tried_where_their_words_stand(spark):
         assert all(w in pattern for w in words)
     got = _one(spark, ["DOSYA: 2020/1", "E. No: 2022/7", "Başvuru No: 2024 . E . 12", "SAYI: 2021/5 TAKİP", "dava 2019/3 ESAS", "dava 2019/3"])
     assert [(got[i].case_number, got[i].case_kind) for i in range(6)] == [("2020/1", "ESAS"), ("2022/7", "ESAS"), ("2024/12", "BASVURU"), ("2021/5", "TAKIP"), ("2019/3", "ESAS"), (None, None)]
+
+
+def test_what_is_not_tried_would_not_match(spark, monkeypatch):
+    """Lines and texts that are left out by their words, in torn, mixed and odd letters, against trying all of them."""
+    r = random.Random(8)
+    heads = ["T.C.", "İSTANBUL 3. ASLİYE HUKUK MAHKEMESİ", "BURSA MAHK EMESİNE", "ankara 2. icra d. airesi", "İZMİR İCRA D.A İRESİ", "X BAŞ\x01SAVCILIĞI", "VAN BAŞſAVCILIĞI", "İL HAKKİMLİĞİ", "RİZE HÂKİMLİĞİ'NE", "SİGORTA TAHKİM KOMİSYONU", "İTİRAZ HAKEM HEYETİ", "1. MAHKEMESİ 2020 / 12 ESAS", "VALİ MÜDÜRLÜĞÜ", "UYGULAMA : X MAHKEMESİNİN", "KURUM BAŞKANLIĞINA"]
+    titles = ["DAVA DİLEKÇESİDİR", "**Gerekçeli   Karar**", "kyok", "Yargıtay İlamıdır", "TENSİP\tTUTANAĞI", "dava dilekçesi hakkında", "KARAR-İLAMI\r", "Vekaletname."]
+    labels = ["DAVACI", "Davacı ve Davalı", "MÜŞTEKİ", "karşı taraf", "DAVACI VEKİLİ", "SANIK", "KONU", "Şikâyetçi"]
+    values = ["Ali Veli", "1) Bir (TCKN: 12)", "A, adres: yok", "B - 1234567 x", "C —", "D vergi no 3", "E, 1980 doğumlu", "  F   G ", "x", ""]
+    cases = ["ESAS NO : 2020/12", "dosya no 2021/5", "E. NO: 2019/7", "e\nno 2018/ 3", "SAYI : 2020/9 ESAS", "2017/4 esas", "BAŞVURU NO 2016/8 ve ESAS NO 2015/1", "😀 TAKİP NO: 2014/6"]
+    bodies = ["cevaplarımız ve davalı vekilı davanın reddi", "gereği düşünüldü\n hüküm :", "karar no : 1\nHÜKÜM", "rapora itiraz, kabul etmiyoruz, ek  rapor", "saygılarımla", "savunmalarımız; husumet yokluğu"]
+    parts = [heads, titles, [f"{a} : {b}" for a in labels for b in values], cases, bodies, ["tarih 01.02.2020", "", "\x0b", "a\tb"]]
+    rows = [(i, "\n".join(r.choice(r.choice(parts)) for _ in range(r.randint(0, 12))), "2020_1_Rapor.docx") for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, body string, filename string").repartition(4)
+    seen = lambda: {x.id: tuple(x) for x in legal.extract_metadata(df).select("id", *legal.FIELDS).collect()}
+    found, all_ = seen(), ("",)
+    for name, value in (("AUTHORITY_PARTS", all_), ("AUTHORITY_NEEDS", (all_,) * len(rules.AUTHORITIES)), ("TITLE_PARTS", all_), ("STRUCTURE_WORDS", ((all_,) * 3,) * 3), ("CASE_NEEDS", {}), ("PARTY_CUT_SIGNS", "")):
+        monkeypatch.setattr(rules, name, value)
+    assert found == seen() and all(len({x[k] for x in found.values()}) > 1 for k in range(1, 8))
+
+
+def test_orders_are_dealt_to_all_tasks(spark, tmp_path):
+    """From one file, and with ten suppliers: no task makes the texts of a tenth of the orders."""
+    for name in ("orders", "customer", "supplier"):
+        spark.read.parquet(f"{SF}/{name}.parquet").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = _legal_docs(spark, str(tmp_path))
+    n = [r["count"] for r in docs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(n) == spark.read.parquet(f"{SF}/orders.parquet").count() and max(n) < sum(n) / 8
