@@ -75,3 +75,12 @@ def test_odd_rows_through_all_stages(spark, sf, tmp_path):
         table(spark, sf, name).limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/odd").count() > 0
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_a_text_of_one_short_word_passes_the_first_stage(spark):
+    """On the tables of sf0.01 the model has stretches, which short texts are compared with."""
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents")
+    short = spark.createDataFrame([(-1 - i, text, "en", "src0", len(text)) for i, text in enumerate(("", "a", "ab", "abc", "a b"))], docs.schema)
+    kept = corpus_pipeline.drop_toxic(spark, docs.unionByName(short), sf)
+    assert kept.where("doc_id < 0").count() == 5
